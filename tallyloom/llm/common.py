@@ -184,3 +184,23 @@ class Words:
 
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def grouped(batches, key: int = 0):
+    """Runs of equal values in the column ``key`` of a sorted stream of batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key)
+        values = column.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and values[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
