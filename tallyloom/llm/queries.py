@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, lattice, packing, quality, substrings
+from . import bpe, chat, embeddings, jaccard, lattice, packing, quality, substrings
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,5 +57,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_lattice_scores, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
