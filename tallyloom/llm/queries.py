@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, lattice, packing, quality, substrings
+from . import bpe, chat, embeddings, jaccard, lattice, packing, pii, quality, substrings
 from .common import table
 
 
@@ -57,5 +57,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii)}
 ORACLES: dict[str, str] = {}
