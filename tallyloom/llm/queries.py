@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, lattice, packing, pii, quality, substrings
+from . import bpe, chat, embeddings, hosts, jaccard, lattice, packing, pii, quality, substrings
 from .common import table
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False)
 
@@ -62,5 +66,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii)}
 ORACLES: dict[str, str] = {}
