@@ -143,17 +143,17 @@ def title(text: Column) -> Column:
 
 
 def slugify(name: Column, ident: Column, fold: bool = True) -> Column:
-    """Lower-case ASCII words joined by hyphens, then the id."""
-    base = ascii_fold(name) if fold else name
-    words = F.regexp_replace(F.lower(base), r"[^a-z0-9]+", "-")
-    words = F.regexp_replace(words, r"^-+|-+$", "")
-    return F.when(words == "", ident.cast("string")).otherwise(F.concat(words, F.lit("-"), ident.cast("string")))
+    """Lower-case ASCII words joined by hyphens (``product`` if none are left), then the id."""
+    base = F.lower(ascii_fold(F.lower(name)) if fold else name)
+    words = F.trim(F.regexp_replace(base, r"[^a-z0-9\s-]", ""))
+    words = F.regexp_replace(F.regexp_replace(words, r"\s+", "-"), r"-+", "-")
+    return F.concat(F.when(words == "", F.lit("product")).otherwise(words), F.lit("-"), ident.cast("string"))
 
 
 def slug_id(slug: Column) -> Column:
-    """The integer at a slug's end, or null."""
-    digits = F.regexp_extract(slug, r"(?:^|-)(\d+)$", 1)
-    return F.when(digits != "", digits.try_cast("long"))
+    """The integer at a slug's end, or the slug itself if it is a positive one; else null."""
+    digits = F.regexp_extract(slug, r"(?:^|-)(\d+)$", 1).try_cast("long")
+    return F.when(slug.contains("-") | (digits > 0), digits)
 
 
 def price_of(text: Column) -> Column:

@@ -55,7 +55,7 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int) -> DataF
 
 def _creations(products: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     """Of one attach key: which first-seen sizes no product covers when they arrive."""
-    known = [(x, v, u) for x, v, u in zip(products["base_unit_qty"], products["size_value"], products["size_unit"], strict=True)]
+    known = [(x, v, u) for x, v, u in zip(products["known_base"], products["known_value"], products["known_unit"], strict=True)]
     keep = []
     for i, row in firsts.sort_values("seq").iterrows():
         x, v, u = row["base_unit_qty"], row["size_value"], row["size_unit"]
@@ -86,10 +86,10 @@ def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
 
     # by order: distinct sizes of each branded key
     firsts = known.where(sized).groupBy(*columns).agg(F.min("seq").alias("seq"))
-    key = F.struct(*ATTACH)
-    mine = products.where(F.coalesce(F.col("brand"), F.lit("")) != "").select(key.alias("k"), "base_unit_qty", "size_value", "size_unit")
-    made = mine.groupBy(F.to_json("k").alias("g")).cogroup(firsts.select(key.alias("k"), *columns, "seq").groupBy(F.to_json("k").alias("g")))
-    ordered = made.applyInPandas(lambda p, f: _creations(p.drop(columns="k"), f.drop(columns="k"))[[*columns, "seq"]], firsts.schema)
+    key = F.to_json(F.struct(*ATTACH)).alias("g")
+    mine = products.where(F.coalesce(F.col("brand"), F.lit("")) != "").select(key, F.col("base_unit_qty").alias("known_base"), F.col("size_value").alias("known_value"), F.col("size_unit").alias("known_unit"))
+    made = mine.groupBy("g").cogroup(firsts.withColumn("g", F.to_json(F.struct(*ATTACH))).groupBy("g"))
+    ordered = made.applyInPandas(lambda p, f: _creations(p, f)[[*columns, "seq"]], firsts.schema)
     rows = new.select(*columns, "seq").unionByName(ordered.select(*columns, "seq"))
     source = listings.select("seq", "normalized_name")
     start = (products.agg(F.max("product_id")).first()[0] or 0) + 1

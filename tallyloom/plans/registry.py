@@ -420,7 +420,7 @@ def vocabulary_classify(spark, d):
     return V.classify_native(names, keywords, units).drop("unit")
 
 
-@query("SELECT p_partkey AS product_id, trim(regexp_replace(lower(p_name || ' ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '-') || '-' || p_partkey AS slug, p_partkey AS parsed FROM part")
+@query("SELECT p_partkey AS product_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(p_name || ' ' || p_brand || '!'), '[^a-z0-9 -]', '', 'g')), ' +', '-', 'g'), '-+', '-', 'g') || '-' || p_partkey AS slug, p_partkey AS parsed FROM part")
 def slugify(spark, d):
     slug = T.slugify(F.concat("p_name", F.lit(" "), "p_brand", F.lit("!")), F.col("p_partkey"))
     return R.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), slug.alias("slug")).withColumn("parsed", T.slug_id(F.col("slug")))

@@ -104,7 +104,7 @@ def dom_records(raw: DataFrame, base: str, prefix: str) -> DataFrame:
     bare = F.regexp_replace("inner", r"(?is)^\s*(?:\d+%?\s*off\s*)?(?:delivery\s+\d+[^\n]*?hours?\s*)?", "")
     bare = F.regexp_replace(bare, r"(?is)\s*৳.*$", "")
     name = F.trim(F.coalesce(F.nullif(F.trim("nameText"), F.lit("")), bare))
-    price = price_of(F.regexp_extract(F.coalesce(F.nullif("priceText", F.lit("")), "inner"), r"৳?\s*([\d,]+(?:\.\d+)?)", 1))
+    price = price_of(F.coalesce(F.nullif("priceText", F.lit("")), F.regexp_extract("inner", r"৳\s*([\d,]+(?:\.\d+)?)", 1)))
     slug = F.regexp_extract("href", r"([^/?#]+)/?(?:[?#].*)?$", 1)
     out = F.lower(F.coalesce("inner", F.lit(""))).rlike("out of stock|stock out|sold out")
     rows = rows.where(F.char_length(name) >= 3)
