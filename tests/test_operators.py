@@ -139,3 +139,28 @@ def test_reports(spark):
     assert sorted((r.store, r.total, r.status) for r in report.collect()) == [("a", 2, "FRESH"), ("b", 1, "STALE"), ("c", 0, "NEVER")]
     assert reports.alert_level(report) == 1
     assert [tuple(r)[1:4] for r in reports.freshness(seen, now).orderBy("store").collect()] == [(2, 1, 2), (1, 0, 1)]
+
+
+def test_requests(spark):
+    from tallyloom.operators import requests
+
+    names = ["Rupchanda Soybean Oil 5L", "Fresh Soybean Oil 5.2L", "Teer Soybean Oil 2L"]
+    p = normalize(spark.createDataFrame(list(enumerate(names, 1)), "product_id long, name string"))
+    offers = spark.createDataFrame([(10, 1, "a", 900.0, True), (20, 2, "b", 880.0, True)], "listing_id long, product_id long, store string, price double, in_stock boolean")
+    lines = spark.createDataFrame([(1, 0, 1, None, 2.0), (1, 1, None, "soybean oil 5 litre", 1.0), (1, 2, 99, None, 1.0), (1, 3, None, "", 1.0), (1, 4, 3, None, 1.0), (1, 5, None, "car tyre", 1.0)], "basket_id long, line long, product_id long, query string, quantity double")
+    items, found, missing = requests.resolve_lines(lines, p, offers)
+    assert sorted(r.item_key for r in items.collect()) == ["pid:0:1", "q:1:soybean oil 5 litre"]
+    assert sorted((r.item_key[0], r.store) for r in found.collect()) == [("p", "a"), ("q", "a"), ("q", "b")]
+    assert sorted((r.line, r.label) for r in missing.collect()) == [(2, "product_id=99"), (3, "(empty item)"), (4, "Teer Soybean Oil 2L"), (5, "car tyre")]
+    saved = requests.saved_baskets(spark.createDataFrame([(1, '[{"id": "x", "query": "oil", "quantity": -1}, {"query": "no id"}, {"id": "y", "quantity": 3}]'), (2, "null"), (3, "{")], "basket_id long, json string"))
+    assert sorted((r.id, r.label, r.quantity) for r in saved.collect()) == [("x", "oil", 1.0), ("y", "item", 3.0)]
+    assert [r.items for r in requests.basket_count(saved).collect()] == [4.0]
+    tree = spark.createDataFrame([("g", [("Rice", "rice", ["Miniket"]), ("Oil", "oil", [])]), ("h", [("Salt", "salt", [])])], "group string, categories array<struct<display:string,key:string,subcategories:array<string>>>")
+    assert [(r.group, len(r.categories)) for r in requests.filter_taxonomy(tree, " mini ").collect()] == [("g", 1)]
+
+
+def test_schemas(spark):
+    from tallyloom.schemas import TABLES
+
+    for columns in TABLES.values():
+        assert spark.createDataFrame([], columns).count() == 0
