@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, hosts, jaccard, lattice, packing, pii, quality, substrings
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
