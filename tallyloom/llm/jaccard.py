@@ -14,10 +14,12 @@ index of at least 0.9 differ in at most (|A| + |B|) / 19 shingles, so
   of what they hold.
 
 Surviving pairs are verified on the whole sets.  Equal sets are one node from
-the start.  Each node is first verified against the least node of its buckets;
-pairs that are joined then need no further look, so a bucket that holds a large
-group of near copies costs one comparison for each, and the R-tree sees only
-buckets in which several components are left, in chunks of bounded size.
+the start.  Each node is first verified against the least node of its buckets,
+then against its ``NEAREST`` points in them, and at last against all that are left.
+Pairs that are already joined need no further look, so a bucket that holds a
+large group of near copies costs a few comparisons for each, and the last step
+sees only buckets in which several components are left; the R-tree joins them in
+chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from .components import components
 SHINGLE = 3
 #: The similarity, in percent.
 LEAST = 90
-#: Groups of the points in the R-tree; groups of one block of the directory.
-GROUPS = 32
+#: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); groups of one block of the directory.
+GROUPS = 256
 BLOCK_GROUPS = 4096
 #: Points of a bucket that are joined at a time.
 CHUNK = 2048
+#: Partners of a point in a bucket that are verified before all others.
+NEAREST = 3
 _LEAF = 32
 
 _rng = np.random.default_rng(20240607)
@@ -120,6 +124,15 @@ def directory_keys(sets: Sets, least: int = LEAST) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(keys), np.concatenate(texts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def pack_points(points: np.ndarray) -> list[bytes]:
+    """Each point in two bytes a coordinate, or in four where that is too little."""
+    return [p.astype("<u2" if p.max(initial=0) < 1 << 16 else "<u4").tobytes() for p in points]
+
+
+def unpack_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+
+
 def enough(overlap, a, b, least: int = LEAST):
     """Can, or does, this overlap of sets of these sizes reach the similarity?"""
     return 100 * overlap >= least * (a + b - overlap)
@@ -145,8 +158,8 @@ class RTree:
         half = -(-len(at) // (2 * _LEAF)) * _LEAF
         return np.concatenate([self._pack(points, at[:half], axis + 1), self._pack(points, at[half:], axis + 1)]) if half < len(at) else at
 
-    def search(self, point: np.ndarray, size: int, least: int = LEAST) -> np.ndarray:
-        """Points whose summed coordinate minima with this one may reach the similarity."""
+    def search(self, point: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose summed coordinate minima with this one may reach the similarity, and the similarity that these allow."""
         need = size * least / 100
         at = None
         for maxima in reversed(self.levels):
@@ -155,8 +168,9 @@ class RTree:
             at = (at[:, None] * _LEAF + np.arange(_LEAF)).ravel()
         at = np.arange(len(self.points)) if at is None else at[at < len(self.points)]
         found = self.points[at]
-        at = at[enough(np.minimum(found, point).sum(1), size, found.sum(1), least)]
-        return self.order[at]
+        both, sizes = np.minimum(found, point).sum(1), found.sum(1)
+        fits = enough(both, size, sizes, least)
+        return self.order[at[fits]], both[fits] / (size + sizes[fits] - both[fits])
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -186,15 +200,14 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _points(docs: DataFrame) -> DataFrame:
-    """``name, point, hashes`` of the documents given, as packed 32- and 64-bit integers."""
+    """``name, point, hashes`` of the documents given, as packed integers."""
 
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
                 s = Sets(part)
-                points = s.points().astype("<i4")
                 hashes = [s.hashes[a:b].tobytes() for a, b in zip(s.first, s.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(hashes, pa.binary())], ["name", "point", "hashes"])
+                yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array(pack_points(s.points()), pa.binary()), pa.array(hashes, pa.binary())], ["name", "point", "hashes"])
 
     return docs.mapInArrow(run, "name long, point binary, hashes binary")
 
@@ -206,7 +219,7 @@ def _verify(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b, p, q, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = np.frombuffer(p, "<i4"), np.frombuffer(q, "<i4")
+                p, q = unpack_point(p), unpack_point(q)
                 if enough(int(np.minimum(p, q).sum()), int(p.sum()), int(q.sum()), least):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = np.concatenate((x, y))
@@ -220,8 +233,8 @@ def _verify(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components that meet in a bucket and pass the R-tree."""
+def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least: int, nearest: int | None = None) -> DataFrame:
+    """Pairs of different components that meet in a bucket and pass the R-tree; all, or of each point those with the ``nearest`` others."""
     known = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("component", "name").alias("component"))
     known = materialize(known, "bucket-components")
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
@@ -236,14 +249,17 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least:
         for t in grouped(batches):
             indexed = t.column("indexed").to_numpy()
             names, parts = t.column("name").to_numpy(), t.column("component").to_numpy()
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
+            points = np.array([unpack_point(p) for p in t.column("point").to_pylist()])
             first = np.flatnonzero(indexed)
             second = first if indexed.all() else np.flatnonzero(~indexed)
             tree = RTree(points[first])
             a, b = [], []
             for i in second:
-                found = first[tree.search(points[i], int(points[i].sum()), least)]
-                found = found[parts[found] != parts[i]]
+                found, alike = tree.search(points[i], int(points[i].sum()), least)
+                apart = parts[first[found]] != parts[i]
+                found, alike = first[found[apart]], alike[apart]
+                if nearest is not None and len(found) > nearest:
+                    found = found[np.argpartition(-alike, nearest - 1)[:nearest]]
                 a += [min(names[i], x) for x in names[found]]
                 b += [max(names[i], x) for x in names[found]]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -268,8 +284,10 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     points = materialize(_points(docs.join(wanted, "doc_id")).dropDuplicates(["name"]), "points")
     stars = buckets.groupBy(F.col("name").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
     links = materialize(_verify(stars, points, least), "star-links")
-    more = _verify(_open_pairs(buckets, components(links), points, least), points, least)
-    labels = components(links.unionByName(more)).withColumnRenamed("node", "name")
+    for nearest in (NEAREST, None):
+        found = _verify(_open_pairs(buckets, components(links), points, least, nearest), points, least)
+        links = materialize(links.unionByName(found), "verified-links")
+    labels = components(links).withColumnRenamed("node", "name")
     of = nodes.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
     of = materialize(of, "set-components")
     least_doc = of.groupBy("component").agg(F.min("least_doc").alias("component_id"))

@@ -77,7 +77,7 @@ def test_tree_finds_all():
     for i in range(0, 500, 7):
         bound = np.minimum(points, points[i]).sum(1)
         want = np.flatnonzero(jaccard.enough(bound, points[i].sum(), points.sum(1)))
-        assert sorted(tree.search(points[i], int(points[i].sum()))) == want.tolist()
+        assert sorted(tree.search(points[i], int(points[i].sum()))[0]) == want.tolist()
 
 
 def test_components(spark):
