@@ -173,6 +173,7 @@ class Encoder:
         self.letters = dict(enumerate(_byte_letters()))
         self.words = Memory(self._word, REMEMBERED)
         self.memory = Memory(self._chunk, REMEMBERED)
+        self.packed = Memory(self._packed, REMEMBERED)
         self.hollow = False  # has a chunk without tokens been seen?
         gc.freeze()
 
@@ -199,13 +200,17 @@ class Encoder:
         decimals, labels = self.decimals, self.label_bytes
         return len(ids), b" ".join([decimals[i] for i in ids]), b" ".join([labels[i] for i in ids]), array("I", ids).tobytes()
 
+    def _packed(self, raw: bytes) -> bytes:
+        return array("I", self.pieces(raw.decode())).tobytes()
+
     def chunks(self, text: bytes) -> list[tuple[int, bytes, bytes, bytes]]:
         """One entry for each chunk of the text that has tokens."""
         got = list(map(self.memory.__getitem__, text.split()))
         return [x for x in got if x[0]] if self.hollow else got
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join([x[3] for x in self.chunks(text)])
+        """All ids of a text as little-endian 32-bit; remembers them alone."""
+        return b"".join(map(self.packed.__getitem__, text.split()))
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined by one space: the vocabulary file names no decoder."""

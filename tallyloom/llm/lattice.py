@@ -35,6 +35,8 @@ ROUNDS = 2
 SMOOTHING = 0.05
 FOLDS, HELD_OUT = 7, 2
 PART_BYTES = 8 << 20
+#: Words with up to so many characters are worked on together, so many of one length at a time.
+BATCH_CHARS, BATCH_WORDS = 64, 2048
 _MARK = "▁"
 
 
@@ -126,6 +128,91 @@ def expected(pieces: Pieces, logp: list[float], word: str, weight: float, into:
                 into[b] += share
 
 
+class Lattices:
+    """The lattices of many words of one length; the recursions run over all of them at once, still in log space.
+
+    Characters that are no piece get numbers after the pieces and the end."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        texts = [_MARK + w for w in words]
+        self.pieces, self.n, self.size = pieces, len(texts[0]), len(words)
+        self.other: dict[str, int] = {}
+        self.arcs: dict[tuple[int, int], np.ndarray] = {}
+        of, plain = pieces.of.get, pieces.end + 1
+        for i in range(1, self.n + 1):
+            for j in range(max(0, i - pieces.longest), i):
+                found = np.array([of(t[j:i], -1) for t in texts])
+                if j == i - 1 and (found < 0).any():
+                    for k in np.flatnonzero(found < 0):
+                        found[k] = plain + self.other.setdefault(texts[k][j], len(self.other))
+                if (found >= 0).any():
+                    self.arcs[j, i] = found
+        self.spelled = [pieces.spelled(c) for c in self.other]
+
+    def _logp(self, logp: np.ndarray) -> np.ndarray:
+        """With the other characters' and, last, that of no arc."""
+        return np.concatenate((logp, [logp[b].sum() for b in self.spelled], [-np.inf]))
+
+    def _sum(self, terms: list[np.ndarray]) -> np.ndarray:
+        top = np.maximum.reduce(terms)
+        top = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            return top + np.log(sum([np.exp(t - top) for t in terms]))
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        logp = self._logp(logp)
+        alpha = np.full((self.n + 1, self.size), -np.inf)
+        alpha[0] = 0.0
+        for i in range(1, self.n + 1):
+            alpha[i] = self._sum([alpha[j] + logp[self.arcs[j, i]] for j in range(i) if (j, i) in self.arcs])
+        return alpha
+
+    def expected(self, logp: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
+        alpha, extended = self.forward(logp), self._logp(logp)
+        beta = np.full((self.n + 1, self.size), -np.inf)
+        beta[self.n] = 0.0
+        total = np.zeros(len(extended))
+        for j in range(self.n - 1, -1, -1):
+            steps = {i: beta[i] + extended[self.arcs[j, i]] for i in range(j + 1, self.n + 1) if (j, i) in self.arcs}
+            if not steps:
+                continue
+            beta[j] = self._sum(list(steps.values()))
+            for i, step in steps.items():
+                total += np.bincount(self.arcs[j, i] % len(total), weights * np.exp(alpha[j] + step - alpha[self.n]), len(total))
+        into += total[: len(into)]
+        for share, spelled in zip(total[len(into) : -1], self.spelled, strict=True):
+            np.add.at(into, spelled, share)
+
+
+def lattices(pieces: Pieces, words: list[str]):
+    """(positions, lattices) of the words that are short enough, by length; then each position of a long word with None."""
+    by_length: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        by_length.setdefault(min(len(w), BATCH_CHARS + 1), []).append(k)
+    for length, at in by_length.items():
+        step = 1 if length > BATCH_CHARS else BATCH_WORDS
+        for k in range(0, len(at), step):
+            here = at[k : k + step]
+            yield np.array(here), None if step == 1 else Lattices(pieces, [words[i] for i in here])
+
+
+def log_marginals(pieces: Pieces, logp: np.ndarray, words: list[str]) -> np.ndarray:
+    out, plain = np.zeros(len(words)), logp.tolist()
+    for at, batch in lattices(pieces, words):
+        out[at] = forward(pieces, plain, words[at[0]])[-1] if batch is None else batch.forward(logp)[-1]
+    return out
+
+
+def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
+    total, plain = np.zeros(len(logp)), logp.tolist()
+    for at, batch in lattices(pieces, words):
+        if batch is None:
+            expected(pieces, plain, words[at[0]], weights[at[0]], total)
+        else:
+            batch.expected(logp, weights[at], total)
+    return total
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, c``: all distinct words of the texts, with their counts in the training texts."""
 
@@ -154,14 +241,12 @@ def fit(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nda
     logp = pieces.first
 
     for _ in range(rounds):
-        weights = logp.tolist()
 
-        def run(batches, weights=weights):
+        def run(batches, logp=logp):
             mine = pieces_of(path)
-            total = np.zeros(len(weights))
+            total = np.zeros(len(logp))
             for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    expected(mine, weights, word, c, total)
+                total += expected_counts(mine, logp, batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
 
@@ -192,12 +277,12 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Dat
     ends = docs.where("NOT held_out").count()
     tokens, distinct = int(totals[0] or 0) + ends, int(totals[1]) + (ends > 0)
     unseen = min(0.5, max(1, totals[2]) / max(1, tokens))  # the mass of words that training lacks
-    weights = fit(counts, ends, path, rounds).tolist()
+    weights = fit(counts, ends, path, rounds)
 
     def weigh(batches):
         mine = pieces_of(path)
         for batch in batches:
-            spelled = np.array([forward(mine, weights, word)[-1] for word in batch.column(0).to_pylist()]) + math.log(unseen)
+            spelled = log_marginals(mine, weights, batch.column(0).to_pylist()) + math.log(unseen)
             with np.errstate(divide="ignore"):
                 whole = np.log(batch.column(1).to_numpy() * ((1 - unseen) / max(1, tokens)))
             logs = np.logaddexp(spelled, whole)

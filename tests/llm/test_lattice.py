@@ -44,6 +44,17 @@ def test_forward_and_expected_counts(word):
     assert np.allclose(got, want)
 
 
+def test_batches_equal_single_words():
+    pieces = lattice.pieces_of(lattice.default_path())
+    words = ["the", "été", "漢x", "🎉", "a", "tion", "x" * 70, "▁▁a", "ththertion", "zé漢🎉", "the"]
+    weights = np.arange(1.0, len(words) + 1)
+    want = np.zeros(len(pieces.first))
+    for w, c in zip(words, weights):
+        lattice.expected(pieces, pieces.first.tolist(), w, c, want)
+    assert np.allclose(lattice.expected_counts(pieces, pieces.first, words, weights), want)
+    assert np.allclose(lattice.log_marginals(pieces, pieces.first, words), [lattice.forward(pieces, pieces.first.tolist(), w)[-1] for w in words])
+
+
 def test_base_and_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
     split = {d: (zlib.crc32(str(d).encode()) % 7 == 2, brute.WORD.findall(brute.lower(t or ""))) for d, t in docs}
