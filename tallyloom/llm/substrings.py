@@ -255,11 +255,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            words = [x.split() for x in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in words])],
-                ["doc_id", "tk", "n_words", "all_sha256"],
-            )
+            counts, hashes = [], []
+            for text in as_bytes(batch.column(2)):  # one text's words at a time
+                words = text.split()
+                counts.append(len(words))
+                hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "tk", "n_words", "all_sha256"])
 
     schema = "doc_id long, tk long, n_words long, all_sha256 string"
     base = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tk"), F.col("text").cast("string")).mapInArrow(run, schema)
