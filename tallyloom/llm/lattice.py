@@ -38,6 +38,7 @@ PART_BYTES = 8 << 20
 #: Words with up to so many characters are worked on together, so many of one length at a time.
 BATCH_CHARS, BATCH_WORDS = 64, 2048
 _MARK = "▁"
+_BASE, _FILTER_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
 def default_path() -> str:
@@ -73,6 +74,27 @@ class Pieces:
         weights = 1 / np.array([*ranks, 1.0])
         self.first = np.log(weights / weights.sum())
         self.longest = max(map(len, self.of))
+        # the same by a 64-bit hash of the code points, for many texts at once
+        hashes = np.zeros(len(self.of), np.uint64)
+        for k, text in enumerate(self.of):
+            h = 0
+            for c in text:
+                h = (h + ord(c)) * int(_BASE) % (1 << 64)
+            hashes[k] = h
+        order = np.argsort(hashes)
+        self._hashes, self._numbers = hashes[order], np.array(list(self.of.values()), np.int32)[order]
+        self._may = np.zeros(1 << _FILTER_BITS, bool)
+        self._may[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece that has each hash, or -1."""
+        out = np.full(hashes.size, -1, np.int32)
+        flat = hashes.ravel()
+        at = np.flatnonzero(self._may[flat >> np.uint64(64 - _FILTER_BITS)])
+        k = np.searchsorted(self._hashes[:-1], flat[at])
+        hit = self._hashes[k] == flat[at]
+        out[at[hit]] = self._numbers[k[hit]]
+        return out.reshape(hashes.shape)
 
     def arcs(self, word: str) -> list[list[tuple[int, int]]]:
         """For each position after a character: (where an arc begins, its piece); a negative number is a character in bytes, where it is no piece."""
@@ -134,19 +156,22 @@ class Lattices:
     Characters that are no piece get numbers after the pieces and the end."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        texts = [_MARK + w for w in words]
-        self.pieces, self.n, self.size = pieces, len(texts[0]), len(words)
+        codes = np.frombuffer("".join([_MARK + w for w in words]).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+        self.pieces, self.n, self.size = pieces, codes.shape[1], len(words)
         self.other: dict[str, int] = {}
         self.arcs: dict[tuple[int, int], np.ndarray] = {}
-        of, plain = pieces.of.get, pieces.end + 1
-        for i in range(1, self.n + 1):
-            for j in range(max(0, i - pieces.longest), i):
-                found = np.array([of(t[j:i], -1) for t in texts])
-                if j == i - 1 and (found < 0).any():
-                    for k in np.flatnonzero(found < 0):
-                        found[k] = plain + self.other.setdefault(texts[k][j], len(self.other))
-                if (found >= 0).any():
-                    self.arcs[j, i] = found
+        plain = pieces.end + 1
+        spans = [(j, i) for j in range(self.n) for i in range(j + 1, min(self.n, j + pieces.longest) + 1)]
+        hashes = np.empty((len(spans), self.size), np.uint64)
+        for k, (j, i) in enumerate(spans):
+            np.multiply(codes[:, i - 1] if i == j + 1 else hashes[k - 1] + codes[:, i - 1], _BASE, out=hashes[k])
+        found = pieces.find(hashes)
+        for k in np.flatnonzero((found >= 0).any(1) | [i == j + 1 for j, i in spans]).tolist():
+            j, i = spans[k]
+            if i == j + 1 and (other := found[k] < 0).any():
+                for c in np.unique(codes[other, j]).tolist():
+                    found[k, codes[:, j] == c] = plain + self.other.setdefault(chr(c), len(self.other))
+            self.arcs[j, i] = found[k]
         self.spelled = [pieces.spelled(c) for c in self.other]
 
     def _logp(self, logp: np.ndarray) -> np.ndarray:
@@ -171,14 +196,16 @@ class Lattices:
         alpha, extended = self.forward(logp), self._logp(logp)
         beta = np.full((self.n + 1, self.size), -np.inf)
         beta[self.n] = 0.0
-        total = np.zeros(len(extended))
+        which, shares = [], []
         for j in range(self.n - 1, -1, -1):
             steps = {i: beta[i] + extended[self.arcs[j, i]] for i in range(j + 1, self.n + 1) if (j, i) in self.arcs}
             if not steps:
                 continue
             beta[j] = self._sum(list(steps.values()))
             for i, step in steps.items():
-                total += np.bincount(self.arcs[j, i] % len(total), weights * np.exp(alpha[j] + step - alpha[self.n]), len(total))
+                which.append(np.where(self.arcs[j, i] < 0, len(extended) - 1, self.arcs[j, i]))
+                shares.append(weights * np.exp(alpha[j] + step - alpha[self.n]))
+        total = np.bincount(np.concatenate(which), np.concatenate(shares), len(extended))
         into += total[: len(into)]
         for share, spelled in zip(total[len(into) : -1], self.spelled, strict=True):
             np.add.at(into, spelled, share)
