@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that are worked on at a time inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: UTF-8 bytes of text of which one part consists, where texts are dealt to parts.
 PART_BYTES = 4 << 20
 
