@@ -13,8 +13,8 @@ be 49,000 squared) and kept.
 
 The automaton accepts exactly one token path for each string, the one that
 applying merges by rank gives.  Encoding walks a pre-split word from left to
-right and keeps, for each position, the one arc that can end there; decoding
-emits the arcs' labels.
+right, from each position by the longest arc that the state has, and goes back
+where that leads nowhere; decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -72,14 +72,14 @@ class MergeAutomaton:
             self.rank[x << 20 | y] = rank
             if self.born[z] < 0:
                 self.born[z], self.left[z], self.right[z] = rank, x, y
-        self.trie: dict = {}
+        self.trie: list = [{}, -1]  # a node: the nodes below by symbol, the label that ends here
         for token, i in self.ids.items():
             ended = bool(self.end) and token.endswith(self.end) and token != self.end
             letters = token[: -len(self.end)] if ended else token
             node = self.trie
             for x in [*letters[:-1], letters[-1] + self.end * ended]:
-                node = node.setdefault(x, {})
-            node[""] = i
+                node = node[0].setdefault(x, [{}, -1])
+            node[1] = i
         self.table: dict[int, bool] = {}
 
     def arc(self, t: int, u: int) -> bool:
@@ -110,26 +110,41 @@ class MergeAutomaton:
         whole = ids.get(letters + self.end)
         if whole is not None:
             return [whole]
-        # arcs from each reached position, read off the trie of labels; the last symbol carries the word end
+        # arcs from a position are read off the trie of labels, the longest is tried first; the last symbol carries the word end.
+        # as one arc at most can end at a position, one that led nowhere need not be reached again
         symbols = [*letters[:-1], letters[-1] + self.end]
-        last = [-1] * (n + 1)
-        came = [0] * (n + 1)
-        for j in range(n):
-            t = last[j]
-            if j and t < 0:
-                continue
-            node = self.trie
+        path: list[int] = []
+        open_arcs: list[tuple[list[tuple[int, int]], int]] = []
+        dead: set[int] = set()
+        j, t = 0, -1
+        while True:
+            here, below = [], self.trie[0]
             for i in range(j, n):
-                node = node.get(symbols[i])
+                node = below.get(symbols[i])
                 if node is None:
                     break
-                if last[i + 1] < 0 and (u := node.get("")) is not None and (j == 0 or arc(t, u)):
-                    last[i + 1], came[i + 1] = u, j
-        path, i = [], n
-        while i:
-            path.append(last[i])
-            i = came[i]
-        return path[::-1]
+                below, u = node
+                if u >= 0:
+                    here.append((i + 1, u))
+            while True:
+                while here:
+                    i, u = here.pop()
+                    if i not in dead and (t < 0 or arc(t, u)):
+                        break
+                else:
+                    dead.add(j)
+                    if not path:  # no path: a symbol that is in no label
+                        return []
+                    path.pop()
+                    here, j = open_arcs.pop()
+                    t = path[-1] if path else -1
+                    continue
+                break
+            path.append(u)
+            if i == n:
+                return path
+            open_arcs.append((here, j))
+            j, t = i, u
 
 
 class Memory(dict):
