@@ -1,14 +1,18 @@
 """N-gram Jaccard join with a count-vector index (operator 7).
 
-A document is its set of distinct 3-word shingles.  Shingles are hashed into
-groups, and the group counts of a document are a point.  Two sets with a Jaccard
-index of at least 0.9 differ in at most (|A| + |B|) / 19 shingles, so
+A document is its set of distinct shingles, of 3 words unless told otherwise.  Shingles
+are hashed into groups, and the group counts of a document are a point.  Two sets with
+a Jaccard index of at least t, 0.9 unless told otherwise, differ in at most
+(1 - t) / (1 + t) * (|A| + |B|) shingles, so
 
 * dealt to one block more than that, some block has the same counts in both.
   The counts of one block are a key of a hash directory, the top of the index;
   only documents that meet in a bucket of it are compared.  Sizes fall into
   classes that fix the number of blocks; documents that may have a partner in the
-  next smaller class are entered there too.  This loses no pair.
+  next smaller class are entered there too.  A set with fewer empty blocks than
+  blocks that must agree is entered under those that hold something only, for one
+  of these agrees with each partner; a lower t makes many blocks empty.  This
+  loses no pair.
 * the summed coordinate minima of two points bound the overlap from above.  In a
   bucket the points are packed into an R-tree, whose nodes bound by the maxima
   of what they hold.
@@ -35,19 +39,14 @@ from .components import components
 SHINGLE = 3
 #: The similarity, in percent.
 LEAST = 90
-#: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); groups of one block of the directory.
+#: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); in the directory each 32-bit hash is a group of its own, as blocks of few shingles would often agree by chance in coarser ones.
 GROUPS = 256
-BLOCK_GROUPS = 4096
 #: Points of a bucket that are joined at a time.
 CHUNK = 2048
 #: Partners of a point in a bucket that are verified before all others.
 NEAREST = 3
 _LEAF = 32
 
-_rng = np.random.default_rng(20240607)
-_LOW = _rng.integers(1, 1 << 32, BLOCK_GROUPS).astype(np.float64)
-_HIGH = _rng.integers(1, 1 << 32, BLOCK_GROUPS).astype(np.float64)
-
 
 def _classes(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the size classes: smallest and largest size, number of blocks."""
@@ -104,7 +103,7 @@ def directory_keys(sets: Sets, least: int = LEAST) -> tuple[np.ndarray, np.ndarr
     own = np.searchsorted(high, sets.sizes)
     keys, texts = [], []
     spread = mix(sets.hashes + np.uint64(0x5851F42D4C957F2D))
-    group = (spread >> np.uint64(32)).astype(np.int64) % BLOCK_GROUPS
+    low32, high32 = ((x >> np.uint64(32)).astype(np.float64) for x in (spread, mix(spread)))
     for space, enter in ((own, sets.sizes > 0), (own - 1, (sets.sizes > 0) & (own > 0) & (100 * high[np.maximum(own - 1, 0)] >= least * sets.sizes))):
         texts_in = np.flatnonzero(enter)
         if not len(texts_in):
@@ -115,12 +114,16 @@ def directory_keys(sets: Sets, least: int = LEAST) -> tuple[np.ndarray, np.ndarr
         doc = sets.doc[used]
         block = (spread[used] & np.uint64(0xFFFFFFFF)).astype(np.int64) % count[doc]
         slot = base[doc] + block
-        lows = np.bincount(slot, _LOW[group[used]], base[-1]).astype(np.uint64)
-        highs = np.bincount(slot, _HIGH[group[used]], base[-1]).astype(np.uint64)
+        lows = np.bincount(slot, low32[used], base[-1]).astype(np.uint64)
+        highs = np.bincount(slot, high32[used], base[-1]).astype(np.uint64)
         text = np.repeat(np.arange(len(count)), count)
         where = (np.arange(base[-1]) - base[text]) * 4096 + space[text]
-        keys.append(mix(mix(lows * np.uint64(0x9E3779B97F4A7C15) + highs) ^ mix(where.astype(np.uint64) + np.uint64(77))))
-        texts.append(text)
+        empty = np.bincount(slot, minlength=base[-1]) == 0
+        largest = np.where(space == own, sets.sizes * 100 // least, high[np.maximum(space, 0)])
+        agree = count - (sets.sizes + largest) * (100 - least) // (100 + least)
+        take = ~empty | (np.bincount(text[empty], minlength=len(count)) >= agree)[text]
+        keys.append(mix(mix(lows * np.uint64(0x9E3779B97F4A7C15) + highs) ^ mix(where.astype(np.uint64) + np.uint64(77)))[take])
+        texts.append(text[take])
     return (np.concatenate(keys), np.concatenate(texts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -173,11 +176,11 @@ class RTree:
         return self.order[at[fits]], both[fits] / (size + sizes[fits] - both[fits])
 
 
-def _set_rows(docs: DataFrame) -> DataFrame:
+def _set_rows(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, part in slices(batch.column(1)):
-                s = Sets(part)
+                s = Sets(part, shingle)
                 a, b = s.names()
                 none = s.sizes == 0
                 ids = batch.column(0).slice(first, len(part))
@@ -188,24 +191,24 @@ def _set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, name long, name2 long")
 
 
-def _key_rows(docs: DataFrame, least: int) -> DataFrame:
+def _key_rows(docs: DataFrame, least: int, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
-                s = Sets(part)
+                s = Sets(part, shingle)
                 keys, text = directory_keys(s, least)
                 yield pa.RecordBatch.from_arrays([i64(keys), i64(s.names()[0][text])], ["key", "name"])
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, "key long, name long")
 
 
-def _points(docs: DataFrame) -> DataFrame:
+def _points(docs: DataFrame, shingle: int) -> DataFrame:
     """``name, point, hashes`` of the documents given, as packed integers."""
 
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
-                s = Sets(part)
+                s = Sets(part, shingle)
                 hashes = [s.hashes[a:b].tobytes() for a, b in zip(s.first, s.first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array(pack_points(s.points()), pa.binary()), pa.array(hashes, pa.binary())], ["name", "point", "hashes"])
 
@@ -267,21 +270,21 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least:
     return spread.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row.
+def jaccard_classes(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row, of sets of ``shingle`` words at ``least`` percent.
 
     Rows with a null doc_id take no part and have a null component; a text
     without words has an empty set and is a component of its own; repeated rows
     and rows with one doc_id and several texts are each linked by their text, and
     all count under that doc_id.  Other columns are left out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(_set_rows(docs), "shingle-sets")
+    rows = materialize(_set_rows(docs, shingle), "shingle-sets")
     nodes = materialize(rows.where("doc_id IS NOT NULL AND name IS NOT NULL").groupBy("name", "name2").agg(F.min("doc_id").alias("least_doc")), "distinct-sets")
-    keys = _key_rows(docs, least)
+    keys = _key_rows(docs, least, shingle)
     shared = materialize(keys.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first < last").select("key", "first"), "shared-keys")
     buckets = materialize(keys.join(shared, "key").select("key", "first", "name").distinct(), "buckets")
     wanted = buckets.select("name").distinct().join(nodes, "name").select(F.col("least_doc").alias("doc_id")).distinct()
-    points = materialize(_points(docs.join(wanted, "doc_id")).dropDuplicates(["name"]), "points")
+    points = materialize(_points(docs.join(wanted, "doc_id"), shingle).dropDuplicates(["name"]), "points")
     stars = buckets.groupBy(F.col("name").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
     links = materialize(_verify(stars, points, least), "star-links")
     for nearest in (NEAREST, None):
