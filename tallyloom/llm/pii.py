@@ -207,7 +207,7 @@ class Potentials:
     def added(self, text: str, found, failed) -> list[tuple[int, int, int]]:
         """Spans of words that the field labels and no base span covers."""
         g = Graph(text, found, failed)
-        if not len(g.words) or (g.label >= 0).all() or not (g.label[g.label != OTHER] >= 0).any():
+        if not len(g.words) or (g.label >= 0).all():
             return []
         p = self.marginals(g)
         best = p.argmax(1)
@@ -287,8 +287,11 @@ def find(docs: DataFrame, model: Potentials | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(at).cast(pa.string()).to_pylist():
-                found, failed = base_spans(text) if text and _HINT.search(text) else ([], [])
-                spans = sorted([*found, *model.added(text, found, failed)]) if found else found
+                found, failed, more = [], [], []
+                if text and _HINT.search(text):
+                    found, failed = base_spans(text)
+                    more = model.added(text, found, failed)
+                spans = sorted([*found, *more])
                 n = Counter(k for _, k, _ in found)
                 rows.append((*(n[k] for k in range(OTHER)), hashlib.sha256(_told(found).encode()).hexdigest(), _told(spans), mask(text, spans) if spans else text))
             kinds = [*[pa.int64()] * OTHER, *[pa.string()] * 3]

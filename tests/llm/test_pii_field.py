@@ -25,3 +25,13 @@ def test_partners_count_once():
     for i in range(len(of)):
         want = [sum(g.label[j] == k and bool(of[i] & of[j]) for j in range(len(of))) for k in range(pii.OTHER + 1)] if g.label[i] < 0 else [0] * (pii.OTHER + 1)
         assert g.alike[i].tolist() == want
+
+
+def test_texts_without_base_spans(spark):
+    """An address that the base pattern can't match is masked whether or not the text has a base span."""
+    rows = [(i, f"write kim.{i:02d}@mail.example.com today") for i in range(60)]
+    rows += [(100, "write kim.01é@mail.example.com today"), (101, "write kim.01é@mail.example.com today or lee.02@mail.example.com"), (102, "room 4711 of 1999"), (103, "no such word")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].n_email == 0 and got[100].masked == "write [email] today"
+    assert got[101].masked == "write [email] today or [email]"
+    assert got[102].masked == rows[62][1] and got[103].masked == rows[63][1]
