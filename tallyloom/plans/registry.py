@@ -265,14 +265,14 @@ def pair_export(spark, d):
 
 QUERIES["pair_export"] = pair_export
 
-# --- matching: customers' orders of parts as listings against the catalog
+# --- matching: parts as listings against the catalog
 
 
 def _incoming(spark, d):
-    """Each order line as a listing: the part's attributes, now and then with another brand, unit or size."""
+    """Each part as a listing, now and then with another brand, unit or size, and the catalog."""
     p = R.products(spark, d)
     k = F.col("product_id")
-    out = p.where(k % 4 != 3).withColumns({
+    out = p.withColumns({
         "brand": F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, F.lit("Brand#1")).otherwise(F.col("brand")),
         "size_unit": F.when(k % 5 == 0, F.lit("G")).otherwise(F.col("size_unit")),
         "base_unit_qty": F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("base_unit_qty") * 1.01),
@@ -280,6 +280,12 @@ def _incoming(spark, d):
     return out.withColumnRenamed("product_id", "listing_id"), p
 
 
+def _as_in_sql(spark, d):
+    """The listings that _INCOMING has: without those whose id is 3 modulo 4."""
+    listings, p = _incoming(spark, d)
+    return listings.where(F.col("listing_id") % 4 != 3), p
+
+
 _INCOMING = """incoming AS (SELECT product_id AS listing_id, category, subcategory, is_loose, CASE WHEN product_id % 7 = 0 THEN NULL WHEN product_id % 7 = 1 THEN 'Brand#1' ELSE brand END AS brand,
     CASE WHEN product_id % 5 = 0 THEN 'G' ELSE size_unit END AS size_unit, CASE WHEN product_id % 11 = 0 THEN NULL ELSE base_unit_qty * 1.01 END AS q FROM products WHERE product_id % 4 <> 3),
   tiers AS (SELECT listing_id, product_id, CASE WHEN i.brand = p.brand AND i.size_unit = p.size_unit THEN 1 WHEN i.brand = p.brand THEN 2 WHEN i.brand IS NULL OR i.brand = p.brand THEN 3 WHEN i.is_loose THEN 4 END AS tier
@@ -288,7 +294,7 @@ _INCOMING = """incoming AS (SELECT product_id AS listing_id, category, subcatego
 
 def _tier_query(tier: int, name: str):
     def run(spark, d):
-        return match.match_tier(*_incoming(spark, d), tier=tier)
+        return match.match_tier(*_as_in_sql(spark, d), tier=tier)
 
     run.__name__ = f"match_{name}"
     query(with_roles("products") + f", {_INCOMING} SELECT listing_id, min(product_id) AS product_id FROM tiers WHERE tier = {tier} GROUP BY listing_id")(run)
@@ -302,7 +308,7 @@ for _n, (_tier, _name) in enumerate(((1, "exact"), (2, "brand"), (3, "category")
     SELECT listing_id, product_id, CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 WHEN 4 THEN 0.55 ELSE 0.0 END AS confidence, CASE tier WHEN 1 THEN 'exact' WHEN 2 THEN 'brand' WHEN 3 THEN 'category' WHEN 4 THEN 'loose' ELSE 'unmatched' END AS method
     FROM incoming LEFT JOIN best USING (listing_id)""".replace("1.0 WHEN", "1.0::DOUBLE WHEN"))
 def match_listings(spark, d):
-    return match.match(*_incoming(spark, d), fuzzy=False)
+    return match.match(*_as_in_sql(spark, d), fuzzy=False)
 
 
 def match_fuzzy(spark, d):
