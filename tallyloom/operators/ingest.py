@@ -53,6 +53,11 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int) -> DataF
     return placed.withColumn(name, (offset + F.col("_i")).cast("long")).drop("_p", "_i")
 
 
+def _same(a, b) -> bool:
+    """Equal, or both missing."""
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
 def _creations(products: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     """Of one attach key: which first-seen sizes no product covers when they arrive."""
     known = [(x, v, u) for x, v, u in zip(products["known_base"], products["known_value"], products["known_unit"], strict=True)]
@@ -60,7 +65,7 @@ def _creations(products: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     for i, row in firsts.sort_values("seq").iterrows():
         x, v, u = row["base_unit_qty"], row["size_value"], row["size_unit"]
         covered = any(
-            (pd.notna(k) and pd.notna(x) and ((x == 0 and k == 0) or (x != 0 and k != 0 and abs(k - x) <= SIZE_TOLERANCE * max(k, x)))) or (kv == v and ku == u) for k, kv, ku in known
+            (pd.notna(k) and pd.notna(x) and ((x == 0 and k == 0) or (x != 0 and k != 0 and abs(k - x) <= SIZE_TOLERANCE * max(k, x)))) or (_same(kv, v) and _same(ku, u)) for k, kv, ku in known
         )
         if not covered:
             known.append((x, v, u))
@@ -75,13 +80,13 @@ def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
     ``products``: product_id, normalized_name, base_unit_qty and SIX.  Listings
     without a category are left unmatched."""
     known = listings.where(F.col("category").isNotNull())
-    sized = (F.coalesce(F.col("brand"), F.lit("")) != "") & F.col("base_unit_qty").isNotNull()
+    sized = F.coalesce(F.col("brand"), F.lit("")) != ""
     columns = [*SIX, "base_unit_qty"]
 
     # by sets: one product for each new six-column key
     plain = known.where(~sized)
     have = products.select(*SIX).distinct().alias("p")
-    new = plain.groupBy(*columns).agg(F.min("seq").alias("seq"))
+    new = plain.groupBy(*SIX).agg(F.min("seq").alias("seq"), F.min_by("base_unit_qty", "seq").alias("base_unit_qty"))
     new = new.join(have, [new[c].eqNullSafe(F.col(f"p.{c}")) for c in SIX], "left_anti")
 
     # by order: distinct sizes of each branded key

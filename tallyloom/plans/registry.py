@@ -437,10 +437,10 @@ def normalize_listings(spark, d):
 
 
 def ingest_attach(spark, d):
-    """Order lines in order of arrival, attached to the catalog."""
-    incoming, _ = _incoming(spark, d)
-    empty = R.products(spark, d).limit(0)
-    return ingest.attach(incoming.withColumnRenamed("listing_id", "seq"), empty)[0]
+    """Parts as listings in order of arrival, attached to a catalog that lacks the brands of two digits."""
+    incoming, products = _incoming(spark, d)
+    catalog_before = products.where(~F.col("brand").rlike("#[0-9]{2}$"))
+    return ingest.attach(incoming.withColumnRenamed("listing_id", "seq"), catalog_before)[0]
 
 
 QUERIES |= {"normalize_listings": normalize_listings, "ingest_attach": ingest_attach}
