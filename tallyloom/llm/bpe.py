@@ -1,20 +1,25 @@
 """BPE encoding and decoding with a merge automaton (operator 2).
 
-The merges of a vocabulary file become a deterministic automaton over tokens by
-successive merge gadgets.  It starts as one state that loops on every base
-symbol.  The gadget of merge ``(a, b) -> c`` gives each state with an arc ``a``
-an arc ``c``, whose target is a copy of the state that ``b`` leads to, and takes
-the arc ``b`` from the state that ``a`` leads to.  As every arc with one label
-has one target, a state is known by the label that enters it; state ``c`` is a
-copy, made at its birth, of the state of its right half.  So whether arc ``u``
-leaves state ``t`` after all gadgets follows from the two births, and rows of
-the transition table are filled in when they are first used (all of them would
-be 49,000 squared) and kept.
-
-The automaton accepts exactly one token path for each string, the one that
-applying merges by rank gives.  Encoding walks a pre-split word from left to
-right, from each position by the longest arc that the state has, and goes back
-where that leads nowhere; decoding emits the arcs' labels.
+The merges of a vocabulary file are compiled into a deterministic automaton over
+tokens by successive merge gadgets.  It starts as one state that loops on every
+base symbol.  The gadget of merge ``(a, b) -> c`` gives each state with an arc ``a``
+an arc ``c`` to a new state, a copy of the state that ``b`` leads to, and takes the
+arc ``b`` from the state that ``a`` leads to.  As every arc with one label has one
+target, a state is known by the label that enters it.
+
+Nearly all arcs are there, so a state's row of the transition table holds those that
+were taken, and the default is an arc to the label's own state.  A gadget takes one
+arc, and copies made later take it over: row ``c`` from its right half's, column ``c``
+from its left half's.  States in the order of the tree of right halves, later copies
+first, and labels in that of left halves make this a run of rows times a run of
+columns.  So a gadget is one rectangle, which is set in the table of bits once all places
+are known; equal rows and equal columns are kept once (24 MB for 49,000 tokens).
+
+The automaton accepts exactly one token path for each string, the one that applying
+merges by rank gives, and so for each prefix: encoding reads symbols from left to
+right and keeps, for each position, the one label whose arc ends there.  Which labels
+may end is read off the trie of labels, also a table.  All distinct words of some
+texts take their steps together; nothing is taken back.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import unicodedata
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pre-split chunks whose encoding a Python worker remembers; up to twice as many stay.
-REMEMBERED = 300_000
-_NEVER = 1 << 40
+#: Bytes, about, that a Python worker keeps of chunks and their encodings; up to twice as many for a moment.
+REMEMBERED_BYTES = 64 << 20
+#: Longer chunks are not remembered.
+REMEMBERED_CHUNK = 64
+#: Text that is worked on at a time; only a longer run without white space is taken whole.
+PIECE_BYTES = 1 << 20
+#: Words of up to so many symbols step together, so many at a time.
+TOGETHER_SYMBOLS, TOGETHER_WORDS = 48, 4096
 
 
 def default_path() -> str:
@@ -51,125 +62,310 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+class _Halves:
+    """Places of labels in the tree of their left or right halves: a label, then its copies, the last one first."""
+
+    def __init__(self, parent: list[int], born: list[int], made: list[int]):
+        size = [1] * len(parent)
+        for z in reversed(made):
+            size[parent[z]] += size[z]
+        self.parent, self.size = parent, size
+        self.place, self.free = [0] * len(parent), [0] * len(parent)
+        at = 0
+        for i, rank in enumerate(born):
+            if rank < 0:
+                self.place[i], at = at, at + size[i]
+                self.free[i] = at
+
+    def add(self, z: int) -> None:
+        """Copies are added in the order of their births, each in front of those before it."""
+        above = self.parent[z]
+        self.free[above] -= self.size[z]
+        self.place[z] = self.free[above]
+        self.free[z] = self.place[z] + self.size[z]
+
+
+class _Lookup:
+    """A table from whole numbers to whole numbers, looked up for many at once; open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):  # who finds a free place takes it, the others go on to the next one
+            free = left[self.keys[at] < 0]
+            self.keys[at[self.keys[at] < 0]] = keys[free]
+            missed = self.keys[at] != keys[left]
+            self.values[at[~missed]] = values[left[~missed]]
+            left, at = left[missed], (at[missed] + 1) % len(self.keys)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, or -1."""
+        at = self._first(keys)
+        out, found = self.values[at], self.keys[at]
+        wrong = found != keys
+        out[wrong] = -1
+        left = np.flatnonzero(wrong & (found >= 0))
+        at, keys = at[left], keys[left]
+        while len(left):  # the next place, up to a free one
+            at = (at + 1) % len(self.keys)
+            found = self.keys[at]
+            same = found == keys
+            out[left[same]] = self.values[at[same]]
+            on = ~same & (found >= 0)
+            left, at, keys = left[on], at[on], keys[on]
+        return out
+
+
 class MergeAutomaton:
-    """Deterministic automaton of a BPE vocabulary with word ends."""
+    """Deterministic automaton of a BPE vocabulary, with word ends if it has any."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.ids: dict[str, int] = model["vocab"]
-        n = max(self.ids.values()) + 1
+        ids: dict[str, int] = model["vocab"]
+        n = max(ids.values()) + 1
         self.labels = [""] * n
-        for token, i in self.ids.items():
+        for token, i in ids.items():
             self.labels[i] = token
-        self.born = [-1] * n
-        self.left = [0] * n
-        self.right = [0] * n
-        self.rank: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            x, y, z = self.ids[a], self.ids[b], self.ids[a + b]
-            self.rank[x << 20 | y] = rank
-            if self.born[z] < 0:
-                self.born[z], self.left[z], self.right[z] = rank, x, y
-        self.trie: list = [{}, -1]  # a node: the nodes below by symbol, the label that ends here
-        for token, i in self.ids.items():
+        self._compile([p.split(" ") if isinstance(p, str) else p for p in model["merges"]], ids, n)
+        self._compile_trie()
+
+    def _compile(self, merges: list, ids: dict[str, int], n: int) -> None:
+        """Add the gadgets by rank; equal rows are one row of the table."""
+        born, left, right, made = [-1] * n, [0] * n, [0] * n, []
+        gadgets = []
+        for rank, (a, b) in enumerate(merges):
+            x, y, z = ids[a], ids[b], ids[a + b]
+            if born[z] < 0 and a + b not in (a, b):
+                born[z], left[z], right[z] = rank, x, y
+                made.append(z)
+            gadgets.append((x, y, z))
+        rows, columns = _Halves(right, born, made), _Halves(left, born, made)
+        taken = np.zeros((len(gadgets), 2), np.int64)
+        of: dict[int, list[int]] = {}
+        for rank, (x, y, z) in enumerate(gadgets):
+            # the new column is copied after the arc is taken, the new row before; this matters where both halves are one label
+            taken[rank] = columns.place[y], columns.free[y]
+            if born[z] == rank:
+                rows.add(z)
+                columns.add(z)
+            of.setdefault(x, []).append(rank)
+        self.place = np.array(columns.place)
+        none = np.zeros(0, np.int64)
+        known: dict[int, np.ndarray] = {}
+        alive = np.ones(n, bool)
+        classes: dict[bytes, int] = {}
+        self.row = np.zeros(n, np.int64)
+        runs = []
+        for p in [i for i in range(n) if born[i] < 0] + made:
+            if born[p] >= 0:
+                alive[p] &= alive[left[p]] and alive[right[p]] and not self._taken_before(known[left[p]], taken, self.place[right[p]], born[p])
+            above = known[right[p]][: np.searchsorted(known[right[p]], born[p])] if born[p] >= 0 else none
+            known[p] = np.sort(np.concatenate((above, np.array(of.get(p, ()), np.int64))))
+            merged = self._merged(taken[known[p]])
+            self.row[p] = classes.setdefault(merged.tobytes(), len(classes))
+            if self.row[p] == len(runs):
+                runs.append(merged)
+        self._fill(runs)
+        self.alive = alive
+
+    def _fill(self, runs: list[np.ndarray]) -> None:
+        """The table, one bit an arc: labels between the same begins and ends of runs share a column."""
+        cuts = np.unique(np.concatenate(runs or [np.zeros(0, np.int64)]))
+        self.column = np.searchsorted(cuts, self.place, side="right")
+        self.stride = len(cuts) // 8 + 1
+        self.table = np.zeros((len(runs), self.stride), np.uint8)
+        for k, run in enumerate(runs):
+            turns = np.zeros(self.stride * 8, np.uint8)
+            turns[np.searchsorted(cuts, run) + 1] = 1
+            self.table[k] = np.packbits(np.bitwise_xor.accumulate(turns))
+        self.table = self.table.ravel()
+        self.row *= self.stride
+        self.bit = (128 >> (self.column & 7)).astype(np.uint8)
+        self.column >>= 3
+
+    @staticmethod
+    def _taken_before(gadgets: np.ndarray, taken: np.ndarray, place: int, rank: int) -> bool:
+        """Had the arc to this place been taken already?  Then the merge never comes about."""
+        some = taken[gadgets[: np.searchsorted(gadgets, rank)]]
+        return bool(((some[:, 0] <= place) & (place < some[:, 1])).any())
+
+    @staticmethod
+    def _merged(runs: np.ndarray) -> np.ndarray:
+        if not len(runs):
+            return np.zeros(0, np.int64)
+        runs = runs[np.argsort(runs[:, 0])]
+        reach = np.maximum.accumulate(runs[:, 1])
+        new = np.ones(len(runs), bool)
+        new[1:] = runs[1:, 0] > reach[:-1]
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(runs) - 1)
+        return np.stack((runs[new, 0], reach[last]), 1).ravel()
+
+    def _compile_trie(self) -> None:
+        symbols: dict[str, int] = {}
+        self.lengths = np.zeros(len(self.labels), np.int64)
+        arcs: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for i, token in enumerate(self.labels):
+            if not token or not self.alive[i]:
+                continue
             ended = bool(self.end) and token.endswith(self.end) and token != self.end
             letters = token[: -len(self.end)] if ended else token
-            node = self.trie
+            node = 0
             for x in [*letters[:-1], letters[-1] + self.end * ended]:
-                node = node[0].setdefault(x, [{}, -1])
-            node[1] = i
-        self.table: dict[int, bool] = {}
+                node = arcs.setdefault((node, symbols.setdefault(x, len(symbols))), len(arcs) + 1)
+            ends[node] = i
+            self.lengths[i] = len(letters)
+        self.symbols = symbols
+        self.width = len(symbols) + 1
+        self.trie = _Lookup(np.array([node * self.width + x for node, x in arcs], np.int64), np.array(list(arcs.values()), np.int64))
+        self.label_at = np.full(len(arcs) + 1, -1, np.int64)
+        self.label_at[list(ends)] = list(ends.values())
+        top = max((ord(x[0]) for x in symbols), default=0) + 2
+        self.inner, self.last = np.full(top, len(symbols), np.int64), np.full(top, len(symbols), np.int64)
+        for x, k in symbols.items():
+            if len(x) == 1:
+                self.inner[ord(x)] = k
+            if x[1:] == self.end:
+                self.last[ord(x[0])] = k
 
     def arc(self, t: int, u: int) -> bool:
-        """Does the arc ``u`` leave state ``t`` after the last gadget?"""
-        key = t << 20 | u
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > 4_000_000:
-                self.table.clear()
-            known = self.table[key] = self._built(t, u)
-        return known
-
-    def _built(self, t: int, u: int) -> bool:
-        time, born, rank = _NEVER, self.born, self.rank
-        while True:
-            if rank.get(t << 20 | u, _NEVER) < time:
-                return False
-            if born[t] < 0 and born[u] < 0:
-                return True
-            if born[t] > born[u]:  # the state is a copy of its right half's, as it was then
-                time, t = born[t], self.right[t]
-            else:  # the arc was added where its left half was; of equal pairs the first is merged
-                time, u = born[u] + 1, self.left[u]
+        """Does the arc ``u`` leave state ``t``?"""
+        return not self.table[self.row[t] + self.column[u]] & self.bit[u]
+
+    def _arcs(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return (self.table[self.row[t] + self.column[u]] & self.bit[u]) == 0
 
     def encode(self, letters: str) -> list[int]:
-        """Token ids of one pre-split word, given in byte letters."""
-        n, ids, arc = len(letters), self.ids, self.arc
-        whole = ids.get(letters + self.end)
-        if whole is not None:
-            return [whole]
-        # arcs from a position are read off the trie of labels, the longest is tried first; the last symbol carries the word end.
-        # as one arc at most can end at a position, one that led nowhere need not be reached again
-        symbols = [*letters[:-1], letters[-1] + self.end]
-        path: list[int] = []
-        open_arcs: list[tuple[list[tuple[int, int]], int]] = []
-        dead: set[int] = set()
-        j, t = 0, -1
-        while True:
-            here, below = [], self.trie[0]
-            for i in range(j, n):
-                node = below.get(symbols[i])
-                if node is None:
+        """Labels of one pre-split word's path; none if a symbol is in no label."""
+        width, trie, label_at, arc = self.width, self.trie, self.label_at, self.arc
+        ending = [-1] * (len(letters) + 1)
+        live: list[tuple[int, int]] = []  # open arcs: the state before, and where in the trie
+        for i, c in enumerate(letters):
+            x = self.symbols.get(c + self.end if i == len(letters) - 1 else c, width - 1)
+            live.append((ending[i], 0))
+            nodes = trie.find(np.array([k * width + x for _, k in live])).tolist()
+            live = [(t, node) for (t, _), node in zip(live, nodes, strict=True) if node >= 0]
+            for t, node in live:
+                u = int(label_at[node])
+                if u >= 0 and (t < 0 or arc(t, u)):
+                    ending[i + 1] = u
                     break
-                below, u = node
-                if u >= 0:
-                    here.append((i + 1, u))
-            while True:
-                while here:
-                    i, u = here.pop()
-                    if i not in dead and (t < 0 or arc(t, u)):
-                        break
-                else:
-                    dead.add(j)
-                    if not path:  # no path: a symbol that is in no label
-                        return []
-                    path.pop()
-                    here, j = open_arcs.pop()
-                    t = path[-1] if path else -1
-                    continue
-                break
-            path.append(u)
-            if i == n:
-                return path
-            open_arcs.append((here, j))
-            j, t = i, u
-
-
-class Memory(dict):
-    """What ``make`` gave for recent keys: about ``limit`` to twice as many, then the older ones go."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+            else:
+                return []
+        path, i = [], len(letters)
+        while i:
+            path.append(ending[i])
+            i -= int(self.lengths[path[-1]])
+        return path[::-1]
+
+    def encode_many(self, words: list[str]) -> list[bytes]:
+        """Labels of each word's path as little-endian 32-bit."""
+        out = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        many = int(np.searchsorted(sizes[order], TOGETHER_SYMBOLS, side="right"))
+        for k in order[many:].tolist():
+            out[k] = np.array(self.encode(words[k]), "<u4").tobytes()
+        for first in range(0, many, TOGETHER_WORDS):
+            some = order[first : min(many, first + TOGETHER_WORDS)]
+            for k, path in zip(some.tolist(), self._together([words[k] for k in some.tolist()], sizes[some]), strict=True):
+                out[k] = path
+        return out
+
+    def _together(self, words: list[str], sizes: np.ndarray) -> Iterator[bytes]:
+        """Words in ascending order of size: one step of all at a time."""
+        n, longest = len(words), int(sizes[-1])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        codes = np.minimum(codes, len(self.inner) - 1)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        symbols = self.inner[codes]
+        symbols[offsets[1:] - 1] = self.last[codes[offsets[1:] - 1]]
+        ending = np.full((n, longest + 1), -1, np.int64)
+        word, state, node = (np.zeros(0, np.int64) for _ in range(3))
+        for i in range(longest):
+            active = np.arange(np.searchsorted(sizes, i, side="right"), n)
+            started = active if i == 0 else active[ending[active, i] >= 0]
+            word, state, node = np.concatenate((word, started)), np.concatenate((state, ending[started, i])), np.concatenate((node, np.zeros(len(started), np.int64)))
+            inside = sizes[word] > i
+            if not inside.all():
+                word, state, node = word[inside], state[inside], node[inside]
+            node = self.trie.find(node * self.width + symbols[offsets[word] + i])
+            hit = np.flatnonzero(node >= 0)
+            word, state, node = word[hit], state[hit], node[hit]
+            label = self.label_at[node]
+            some = np.flatnonzero(label >= 0)
+            there = (state[some] < 0) | self._arcs(np.maximum(state[some], 0), label[some])
+            some = some[there]
+            ending[word[some], i + 1] = label[some]
+        # back along the one path of each word
+        at, row = sizes.copy(), np.arange(n)
+        steps, counts = [], np.zeros(n, np.int64)
+        ok = ending[row, at] >= 0
+        row = row[ok]
+        while len(row):
+            label = ending[row, at[row]]
+            steps.append((row, label, counts[row]))
+            counts[row] += 1
+            at[row] -= self.lengths[label]
+            row = row[at[row] > 0]
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]), "<u4")
+        for row, label, back in steps:
+            flat[ends[row] - 1 - back] = label
+        raw = flat.tobytes()
+        ends = (4 * ends).tolist()
+        return (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
+def windows(text: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
+    """Pieces of a text of about ``limit`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > limit:
+        found = _SPACES.search(text, at + limit)
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
+_SPACES = regex.compile(rb"[\x20\x09-\x0D]")
+
+
+class Memory:
+    """What recent chunks gave: a young generation, and the one before it until that is replaced."""
+
+    def __init__(self, limit: int):
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+        self.limit, self.bytes = limit, 0
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that are to be given; those of the older generation become young."""
+        if self.bytes > self.limit // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        keys = keys - self.young.keys()
+        for key in [k for k in keys if k in self.old]:
+            self.put(key, self.old[key])
+            keys.discard(key)
+        return list(keys)
+
+    def put(self, key: bytes, value) -> None:
+        self.young[key] = value
+        self.bytes += 160 + len(key) + (len(value) if isinstance(value, bytes) else 120 + sum(map(len, value[1:])))
 
 
 class Encoder:
     """Whole texts: special tokens, normalisation, pre-splitting, automaton.
 
     A chunk between white space is encoded alone, which no rule of the
-    vocabulary file looks across, and remembered."""
+    vocabulary file looks across."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -185,54 +381,103 @@ class Encoder:
         self.label_bytes = [x.encode() for x in self.labels]
         self.decimals = [b"%d" % i for i in range(size)]
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.simple = r"|[\p{L}]+|" in self.split.pattern  # a chunk of letters is one word
+        self.hint = os.path.commonprefix(list(self.special))
         self.letters = dict(enumerate(_byte_letters()))
-        self.words = Memory(self._word, REMEMBERED)
-        self.memory = Memory(self._chunk, REMEMBERED)
-        self.packed = Memory(self._packed, REMEMBERED)
-        self.hollow = False  # has a chunk without tokens been seen?
+        self.packed, self.told = Memory(REMEMBERED_BYTES), Memory(REMEMBERED_BYTES)
+        del spec
         gc.freeze()
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        return tuple(self.automaton.encode(letters))
-
-    def pieces(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.apart.split(chunk) if "<|" in chunk else (chunk,):
+    def _words(self, chunk: str) -> list[str | int]:
+        """Pre-split words in byte letters; ids of special tokens."""
+        if self.simple and chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
+        out: list[str | int] = []
+        for piece in self.apart.split(chunk) if self.hint in chunk else (chunk,):
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
             # one letter at a time: a last capital sigma is no exception here
             plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
             for word in self.split.findall(plain):
-                out += self.words[word]
+                out.append(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))
         return out
 
-    def _chunk(self, raw: bytes) -> tuple[int, bytes, bytes, bytes]:
-        """(number of ids, ids in decimal, labels, ids as little-endian 32-bit), the texts joined by one space."""
-        ids = self.pieces(raw.decode())
-        self.hollow |= not ids
-        decimals, labels = self.decimals, self.label_bytes
-        return len(ids), b" ".join([decimals[i] for i in ids]), b" ".join([labels[i] for i in ids]), array("I", ids).tobytes()
-
-    def _packed(self, raw: bytes) -> bytes:
-        return array("I", self.pieces(raw.decode())).tobytes()
-
-    def chunks(self, text: bytes) -> list[tuple[int, bytes, bytes, bytes]]:
-        """One entry for each chunk of the text that has tokens."""
-        got = list(map(self.memory.__getitem__, text.split()))
-        return [x for x in got if x[0]] if self.hollow else got
-
-    def ids(self, text: bytes) -> bytes:
-        """All ids of a text as little-endian 32-bit; remembers them alone."""
-        return b"".join(map(self.packed.__getitem__, text.split()))
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        split = [self._words(c.decode()) for c in chunks]
+        place: dict[str, int] = {}
+        for words in split:
+            for w in words:
+                if isinstance(w, str):
+                    place.setdefault(w, len(place))
+        paths = self.automaton.encode_many(list(place))
+        return [b"".join([paths[place[w]] if isinstance(w, str) else w.to_bytes(4, "little") for w in words]) for words in split]
+
+    def _learn(self, memory: Memory, chunks: list[bytes], make) -> dict:
+        """A dictionary that has all these chunks."""
+        new = memory.missing(set(chunks))
+        long = {}
+        for chunk, path in zip(new, self._encode(new), strict=True):
+            if len(chunk) <= REMEMBERED_CHUNK:
+                memory.put(chunk, make(path))
+            else:
+                long[chunk] = make(path)
+        return {**memory.young, **long} if long else memory.young
+
+    def _tell(self, path: bytes) -> tuple[int, bytes, bytes]:
+        """(number of ids, ids in decimal, labels), the texts joined by one space."""
+        ids = np.frombuffer(path, "<u4").tolist()
+        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.label_bytes[i] for i in ids])
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """All ids of each text as little-endian 32-bit."""
+        for pieces in _together(texts):
+            split = [x.split() for _, x in pieces]
+            known = self._learn(self.packed, [c for chunks in split for c in chunks], lambda path: path)
+            for (k, _), chunks in zip(pieces, split, strict=True):
+                yield k, b"".join([known[c] for c in chunks])
+
+    def tell(self, texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(text, number of ids, ids in decimal, labels) of each piece of the texts."""
+        for pieces in _together(texts):
+            split = [x.split() for _, x in pieces]
+            known = self._learn(self.told, [c for chunks in split for c in chunks], self._tell)
+            for (k, _), chunks in zip(pieces, split, strict=True):
+                got = [x for x in map(known.__getitem__, chunks) if x[0]]
+                yield k, sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b" ".join([x[2] for x in got])
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined by one space: the vocabulary file names no decoder."""
         return " ".join([self.labels[int(i)] for i in ids])
 
 
-@lru_cache(maxsize=2)
+def _together(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """Pieces of texts, each with its text's number, about ``PIECE_BYTES`` at a time."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for piece in windows(text):
+            held.append((k, piece))
+            size += len(piece)
+            if size >= PIECE_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def text_ids(enc: Encoder, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(number, all ids as little-endian 32-bit) of each text, in order."""
+    now, parts = 0, []
+    for k, ids in enc.ids(texts):
+        if k != now:
+            yield now, b"".join(parts)
+            now, parts = k, []
+        parts.append(ids)
+    if texts:
+        yield now, b"".join(parts)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -246,23 +491,31 @@ def encode(docs: DataFrame, path: str | None = None, *, ids: bool = True) -> Dat
     """``doc_id, n_tokens, ids (array, if asked for), ids_sha256, decoded, decoded_sha256`` for every row.
 
     A null text counts as empty: no ids, digests of the empty string.  Repeated
-    rows give repeated results; other columns are left out.  Narrow: no shuffle."""
+    rows give repeated results, ties don't arise, an empty table gives no rows; other
+    columns are left out.  A long text is worked on by pieces; only a run without
+    white space is taken whole.  Narrow: no shuffle."""
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            key = batch.column(0)
-            rows = []
-            for text in as_bytes(batch.column(1)):
-                got = enc.chunks(text)
-                decoded = b" ".join([x[2] for x in got])
-                row = [sum([x[0] for x in got]), hashlib.sha256(b" ".join([x[1] for x in got])).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                rows.append([*row, np.frombuffer(b"".join([x[3] for x in got]), "<u4").astype(np.int32), decoded.decode()] if ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * ids]]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([key, *(pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names)))], ["doc_id", *names])
+            n = batch.num_rows
+            counts, of_ids, of_labels = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+            whole: list[list[tuple[bytes, bytes]]] = [[] for _ in range(n)]
+            for k, count, decimals, labels in enc.tell(as_bytes(batch.column(1))):
+                if count:
+                    between = b" " if counts[k] else b""
+                    of_ids[k].update(between + decimals)
+                    of_labels[k].update(between + labels)
+                    counts[k] += count
+                    if ids:
+                        whole[k].append((decimals, labels))
+            columns = [pa.array(counts, pa.int64()), *(pa.array([h.hexdigest() for h in hs], pa.string()) for hs in (of_ids, of_labels))]
+            if ids:
+                columns.append(pa.array([[int(i) for d, _ in parts for i in d.split()] for parts in whole], pa.list_(pa.int32())))
+                columns.append(pa.array([b" ".join([x for _, x in parts]).decode() for parts in whole], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * ids]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import as_bytes, default_path, encoder
+from .bpe import as_bytes, default_path, encoder, text_ids
 from .common import materialize
 
 CAPACITY = 4096
@@ -172,8 +172,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = enc.ids(text) + end
+            keys = batch.column(0).to_pylist()
+            for number, ids in text_ids(enc, as_bytes(batch.column(1))):
+                key, ids = keys[number], ids + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
