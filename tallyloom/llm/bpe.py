@@ -38,6 +38,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes, about, that a Python worker keeps of chunks and their encodings; up to twice as many for a moment.
 REMEMBERED_BYTES = 64 << 20
@@ -351,14 +353,14 @@ class Memory:
         if self.bytes > self.limit // 2:
             self.old, self.young, self.bytes = self.young, {}, 0
         keys = keys - self.young.keys()
-        for key in [k for k in keys if k in self.old]:
-            self.put(key, self.old[key])
-            keys.discard(key)
-        return list(keys)
+        again = keys & self.old.keys()
+        self.put({k: self.old[k] for k in again})
+        return list(keys - again)
 
-    def put(self, key: bytes, value) -> None:
-        self.young[key] = value
-        self.bytes += 160 + len(key) + (len(value) if isinstance(value, bytes) else 120 + sum(map(len, value[1:])))
+    def put(self, entries: dict) -> None:
+        self.young.update(entries)
+        each = [v if isinstance(v, bytes) else v[1] + v[2] for v in entries.values()]
+        self.bytes += 160 * len(each) + sum(map(len, entries)) + sum(map(len, each))
 
 
 class Encoder:
@@ -372,7 +374,7 @@ class Encoder:
             spec = json.load(f)
         self.automaton = MergeAutomaton(spec)
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.split = regex.compile(split["pattern"]["Regex"])
+        self.lines = regex.compile(split["pattern"]["Regex"] + "|\n")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max(len(self.automaton.labels), *(i + 1 for i in self.special.values()))
         self.labels = [*self.automaton.labels, *[""] * size][:size]
@@ -381,47 +383,56 @@ class Encoder:
         self.label_bytes = [x.encode() for x in self.labels]
         self.decimals = [b"%d" % i for i in range(size)]
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.simple = r"|[\p{L}]+|" in self.split.pattern  # a chunk of letters is one word
+        self.simple = r"|[\p{L}]+|" in self.lines.pattern  # a chunk of letters is one word
         self.hint = os.path.commonprefix(list(self.special))
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = dict(enumerate(_byte_letters())) | {10: "\n"}  # never inside a word
         self.packed, self.told = Memory(REMEMBERED_BYTES), Memory(REMEMBERED_BYTES)
         del spec
         gc.freeze()
 
-    def _words(self, chunk: str) -> list[str | int]:
-        """Pre-split words in byte letters; ids of special tokens."""
-        if self.simple and chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
+    def _split(self, text: str) -> list[list[str]]:
+        """Pre-split words, in byte letters, of each line of a text without special tokens."""
+        # one letter at a time: a last capital sigma is no exception here
+        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        found = self.lines.findall(plain)
+        breaks = [*(i for i, w in enumerate(found) if w == "\n"), len(found)]
+        words = [w for w in found if w != "\n"]
+        words = "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
+        ends = [b - k for k, b in enumerate(breaks)]
+        return [words[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _apart(self, chunk: str) -> list[str | int]:
+        """Words, and ids of special tokens, of a chunk that may have some."""
         out: list[str | int] = []
-        for piece in self.apart.split(chunk) if self.hint in chunk else (chunk,):
-            if piece in self.special:
-                out.append(self.special[piece])
-                continue
-            # one letter at a time: a last capital sigma is no exception here
-            plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for word in self.split.findall(plain):
-                out.append(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))
+        for piece in self.apart.split(chunk):
+            out += [self.special[piece]] if piece in self.special else self._split(piece)[0]
         return out
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        split = [self._words(c.decode()) for c in chunks]
-        place: dict[str, int] = {}
-        for words in split:
-            for w in words:
-                if isinstance(w, str):
-                    place.setdefault(w, len(place))
-        paths = self.automaton.encode_many(list(place))
-        return [b"".join([paths[place[w]] if isinstance(w, str) else w.to_bytes(4, "little") for w in words]) for words in split]
-
-    def _learn(self, memory: Memory, chunks: list[bytes], make) -> dict:
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each chunk, as little-endian 32-bit."""
+        simple = [c for c in chunks if c.isalpha() and c.isascii()] if self.simple else []
+        others = list(set(chunks).difference(simple)) if simple else chunks
+        hint = self.hint.encode()
+        plain = [c for c in others if hint not in c]
+        split: list[list] = self._split(b"\n".join(plain).decode()) if plain else []
+        rare = [c for c in others if hint in c]
+        split += [self._apart(c.decode()) for c in rare]
+        place = {w: i for i, w in enumerate(dict.fromkeys([w for words in split for w in words if isinstance(w, str)]), len(simple))}
+        paths = self.automaton.encode_many([*b" ".join(simple).lower().decode().split(), *place])
+        out = dict(zip(simple, paths, strict=False))
+        for chunk, words in zip([*plain, *rare], split, strict=True):
+            out[chunk] = b"".join([paths[place[w]] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
+        return out
+
+    def _learn(self, memory: Memory, chunks: list[bytes], make=None) -> dict:
         """A dictionary that has all these chunks."""
-        new = memory.missing(set(chunks))
-        long = {}
-        for chunk, path in zip(new, self._encode(new), strict=True):
-            if len(chunk) <= REMEMBERED_CHUNK:
-                memory.put(chunk, make(path))
-            else:
-                long[chunk] = make(path)
+        new = self._encode(memory.missing(set(chunks)))
+        if make:
+            new = {c: make(path) for c, path in new.items()}
+        long = {c: x for c, x in new.items() if len(c) > REMEMBERED_CHUNK}
+        for c in long:
+            del new[c]
+        memory.put(new)
         return {**memory.young, **long} if long else memory.young
 
     def _tell(self, path: bytes) -> tuple[int, bytes, bytes]:
@@ -433,7 +444,7 @@ class Encoder:
         """All ids of each text as little-endian 32-bit."""
         for pieces in _together(texts):
             split = [x.split() for _, x in pieces]
-            known = self._learn(self.packed, [c for chunks in split for c in chunks], lambda path: path)
+            known = self._learn(self.packed, [c for chunks in split for c in chunks])
             for (k, _), chunks in zip(pieces, split, strict=True):
                 yield k, b"".join([known[c] for c in chunks])
 
@@ -495,6 +506,7 @@ def encode(docs: DataFrame, path: str | None = None, *, ids: bool = True) -> Dat
     columns are left out.  A long text is worked on by pieces; only a run without
     white space is taken whole.  Narrow: no shuffle."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import as_bytes, default_path, encoder, text_ids
-from .common import materialize
+from .common import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -166,6 +166,7 @@ class Packer:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and the end id, cut only where longer than ``capacity``."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)
@@ -189,9 +190,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.
 
-    A null or empty text is one piece, the end id alone.  Repeated rows are
-    packed as often as they occur.  An empty table gives an empty result.  Other
-    columns are left out.  Only the histogram (at most ``capacity`` rows) goes to
+    A null or empty text is one piece, the end id alone; a long one is encoded by
+    pieces of text, its ids (4 bytes each) meet in a task.  Repeated rows are
+    packed as often as they occur; ties of a rank go by doc_id, piece, start and
+    checksum, and pieces that tie in all are alike.  An empty table gives an empty
+    result.  Other columns, whatever their names, are left out.  Only the histogram (at most ``capacity`` rows) goes to
     the driver; hot lengths are ranked in cells of about ``RANKED_TOGETHER``."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
@@ -201,7 +204,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
     per_cell = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(per_cell), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = cut.withColumn("inside", inside).join(before, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("inside"))
     rows = [(p.length, p.first, p.last, p.sequence, p.each, p.offset) for p in plan]
     placed = spark.createDataFrame(rows, "length long, first long, last long, sequence long, each long, base long")
