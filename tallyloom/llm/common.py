@@ -8,6 +8,7 @@ Arrow string column at once with numpy, so Python never loops over words.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -21,6 +22,10 @@ SLICE_BYTES = 512 << 10
 #: UTF-8 bytes of text of which one part consists, where texts are dealt to parts.
 PART_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch of texts, about; only a longer text makes a larger one.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -29,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests, local mode)."""
+    """The folder all executors share; a temporary one only where none is set and all run on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallyloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -47,7 +54,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these frames, which nothing still to be computed reads."""
+    for frame in frames:
+        entry = (frame.sparkSession, frame._written)
+        if entry in _scratch:
+            _scratch.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes for this session, so that long rows don't make large ones; a set limit stays."""
+    if spark.conf.get(_BATCH, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def drop_scratch() -> None:
@@ -55,9 +84,7 @@ def drop_scratch() -> None:
     while _scratch:
         spark, path = _scratch.pop()
         try:
-            sc = spark.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             return
 
@@ -98,7 +125,10 @@ def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
         size = max(n, SLICE_BYTES + 4096)
         start = np.full(size, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         start[0] = 1
-        _powers[key] = np.multiply.accumulate(start)
+        powers = np.multiply.accumulate(start)
+        if n > SLICE_BYTES + 4096:  # for one long text alone
+            return powers
+        _powers[key] = powers
     return _powers[key][:n]
 
 
@@ -145,11 +175,22 @@ class Words:
         self.doc = np.repeat(np.arange(n), self.counts)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        if not hasattr(self, "_bytes"):
-            self._bytes = rolling(self.data.astype(np.uint64) + np.uint64(1), _B)
-        p, q = self._bytes
-        return mix((p[ends] - p[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+        """Hashes of byte ranges in ascending order, taken over ``SLICE_BYTES`` at a time; longer ones are digested alone."""
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            a = int(starts[at])
+            to = int(np.searchsorted(ends, a + SLICE_BYTES, side="right"))
+            if to <= at:
+                raw = self.data[a : ends[at]].tobytes()
+                out[at] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+                at += 1
+                continue
+            p, q = rolling(self.data[a : ends[to - 1]].astype(np.uint64) + np.uint64(1), _B)
+            i, j = starts[at:to] - a, ends[at:to] - a
+            out[at:to] = mix((p[j] - p[i]) * q[i] + (j - i).astype(np.uint64))
+            at = to
+        return out
 
     @property
     def hashes(self) -> np.ndarray:

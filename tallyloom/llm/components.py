@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,9 +21,14 @@ def components(links: DataFrame) -> DataFrame:
         up = materialize(links.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("up")), "parents")
         for _ in range(2):
             above = up.select(F.col("child").alias("mid"), F.col("up").alias("top"))
-            up = materialize(up.join(above, up["up"] == above["mid"], "left").select("child", F.coalesce("top", "up").alias("up")), "parents")
-        links = links.join(up.withColumnsRenamed({"child": "a", "up": "ua"}), "a", "left").join(up.withColumnsRenamed({"child": "b", "up": "ub"}), "b", "left")
-        links = links.select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b")).where("a <> b")
-        links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        labels = materialize(labels.join(up, labels["component"] == up["child"], "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+            further = materialize(up.join(above, up["up"] == above["mid"], "left").select("child", F.coalesce("top", "up").alias("up")), "parents")
+            discard(up)
+            up = further
+        moved = links.join(up.withColumnsRenamed({"child": "a", "up": "ua"}), "a", "left").join(up.withColumnsRenamed({"child": "b", "up": "ub"}), "b", "left")
+        moved = moved.select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b")).where("a <> b")
+        moved = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        named = materialize(labels.join(up, labels["component"] == up["child"], "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        discard(links, labels, up)
+        links, labels = moved, named
+    discard(links)
     return labels

@@ -17,13 +17,21 @@ a Jaccard index of at least t, 0.9 unless told otherwise, differ in at most
   bucket the points are packed into an R-tree, whose nodes bound by the maxima
   of what they hold.
 
-Surviving pairs are verified on the whole sets.  Equal sets are one node from
-the start.  Each node is first verified against the least node of its buckets,
-then against its ``NEAREST`` points in them, and at last against all that are left.
-Pairs that are already joined need no further look, so a bucket that holds a
-large group of near copies costs a few comparisons for each, and the last step
-sees only buckets in which several components are left; the R-tree joins them in
-chunks of bounded size.
+The directory only cuts the index into trees: all pairs that are verified come from
+an R-tree, and none are made past it.  Buckets with the same members are one.  Equal
+sets are one node from the start.  Trees are built in chunks of bounded size.
+
+1. Each leaf is joined with itself and with the root point of its bucket (the least
+   member, which all chunks hold): every point asks for the point most alike.
+2. Points outside the largest component of their bucket search the trees of all its
+   chunks for the ``NEAREST`` points of other components.
+3. The same for all such points, until no bound admits a pair of two components.
+
+Surviving pairs are verified on the whole sets, in SQL functions.  Pairs that are
+already joined need no further look, so a bucket that holds a large group of near
+copies costs a few comparisons for each.  What is left over is a bucket of many
+members that share a block and yet are not alike (a passage that many short texts
+hold): each of those meets each chunk once, as a row, and the tree's nodes there.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grouped, i64, materialize, mix, slices
+from .common import Words, discard, i64, materialize, mix, slices, small_batches
 from .components import components
 
 SHINGLE = 3
@@ -41,9 +49,9 @@ SHINGLE = 3
 LEAST = 90
 #: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); in the directory each 32-bit hash is a group of its own, as blocks of few shingles would often agree by chance in coarser ones.
 GROUPS = 256
-#: Points of a bucket that are joined at a time.
+#: Points of a bucket in one tree; points that search it at a time.
 CHUNK = 2048
-#: Partners of a point in a bucket that are verified before all others.
+#: Partners of a point in a tree that are verified before all others.
 NEAREST = 3
 _LEAF = 32
 
@@ -161,6 +169,27 @@ class RTree:
         half = -(-len(at) // (2 * _LEAF)) * _LEAF
         return np.concatenate([self._pack(points, at[:half], axis + 1), self._pack(points, at[half:], axis + 1)]) if half < len(at) else at
 
+    def leaf_joins(self, sizes: np.ndarray, root: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point and the one most alike among its leaf and the root: those whose bound reaches the similarity."""
+        a, b = [], []
+        root_point = self.points[self.order == root]
+        for at in range(0, len(self.order), _LEAF):
+            here = self.order[at : at + _LEAF]
+            points = self.points[at : at + _LEAF]
+            others = here if root in here else np.append(here, root)
+            reached = points if root in here else np.concatenate((points, root_point))
+            both = np.minimum(points[:, None], reached[None]).sum(2)
+            alike = both / (sizes[here][:, None] + sizes[others] - both)
+            alike[~enough(both, sizes[here][:, None], sizes[others], least)] = 0
+            alike[here[:, None] == others] = 0
+            # among equals the root, so that a group of alike sets hangs together
+            alike[:, others == root] *= 1 + 1e-9
+            best = alike.argmax(1)
+            some = np.flatnonzero(alike[np.arange(len(here)), best] > 0)
+            a.append(here[some])
+            b.append(others[best[some]])
+        return np.concatenate(a), np.concatenate(b)
+
     def search(self, point: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """Points whose summed coordinate minima with this one may reach the similarity, and the similarity that these allow."""
         need = size * least / 100
@@ -203,71 +232,133 @@ def _key_rows(docs: DataFrame, least: int, shingle: int) -> DataFrame:
 
 
 def _points(docs: DataFrame, shingle: int) -> DataFrame:
-    """``name, point, hashes`` of the documents given, as packed integers."""
+    """``name, point, hashes`` of the documents given."""
 
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
                 s = Sets(part, shingle)
-                hashes = [s.hashes[a:b].tobytes() for a, b in zip(s.first, s.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array(pack_points(s.points()), pa.binary()), pa.array(hashes, pa.binary())], ["name", "point", "hashes"])
+                hashes = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), i64(s.hashes))
+                yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array(pack_points(s.points()), pa.binary()), hashes], ["name", "point", "hashes"])
 
-    return docs.mapInArrow(run, "name long, point binary, hashes binary")
+    return docs.mapInArrow(run, "name long, point binary, hashes array<long>")
 
 
 def _verify(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the similarity, after the bound by their points."""
+    """The pairs ``a, b`` whose whole sets reach the similarity."""
+    left = points.select(F.col("name").alias("a"), F.col("hashes").alias("ha"))
+    right = points.select(F.col("name").alias("b"), F.col("hashes").alias("hb"))
+    both, sizes = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= least * (sizes - both)).select("a", "b")
+
+
+def _distinct_buckets(docs: DataFrame, least: int, shingle: int) -> DataFrame:
+    """``key, name`` of the directory's buckets with two members or more, of those with the same members one."""
+    keys = _key_rows(docs, least, shingle)
+    shared = keys.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first < last").select("key")
+    shared = materialize(shared, "shared-keys")
+    buckets = materialize(keys.join(shared, "key").distinct(), "all-buckets")
+    members = (F.count("*"), F.min("name"), F.max("name"), F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64("name", F.lit(1))))
+    names = [f"m{i}" for i in range(len(members))]
+    chosen = buckets.groupBy("key").agg(*(m.alias(n) for m, n in zip(members, names, strict=True))).groupBy(*names).agg(F.min("key").alias("key"), F.any_value("m0").alias("n"), F.any_value("m1").alias("root"))
+    chosen = materialize(chosen.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "root"), "chosen-buckets")
+    out = materialize(buckets.join(chosen, "key"), "buckets")
+    discard(shared, buckets, chosen)
+    return out
+
+
+def _tree_rows(rows: DataFrame, run) -> DataFrame:
+    """Run over ``group, searches, name, component, point``; of each group the points of the tree come first."""
+    # the group is spread by its own hash, so that one bucket's chunks are many tasks' work
+    dealt = rows.select("group", "searches", "name", "component", "point").repartition("group").sortWithinPartitions("group", "searches")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _trees(batches):
+    """(tree, its names, components, sizes, root rows) and then what searches it, in pieces: ``("tree" | "search", ...)``."""
+    held: list[pa.Table] = []
+    group = None
+    for batch in batches:
+        groups, searches = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero((groups[1:] != groups[:-1]) | (searches[1:] != searches[:-1])) + 1
+        for a, b in zip([0, *edges], [*edges, len(groups)], strict=True):
+            if a == b:
+                continue
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if groups[a] != group or searches[a] == 0:
+                if groups[a] != group and held:
+                    yield "tree", pa.concat_tables(held)
+                    held = []
+                group = groups[a]
+                held.append(part)
+                continue
+            if held:
+                yield "tree", pa.concat_tables(held)
+                held = []
+            yield "search", part
+    if held:
+        yield "tree", pa.concat_tables(held)
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    points = np.array([unpack_point(p) for p in t.column("point").to_pylist()])
+    return t.column("name").to_numpy(), t.column("component").to_numpy(), points, points.sum(1)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _leaf_pairs(buckets: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """Step 1: pairs of most alike points of a leaf, or of a point and its bucket's root."""
+    chunk = F.pmod(F.xxhash64("name", "key"), F.col("chunks")).cast("int")
+    own = buckets.where("name <> root").select("key", "name", chunk.alias("chunk"), F.lit(0).alias("is_root"))
+    roots = buckets.where("name = root").select("key", "name", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("is_root"))
+    rows = own.unionByName(roots)
+    rows = rows.join(points.select("name", "point"), "name").select(F.xxhash64("key", "chunk").alias("group"), F.lit(0).alias("searches"), "name", F.col("is_root").cast("long").alias("component"), "point")
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for a, b, p, q, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = unpack_point(p), unpack_point(q)
-                if enough(int(np.minimum(p, q).sum()), int(p.sum()), int(q.sum()), least):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    if enough(int(np.count_nonzero(both[1:] == both[:-1])), len(x), len(y), least):
-                        rows.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    left = points.select(F.col("name").alias("a"), F.col("point").alias("pa"), F.col("hashes").alias("ha"))
-    right = points.select(F.col("name").alias("b"), F.col("point").alias("pb"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "ha", "hb").mapInArrow(run, "a long, b long")
+        for _, t in _trees(batches):
+            names, is_root, points, sizes = _unpacked(t)
+            a, b = RTree(points).leaf_joins(sizes, int(is_root.argmax()), least)
+            yield _pairs(names[a], names[b])
+
+    return _tree_rows(rows, run)
 
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least: int, nearest: int | None = None) -> DataFrame:
-    """Pairs of different components that meet in a bucket and pass the R-tree; all, or of each point those with the ``nearest`` others."""
-    known = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("component", "name").alias("component"))
+    """Steps 2, 3: pairs of different components of a bucket whose bound reaches the similarity; all, or of each point that searches those with the ``nearest`` others."""
+    known = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "chunks", F.coalesce("component", "name").alias("component"))
     known = materialize(known, "bucket-components")
-    several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").select("key", "largest")
     several = materialize(several, "open-buckets")
     rows = known.join(several, "key").join(points.select("name", "point"), "name")
-    mine = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
-    # each chunk meets each: as the first with itself and those after it, as the second with those before it
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), (F.col("mine") <= F.col("other")).alias("indexed"), "name", "component", "point")
+    mine = F.pmod(F.xxhash64("name", "key"), F.col("chunks")).cast("int")
+    own = rows.select(F.xxhash64("key", mine).alias("group"), F.lit(0).alias("searches"), "name", "component", "point", "largest")
+    # a pair of two components has an end outside the largest one; that end searches all chunks
+    asking = rows.where("component <> largest").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = asking.select(F.xxhash64("key", "chunk").alias("group"), F.lit(1).alias("searches"), "name", "component", "point", "largest")
 
     def run(batches):
-        for t in grouped(batches):
-            indexed = t.column("indexed").to_numpy()
-            names, parts = t.column("name").to_numpy(), t.column("component").to_numpy()
-            points = np.array([unpack_point(p) for p in t.column("point").to_pylist()])
-            first = np.flatnonzero(indexed)
-            second = first if indexed.all() else np.flatnonzero(~indexed)
-            tree = RTree(points[first])
+        for kind, t in _trees(batches):
+            if kind == "tree":
+                names, parts, points, _ = _unpacked(t)
+                tree = RTree(points)
+                continue
+            mine, my_parts, asked, sizes = _unpacked(t)
             a, b = [], []
-            for i in second:
-                found, alike = tree.search(points[i], int(points[i].sum()), least)
-                apart = parts[first[found]] != parts[i]
-                found, alike = first[found[apart]], alike[apart]
+            for k in range(len(mine)):
+                found, alike = tree.search(asked[k], int(sizes[k]), least)
+                apart = parts[found] != my_parts[k]
+                found, alike = found[apart], alike[apart]
                 if nearest is not None and len(found) > nearest:
                     found = found[np.argpartition(-alike, nearest - 1)[:nearest]]
-                a += [min(names[i], x) for x in names[found]]
-                b += [max(names[i], x) for x in names[found]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a.append(np.full(len(found), mine[k]))
+                b.append(names[found])
+            yield _pairs(np.concatenate(a), np.concatenate(b))
 
-    return spread.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+    return _tree_rows(own.unionByName(asking), run)
 
 
 def jaccard_classes(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
@@ -276,20 +367,21 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE)
     Rows with a null doc_id take no part and have a null component; a text
     without words has an empty set and is a component of its own; repeated rows
     and rows with one doc_id and several texts are each linked by their text, and
-    all count under that doc_id.  Other columns are left out."""
+    all count under that doc_id; of equally alike partners either may be verified
+    first, which changes no component.  A long text is hashed by pieces; its set is
+    one row.  An empty table gives no rows.  Other columns are left out."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialize(_set_rows(docs, shingle), "shingle-sets")
     nodes = materialize(rows.where("doc_id IS NOT NULL AND name IS NOT NULL").groupBy("name", "name2").agg(F.min("doc_id").alias("least_doc")), "distinct-sets")
-    keys = _key_rows(docs, least, shingle)
-    shared = materialize(keys.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first < last").select("key", "first"), "shared-keys")
-    buckets = materialize(keys.join(shared, "key").select("key", "first", "name").distinct(), "buckets")
+    buckets = _distinct_buckets(docs, least, shingle)
     wanted = buckets.select("name").distinct().join(nodes, "name").select(F.col("least_doc").alias("doc_id")).distinct()
     points = materialize(_points(docs.join(wanted, "doc_id"), shingle).dropDuplicates(["name"]), "points")
-    stars = buckets.groupBy(F.col("name").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")
-    links = materialize(_verify(stars, points, least), "star-links")
+    links = materialize(_verify(_leaf_pairs(buckets, points, least), points, least), "leaf-links")
     for nearest in (NEAREST, None):
         found = _verify(_open_pairs(buckets, components(links), points, least, nearest), points, least)
         links = materialize(links.unionByName(found), "verified-links")
+    discard(points, buckets)
     labels = components(links).withColumnRenamed("node", "name")
     of = nodes.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
     of = materialize(of, "set-components")
