@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade (operator 5).
 
-Each rule looks at counts of one text.  On a bounded sample the cost of every
-rule (seconds per text) and its selectivity (share of texts it rejects) are
-measured in the tasks; rules then run by rejections per second, and a text that
-one rule rejects is not shown to the next.  The order changes only the cost:
-the verdict, the conjunction of all rules, is the same in any order.
+Each rule looks at counts of one text.  On a sample of bounded size the cost of every
+rule (seconds per text for the counts that it adds, and its test) and its selectivity
+(share of texts it rejects) are measured in the tasks; rules then run by rejections
+per second, and what is rejected is not shown to the next one.  The order changes
+only the cost: the verdict, the conjunction of all rules, is the same in any order.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, slices, small_batches
 
-#: Texts in the sample on which rules are ordered, at most.
+#: Texts in the sample on which rules are ordered, about; drawn row by row, wherever they are.
 SAMPLE_ROWS = 1_000
+SEED = 5
+#: Texts of a slice are cut down to those that no rule has rejected when so few of them are left.
+CUT_DOWN = 0.5
 #: Symbols that mark junk when frequent.
 SYMBOLS = b"#*$%&|<>"
 #: Words of the windows looked for twice in a text.
@@ -152,22 +155,28 @@ RULES = (*BASE, too_many_symbols(20), odd_word_length(2, 15), repeated_lines(10)
 
 
 def measure(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """``{rule: (seconds per text, share rejected)}`` on a sample of at most ``rows`` texts.
+    """``{rule: (seconds per text, share rejected)}`` on a sample of about ``rows`` texts.
 
-    The tasks measure; the driver gets one row per rule and batch."""
+    Words are found once for all rules and each count is taken once; a rule costs its
+    counts and its test.  The tasks measure; the driver gets one row per rule."""
 
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(0)):
-                out = []
+                w = Words(part)
+                known, seconds, out = {}, {}, []
+                for f in dict.fromkeys(f for rule in rules for f in rule.features):
+                    began = time.perf_counter()
+                    known[f] = FEATURES[f](w)
+                    seconds[f] = time.perf_counter() - began
                 for rule in rules:
                     began = time.perf_counter()
-                    w = Words(part)
-                    bad = int(np.count_nonzero(rule.test(*(FEATURES[f](w) for f in rule.features))))
-                    out.append((rule.name, time.perf_counter() - began, bad, len(part)))
+                    bad = int(np.count_nonzero(rule.test(*(known[f] for f in rule.features))))
+                    out.append((rule.name, time.perf_counter() - began + sum(seconds[f] for f in rule.features), bad, len(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["rule", "cost", "bad", "n"])
 
-    found = docs.select(F.col("text").cast("string")).limit(rows).mapInArrow(run, "rule string, cost double, bad long, n long").groupBy("rule").agg(F.sum("cost"), F.sum("bad"), F.sum("n")).collect()
+    some = docs.select(F.col("text").cast("string")).sample(fraction=min(1.0, rows / max(1, docs.count())), seed=SEED)
+    found = some.mapInArrow(run, "rule string, cost double, bad long, n long").groupBy("rule").agg(F.sum("cost"), F.sum("bad"), F.sum("n")).collect()
     return {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in found}
 
 
@@ -180,44 +189,44 @@ def ordered(rules, measured: dict[str, tuple[float, float]]) -> list[Rule]:
 def cascade(docs: DataFrame, rules=RULES, report: tuple[str, ...] = (), measured: dict | None = None) -> DataFrame:
     """Rows of ``docs`` with ``kept boolean``, ``rejected_by string`` (the first rule that fired, else null) and the features of ``report``, each for all rows.
 
-    A null or empty text has no words.  Repeated rows get the same verdict.  An
-    empty table gives an empty result.  Columns of ``docs`` whose names clash
-    with the new ones are replaced.  Narrow: no shuffle but the sample's."""
+    A null or empty text has no words.  Repeated rows get the same verdict; of rules
+    that are worth the same the earlier one runs first.  A long text is hashed by
+    pieces.  An empty table gives an empty result.  Columns of ``docs`` whose names
+    clash with the new ones are replaced.  Narrow, and only the texts go to Python:
+    no shuffle but the sample's counts."""
+    small_batches(docs.sparkSession)
     rules = ordered(rules, measure(docs, rules) if measured is None else measured)
     new = ["kept", "rejected_by", *report]
-    keep = [f for f in docs.schema.fields if f.name not in new]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", kept boolean, rejected_by string" + "".join(f", {f} long" for f in report)
+    names = np.array([r.name for r in rules] + [None], object)
 
-    def verdicts(column: pa.Array) -> list[pa.Array]:
+    def verdicts(column: pa.Array) -> pa.Array:
         by = np.full(len(column), -1)
-        reported = {f: [] for f in report}
+        reported = {f: [np.zeros(0, np.int64)] for f in report}
         for at, part in slices(column):
             w = Words(part)
             shown = {f: FEATURES[f](w) for f in report}
             for f in report:
                 reported[f].append(shown[f])
-            alive, known = np.arange(len(part)), shown
+            alive, known = np.arange(len(part)), dict(shown)
             for k, rule in enumerate(rules):
                 for f in rule.features:
                     if f not in known:
                         known[f] = FEATURES[f](w)
-                bad = rule.test(*(known[f] for f in rule.features))
-                if bad.any():
-                    by[at + alive[bad]] = k
-                    alive = alive[~bad]
+                bad = rule.test(*(known[f] for f in rule.features)) & (by[at + alive] < 0)
+                by[at + alive[bad]] = k
+                left = by[at + alive] < 0
+                if left.mean() <= CUT_DOWN:
+                    alive, known = alive[left], {f: x[left] for f, x in known.items()}
                     if not len(alive):
                         break
-                    # what is still to be computed sees only the texts that are left
-                    known = {f: x[~bad] for f, x in known.items()}
                     w = Words(part.take(pa.array(alive)))
-        names = np.array([r.name for r in rules] + [None], object)
-        return [pa.array(by < 0), pa.array(names[by], pa.string()), *(pa.array(np.concatenate(reported[f]) if reported[f] else [], pa.int64()) for f in report)]
+        return pa.StructArray.from_arrays([pa.array(by < 0), pa.array(names[by], pa.string()), *(pa.array(np.concatenate(reported[f]), pa.int64()) for f in report)], new)
 
-    at = [f.name for f in keep].index("text")
+    schema = "kept boolean, rejected_by string" + "".join(f", {f} long" for f in report)
+    judge = F.arrow_udf(verdicts, schema).asNondeterministic()  # so that it is not run once for each field
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    judged = docs.select(*keep, judge(F.col("text").cast("string")).alias(_VERDICT))
+    return judged.select(*keep, *(F.col(_VERDICT)[n].alias(n) for n in new))
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *verdicts(batch.column(at))], [*batch.schema.names, *new])
 
-    frame = docs.select(*(F.col(f"`{f.name}`") for f in keep))
-    return frame.mapInArrow(run, schema)
+_VERDICT = "__verdict"
