@@ -24,7 +24,6 @@ texts take their steps together; nothing is taken back.  Decoding emits the arcs
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -35,7 +34,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -157,7 +157,7 @@ class MergeAutomaton:
                 rows.add(z)
                 columns.add(z)
             of.setdefault(x, []).append(rank)
-        self.place = np.array(columns.place)
+        place = np.array(columns.place)
         none = np.zeros(0, np.int64)
         known: dict[int, np.ndarray] = {}
         alive = np.ones(n, bool)
@@ -166,20 +166,20 @@ class MergeAutomaton:
         runs = []
         for p in [i for i in range(n) if born[i] < 0] + made:
             if born[p] >= 0:
-                alive[p] &= alive[left[p]] and alive[right[p]] and not self._taken_before(known[left[p]], taken, self.place[right[p]], born[p])
+                alive[p] &= alive[left[p]] and alive[right[p]] and not self._taken_before(known[left[p]], taken, place[right[p]], born[p])
             above = known[right[p]][: np.searchsorted(known[right[p]], born[p])] if born[p] >= 0 else none
             known[p] = np.sort(np.concatenate((above, np.array(of.get(p, ()), np.int64))))
             merged = self._merged(taken[known[p]])
             self.row[p] = classes.setdefault(merged.tobytes(), len(classes))
             if self.row[p] == len(runs):
                 runs.append(merged)
-        self._fill(runs)
+        self._fill(runs, place)
         self.alive = alive
 
-    def _fill(self, runs: list[np.ndarray]) -> None:
+    def _fill(self, runs: list[np.ndarray], place: np.ndarray) -> None:
         """The table, one bit an arc: labels between the same begins and ends of runs share a column."""
         cuts = np.unique(np.concatenate(runs or [np.zeros(0, np.int64)]))
-        self.column = np.searchsorted(cuts, self.place, side="right")
+        self.column = np.searchsorted(cuts, place, side="right")
         self.stride = len(cuts) // 8 + 1
         self.table = np.zeros((len(runs), self.stride), np.uint8)
         for k, run in enumerate(runs):
@@ -380,15 +380,24 @@ class Encoder:
         self.labels = [*self.automaton.labels, *[""] * size][:size]
         for token, i in self.special.items():
             self.labels[i] = token
-        self.label_bytes = [x.encode() for x in self.labels]
-        self.decimals = [b"%d" % i for i in range(size)]
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.simple = r"|[\p{L}]+|" in self.lines.pattern  # a chunk of letters is one word
         self.hint = os.path.commonprefix(list(self.special))
         self.letters = dict(enumerate(_byte_letters())) | {10: "\n"}  # never inside a word
+        self._forget()
+
+    def _forget(self) -> None:
         self.packed, self.told = Memory(REMEMBERED_BYTES), Memory(REMEMBERED_BYTES)
-        del spec
-        gc.freeze()
+        self.label_bytes: list[bytes] = []
+        self.decimals: list[bytes] = []
+
+    def __getstate__(self) -> dict:
+        """What is compiled, without what was remembered."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("packed", "told", "label_bytes", "decimals")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def _split(self, text: str) -> list[list[str]]:
         """Pre-split words, in byte letters, of each line of a text without special tokens."""
@@ -450,6 +459,8 @@ class Encoder:
 
     def tell(self, texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(text, number of ids, ids in decimal, labels) of each piece of the texts."""
+        if not self.decimals:
+            self.label_bytes, self.decimals = [x.encode() for x in self.labels], [b"%d" % i for i in range(len(self.labels))]
         for pieces in _together(texts):
             split = [x.split() for _, x in pieces]
             known = self._learn(self.told, [c for chunks in split for c in chunks], self._tell)
@@ -493,6 +504,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The compiled encoder for all tasks; its size is that of the vocabulary's table (24 MB for 49,000 tokens), whatever the data."""
+    return spark.sparkContext.broadcast(encoder(path))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
@@ -509,8 +525,10 @@ def encode(docs: DataFrame, path: str | None = None, *, ids: bool = True) -> Dat
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
+    table = shipped(docs.sparkSession, path)
+
     def run(batches):
-        enc = encoder(path)
+        enc = table.value
         for batch in batches:
             n = batch.num_rows
             counts, of_ids, of_labels = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
@@ -534,10 +552,10 @@ def encode(docs: DataFrame, path: str | None = None, *, ids: bool = True) -> Dat
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, decoded`` from ``doc_id, ids``; null ids give an empty text."""
-    path = path or default_path()
+    table = shipped(tokens.sparkSession, path or default_path())
 
     def run(batches):
-        enc = encoder(path)
+        enc = table.value
         for batch in batches:
             texts = [enc.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import as_bytes, default_path, encoder, text_ids
+from .bpe import as_bytes, default_path, shipped, text_ids
 from .common import materialize, small_batches
 
 CAPACITY = 4096
@@ -167,9 +167,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and the end id, cut only where longer than ``capacity``."""
     path = path or default_path()
     small_batches(docs.sparkSession)
+    table = shipped(docs.sparkSession, path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = table.value
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
