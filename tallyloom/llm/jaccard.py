@@ -50,7 +50,7 @@ LEAST = 90
 #: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); in the directory each 32-bit hash is a group of its own, as blocks of few shingles would often agree by chance in coarser ones.
 GROUPS = 256
 #: Points of a bucket in one tree; points that search it at a time.
-CHUNK = 2048
+CHUNK = 512
 #: Partners of a point in a tree that are verified before all others.
 NEAREST = 3
 _LEAF = 32
