@@ -3,23 +3,27 @@
 Patterns with checks (addresses at most 255, Luhn, digit counts) find the base
 spans.  Words with a digit or an ``@`` are the nodes of a random field whose labels are the
 kinds and ``other``.  Words of base spans are observed, and so are, as other,
-words whose match failed its check.  Each further word has a local potential
-from its shape; neighbouring words, and distant ones that repeat or resemble each
-other (same letters and digits, same last seven digits, same local part), share
-potentials that favour one label: each word with every observed word that it
-resembles, at any distance, and with the last earlier one that is not observed.  Loopy
-message passing, until the messages stop changing, then carries the label of
-observed words to their repetitions in other spellings, and runs of words whose
-marginal is high become added spans.
-
-The potentials are fitted on a bounded sample, with the observed words as labels:
-the tasks count, the driver fits on the table of counts.
+words whose match failed its check.  Each further word has local potentials
+from its shape, the words beside it and the marks at its ends; neighbouring words, and
+distant ones that repeat or resemble each other (same letters and digits, same last
+seven digits, same local part), share potentials that favour one label: each word with
+every observed word that it resembles, at any distance, and with the last earlier one
+that is not observed.  Loopy message passing, until the messages stop changing, then
+carries the label of observed words to their repetitions in other spellings, and runs
+of words whose marginal is high become added spans.
+
+The weights are trained by pseudo-likelihood on a sample of bounded size.  In its
+texts half of the matches, drawn by a hash, are hidden; they, and at a lesser weight
+the words that no pattern covers (as other), are to be told from shape, surroundings,
+the labels of neighbours, and the observed words that they resemble.  Counts of the
+sample give the first weights, and the prior draws towards these.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -28,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 #: Documents of the sample on which potentials are fitted, about.
@@ -39,8 +45,16 @@ LEAST_KEY = 4
 STILL = 1e-6
 MOST_ROUNDS = 1_000
 DAMPED_FROM = 100
-#: Agreeing distant pairs that are taken as seen before any are, for one that disagrees.
+#: Agreeing distant pairs that are taken as seen before any are, for one that disagrees; where training starts.
 DISTANT_PRIOR = 100.0
+#: Nodes of a text of the sample, about; each then stands for as many as were left out.
+SAMPLE_NODES = 50
+#: Weight of a word that no pattern covers, which is mostly, not surely, other.
+UNMATCHED = 0.3
+#: A feature of a word's surroundings has a weight if the sample holds this much of it.
+LEAST_SEEN = 5.0
+#: Strength of the prior, steps of training and their size, largest pull of a pair.
+PRIOR, STEPS, RATE, MOST_PULL = 1.0, 200, 0.05, 5.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,6 +65,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(r"[0-9@]")
 _PLAIN = re.compile(r"[^a-z0-9]+")
+_LETTERLESS = re.compile(r"[\W\d_]+")
 _EDGE = "()[]{}<>,;:.!?\"'"
 
 
@@ -115,11 +130,28 @@ def keys(word: str) -> set[str]:
     return out
 
 
+def _plain_word(word: str, is_node: bool) -> str:
+    """The letters of a word beside a node; another node is only told as one."""
+    return "#" if is_node else _LETTERLESS.sub("", word[:64]).lower()[:16]
+
+
 class Graph:
     """Nodes and links of one text."""
 
     def __init__(self, text: str, found, failed):
-        self.words = [(m.start(), m.end(), m[0], i) for i, m in enumerate(_NODE.finditer(text)) if _HINT.search(m[0])]
+        self.words: list[tuple[int, int, str, int]] = []
+        self.beside: list[list[str]] = []  # of each node: features of its surroundings
+        before, open_ = "", False
+        for i, m in enumerate(_NODE.finditer(text)):
+            word = m[0]
+            is_node = _HINT.search(word) is not None
+            if open_:
+                self.beside[-1].append(f">{_plain_word(word, is_node)}")
+            if is_node:
+                self.words.append((m.start(), m.end(), word, i))
+                first, last = ("" if c.isalnum() else c for c in (word[0], word[-1]))
+                self.beside.append([f"<{_plain_word(before, open_)}", f"[{first}", f"]{last}"])
+            open_, before = is_node, word
         self.label = np.full(len(self.words), -1)
         marked = [(a, b, kind) for a, kind, b in found] + [(a, b, OTHER) for a, b in failed]
         starts = np.array([w[0] for w in self.words])
@@ -174,12 +206,64 @@ class Potentials:
         prior[OTHER] = 1.0
         self.default = np.log(prior / prior.sum())
         self.local = {k: np.log((c + prior) / (c + prior).sum()) for k, c in counts.items()}
-        self.near, self.distant = (float(np.clip(np.log(pairs[k][1] / pairs[k][0]), 0.0, 5.0)) for k in ("near", "distant"))
+        self.near, self.distant = (float(np.clip(np.log(pairs[k][1] / pairs[k][0]), 0.0, MOST_PULL)) for k in ("near", "distant"))
+        self.beside: dict[str, np.ndarray] = {}
+
+    def train(self, nodes: list[tuple]) -> "Potentials":
+        """Raise the pseudo-likelihood of ``(shape, features, labels of neighbours, labels of observed words alike, label, weight)``.
+
+        A quadratic prior draws all weights to where they start; steps are Adam's.  What
+        is trained on is the bounded sample, so this is a few seconds of the driver."""
+        seen: Counter = Counter()
+        for _, features, *_, weight in nodes:
+            for f in features:
+                seen[f] += weight
+        shapes, features = sorted({x[0] for x in nodes}), sorted(f for f, n in seen.items() if n >= LEAST_SEEN)
+        place = {k: i for i, k in enumerate([*shapes, *features])}
+        none = len(place)
+        start = np.zeros((none + 1, OTHER + 1))
+        for s in shapes:
+            start[place[s]] = self.local.get(s, self.default)
+        if not nodes:
+            return self
+        used = np.array([[place[x[0]], *(place.get(f, none) for f in x[1])][:5] + [none] * (4 - len(x[1])) for x in nodes])
+        beside, alike = np.array([x[2] for x in nodes], float), np.array([x[3] for x in nodes], float)
+        label, weight = np.array([x[4] for x in nodes]), np.array([x[5] for x in nodes], float)
+        truth = np.eye(OTHER + 1)[label]
+        theta, pulls = start.copy(), np.array([self.near, self.distant])
+        first = pulls.copy()
+        moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, pulls)]
+        for step in range(1, STEPS + 1):
+            told = theta[used].sum(1) + pulls[0] * beside + pulls[1] * alike
+            p = np.exp(told - np.logaddexp.reduce(told, axis=1, keepdims=True))
+            short = (truth - p) * weight[:, None]
+            slope = -PRIOR * (theta - start)
+            np.add.at(slope, used, short[:, None, :])
+            slope[none] = 0
+            pull_slope = np.array([(short * beside).sum(), (short * alike).sum()]) - PRIOR * (pulls - first)
+            for x, g, (m, v) in zip((theta, pulls), (slope, pull_slope), moments, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            np.clip(pulls, 0.0, MOST_PULL, out=pulls)
+        self.local = self.local | {s: theta[place[s]] for s in shapes}
+        self.beside = {f: theta[place[f]] for f in features}
+        self.near, self.distant = map(float, pulls)
+        return self
+
+    def own(self, g: Graph) -> np.ndarray:
+        """Local log potentials of all nodes, before anything is observed."""
+        own = np.array([self.local.get(shape(w[2]), self.default) for w in g.words])
+        if self.beside:
+            for i, features in enumerate(g.beside):
+                for f in features:
+                    if f in self.beside:
+                        own[i] += self.beside[f]
+        return own
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Of each node's labels, by loopy message passing."""
-        n = len(g.words)
-        own = np.array([self.local.get(shape(w[2]), self.default) for w in g.words])
+        own = self.own(g)
         seen = g.label >= 0
         own += self.distant * g.alike
         own[seen] = -1e3
@@ -228,9 +312,55 @@ class Potentials:
         return [tuple(x) for x in out]
 
 
-def _sample_counts(docs: DataFrame, rows: int) -> list[tuple[str, int, int]]:
-    total = docs.count()
-    every = max(1, total // rows)
+def hidden(text: str, spans) -> list:
+    """Half of the spans, by a hash of place and text; a span's ends are its first and last items."""
+    return [s for s in spans if zlib.crc32(f"{s[0]}:{text[s[0] : s[-1]]}".encode()) & 1]
+
+
+def training_nodes(text: str) -> list[tuple]:
+    """What :meth:`Potentials.train` learns from: the words of hidden matches, and those that no pattern covers."""
+    found, failed = base_spans(text)
+    whole = Graph(text, found, failed)
+    n = len(whole.words)
+    if not n:
+        return []
+    away = [set(hidden(text, spans)) for spans in (found, failed)]
+    g = Graph(text, [s for s in found if s not in away[0]], [s for s in failed if s not in away[1]])
+    labels = np.where(whole.label < 0, OTHER, whole.label)
+    beside = np.zeros((n, OTHER + 1))
+    for i, j in g.near:
+        beside[i, labels[j]] += 1
+        beside[j, labels[i]] += 1
+    every = -(-n // SAMPLE_NODES)
+    some = [i for i in np.flatnonzero(g.label < 0).tolist() if every == 1 or zlib.crc32(b"%d" % i) % every == 0]
+    return [
+        (shape(g.words[i][2]), g.beside[i], beside[i].tolist(), g.alike[i].tolist(), int(labels[i]), every * (1.0 if whole.label[i] >= 0 else UNMATCHED))
+        for i in some
+    ]
+
+
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """About so many rows, by a hash of all of doc_id and text; of these, the texts that have nodes."""
+    every = max(1, docs.count() // rows)
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).where(F.col("text").rlike("[0-9@]")).select("text")
+
+
+def _sample_nodes(some: DataFrame) -> list[tuple]:
+    def run(batches):
+        for batch in batches:
+            rows = [x for text in batch.column(0).to_pylist() for x in training_nodes(text)]
+            kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], _NODE_NAMES)
+
+    schema = "shape string, beside array<string>, near array<double>, alike array<double>, label int, weight double"
+    alike = some.mapInArrow(run, schema).groupBy(*_NODE_NAMES[:-1]).agg(F.sum("weight").alias("weight"))
+    return sorted(map(tuple, alike.collect()))
+
+
+_NODE_NAMES = ["shape", "beside", "near", "alike", "label", "weight"]
+
+
+def _sample_counts(some: DataFrame) -> list[tuple[str, int, int]]:
 
     def run(batches):
         for batch in batches:
@@ -246,14 +376,18 @@ def _sample_counts(docs: DataFrame, rows: int) -> list[tuple[str, int, int]]:
                             n[name, int(labels[i] == labels[j])] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["what", "label", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).where(F.col("text").rlike("[0-9@]"))
-    found = some.select("text").mapInArrow(run, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n")).collect()
+    found = some.mapInArrow(run, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n")).collect()
     return [tuple(r) for r in found]
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Potentials:
-    """Potentials from the counts of a sample of about ``rows`` texts, or all if fewer."""
-    return Potentials(_sample_counts(docs.select("doc_id", F.col("text").cast("string")), rows))
+    """Potentials trained on a sample of about ``rows`` texts, or all if fewer, with about ``SAMPLE_NODES`` nodes each.
+
+    The driver gets the sample's counts and distinct nodes, so about ``rows * SAMPLE_NODES`` rows at most."""
+    some = materialize(_sample(docs.select("doc_id", F.col("text").cast("string")), rows), "pii-sample")
+    model = Potentials(_sample_counts(some)).train(_sample_nodes(some))
+    discard(some)
+    return model
 
 
 def _told(spans) -> str:
@@ -275,26 +409,34 @@ def find(docs: DataFrame, model: Potentials | None = None) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, by start, then kind.  Null and
     empty texts have none (a null text stays null in ``masked``).  Repeated rows
-    give repeated results; columns whose names clash are replaced.  Narrow: no
-    shuffle but the sample's counts."""
+    give repeated results; labels that tie stay below the marginal that is asked for;
+    a long text is worked through in one pass, and its graph holds its words with a
+    digit or ``@``; an empty table gives no rows; columns whose names clash are
+    replaced.  Narrow, and only the texts go to Python: no shuffle but the sample's counts."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     new = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked"]
-    keep = [f for f in docs.schema.fields if f.name not in new]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + "".join(f", n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, masked string"
-    at = [f.name for f in keep].index("text")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column(at).cast(pa.string()).to_pylist():
-                found, failed, more = [], [], []
-                if text and _HINT.search(text):
-                    found, failed = base_spans(text)
-                    more = model.added(text, found, failed)
-                spans = sorted([*found, *more])
-                n = Counter(k for _, k, _ in found)
-                rows.append((*(n[k] for k in range(OTHER)), hashlib.sha256(_told(found).encode()).hexdigest(), _told(spans), mask(text, spans) if spans else text))
-            kinds = [*[pa.int64()] * OTHER, *[pa.string()] * 3]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], [*batch.schema.names, *new])
-
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(run, schema)
+    kinds = [*[pa.int64()] * OTHER, *[pa.string()] * 3]
+
+    def told(column: pa.Array) -> pa.Array:
+        rows = []
+        for text in column.cast(pa.string()).to_pylist():
+            found, failed, more = [], [], []
+            if text and _HINT.search(text):
+                found, failed = base_spans(text)
+                more = model.added(text, found, failed)
+            spans = sorted([*found, *more])
+            n = Counter(k for _, k, _ in found)
+            # a text in which nothing is found is not sent back
+            rows.append((*(n[k] for k in range(OTHER)), hashlib.sha256(_told(found).encode()).hexdigest(), _told(spans), mask(text, spans) if spans else None))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], new)
+
+    schema = "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, masked string"
+    look = F.arrow_udf(told, schema).asNondeterministic()  # so that it is not run once for each field
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    out = docs.select(*keep, look(F.col("text").cast("string")).alias(_TOLD))
+    masked = F.coalesce(F.col(_TOLD)["masked"], F.col("text").cast("string"))
+    return out.select(*keep, *(F.col(_TOLD)[n].alias(n) for n in new[:-1]), masked.alias("masked"))
+
+
+_TOLD = "__told"
