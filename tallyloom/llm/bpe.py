@@ -42,7 +42,7 @@ from .common import small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes, about, that a Python worker keeps of chunks and their encodings; up to twice as many for a moment.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 40 << 20
 #: Longer chunks are not remembered.
 REMEMBERED_CHUNK = 64
 #: Text that is worked on at a time; only a longer run without white space is taken whole.

@@ -23,7 +23,7 @@ SLICE_BYTES = 512 << 10
 PART_BYTES = 4 << 20
 
 #: Bytes of an Arrow batch of texts, about; only a longer text makes a larger one.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
 
 _scratch: list[tuple[SparkSession, str]] = []
