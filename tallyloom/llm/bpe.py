@@ -42,7 +42,7 @@ from .common import small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes, about, that a Python worker keeps of chunks and their encodings; up to twice as many for a moment.
-REMEMBERED_BYTES = 40 << 20
+REMEMBERED_BYTES = 96 << 20
 #: Longer chunks are not remembered.
 REMEMBERED_CHUNK = 64
 #: Text that is worked on at a time; only a longer run without white space is taken whole.
@@ -419,23 +419,26 @@ class Encoder:
 
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each chunk, as little-endian 32-bit."""
-        simple = [c for c in chunks if c.isalpha() and c.isascii()] if self.simple else []
-        others = list(set(chunks).difference(simple)) if simple else chunks
         hint = self.hint.encode()
-        plain = [c for c in others if hint not in c]
-        split: list[list] = self._split(b"\n".join(plain).decode()) if plain else []
-        rare = [c for c in others if hint in c]
-        split += [self._apart(c.decode()) for c in rare]
-        place = {w: i for i, w in enumerate(dict.fromkeys([w for words in split for w in words if isinstance(w, str)]), len(simple))}
-        paths = self.automaton.encode_many([*b" ".join(simple).lower().decode().split(), *place])
+        simple, plain, rare = [], [], []
+        for c in chunks:
+            (simple if self.simple and c.isalpha() and c.isascii() else rare if hint in c else plain).append(c)
+        split = self._split(b"\n".join(plain).decode()) if plain else []
+        apart = [self._apart(c.decode()) for c in rare]
+        words = set().union(*split, (w for x in apart for w in x if isinstance(w, str)))
+        words = [*b" ".join(simple).lower().decode().split(), *words]
+        paths = self.automaton.encode_many(words)
         out = dict(zip(simple, paths, strict=False))
-        for chunk, words in zip([*plain, *rare], split, strict=True):
-            out[chunk] = b"".join([paths[place[w]] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
+        path_of = dict(zip(words[len(simple) :], paths[len(simple) :], strict=True))
+        for chunk, its in zip(plain, split, strict=True):
+            out[chunk] = b"".join(map(path_of.__getitem__, its))
+        for chunk, its in zip(rare, apart, strict=True):
+            out[chunk] = b"".join([path_of[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in its])
         return out
 
-    def _learn(self, memory: Memory, chunks: list[bytes], make=None) -> dict:
+    def _learn(self, memory: Memory, chunks: set[bytes], make=None) -> dict:
         """A dictionary that has all these chunks."""
-        new = self._encode(memory.missing(set(chunks)))
+        new = self._encode(memory.missing(chunks))
         if make:
             new = {c: make(path) for c, path in new.items()}
         long = {c: x for c, x in new.items() if len(c) > REMEMBERED_CHUNK}
@@ -453,9 +456,9 @@ class Encoder:
         """All ids of each text as little-endian 32-bit."""
         for pieces in _together(texts):
             split = [x.split() for _, x in pieces]
-            known = self._learn(self.packed, [c for chunks in split for c in chunks])
+            known = self._learn(self.packed, set().union(*split))
             for (k, _), chunks in zip(pieces, split, strict=True):
-                yield k, b"".join([known[c] for c in chunks])
+                yield k, b"".join(map(known.__getitem__, chunks))
 
     def tell(self, texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(text, number of ids, ids in decimal, labels) of each piece of the texts."""
@@ -463,7 +466,7 @@ class Encoder:
             self.label_bytes, self.decimals = [x.encode() for x in self.labels], [b"%d" % i for i in range(len(self.labels))]
         for pieces in _together(texts):
             split = [x.split() for _, x in pieces]
-            known = self._learn(self.told, [c for chunks in split for c in chunks], self._tell)
+            known = self._learn(self.told, set().union(*split), self._tell)
             for (k, _), chunks in zip(pieces, split, strict=True):
                 got = [x for x in map(known.__getitem__, chunks) if x[0]]
                 yield k, sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b" ".join([x[2] for x in got])
