@@ -6,13 +6,12 @@ arcs carry the pieces' log probabilities, and the forward recursion in log space
 sums them.  Characters that no piece covers are spelled in bytes, so each word
 has a segmentation.  The pieces and the end share one distribution, so a text's
 marginal is the product of its words' and the end's, and sums to one over texts.
-A word of the training texts has, besides, an arc of its own that spans it whole:
-its share of all tokens, less the mass that Good and Turing leave for unseen
-words, which all other paths share.
+The score is this marginal and nothing else: known words have no arc of their own.
 
-The vocabulary's own scores (ranks) give the first weights, by Zipf's law.  They
-are then fitted to the words of the training texts by expected counts, computed
-on each distinct word where Spark holds it; the driver gets one number per piece.
+The vocabulary's own scores (ranks) give the first weights: a piece of rank r weighs
+1 / r, by Zipf's law.  They are then fitted to the words of the training texts by
+expected counts over all segmentations, computed on each distinct word where Spark
+holds it; the driver gets one number per piece.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import as_bytes
-from .common import materialize, text_parts
+from .common import materialize, small_batches, text_parts
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Rounds in which expected counts are taken.
@@ -291,28 +290,27 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Dat
 
     Texts are read with A-Z in lower case; null and empty texts have just the
     end.  A null doc_id counts as the empty text for the fold.  Repeated rows
-    count as often as they occur.  Other columns are left out.
+    count as often as they occur, and ties don't arise.  A long text is a part of its
+    own; a word too long to be batched is worked on by itself, position by position.  An
+    empty table gives no rows.  Other columns, whatever their names, are left out.
 
     Texts are dealt to parts of about ``PART_BYTES``; each part asks once for
     each of its words, whose counts and scores then come to the part."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), (F.crc32(number) % FOLDS == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
     parts = text_parts(docs, PART_BYTES)
     counts = materialize(word_counts(docs), "word-counts")
-    totals = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    totals = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     ends = docs.where("NOT held_out").count()
     tokens, distinct = int(totals[0] or 0) + ends, int(totals[1]) + (ends > 0)
-    unseen = min(0.5, max(1, totals[2]) / max(1, tokens))  # the mass of words that training lacks
     weights = fit(counts, ends, path, rounds)
 
     def weigh(batches):
         mine = pieces_of(path)
         for batch in batches:
-            spelled = log_marginals(mine, weights, batch.column(0).to_pylist()) + math.log(unseen)
-            with np.errstate(divide="ignore"):
-                whole = np.log(batch.column(1).to_numpy() * ((1 - unseen) / max(1, tokens)))
-            logs = np.logaddexp(spelled, whole)
+            logs = log_marginals(mine, weights, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], ["word", "c", "logp"])
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")

@@ -74,6 +74,35 @@ def test_base_and_score(spark, sf_dir):
     assert sum(r.score for r in held) > sum(unfitted[r.doc_id] for r in held)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_score_is_the_sum_over_all_segmentations(spark, rounds):
+    """Whole texts, held out and not, against weights fitted by full enumeration."""
+    texts = {1: "the été the", 2: "a nation", 3: "The 漢 x", 4: "", 5: "tion tion ion", 6: "🎉 a", 7: "on the one", 8: "ab", 9: "abba été"}
+    pieces = lattice.pieces_of(lattice.default_path())
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    assert len(set(held.values())) == 2
+    words = {d: brute.WORD.findall(brute.lower(t)) for d, t in texts.items()}
+    logp = pieces.first
+    for _ in range(rounds):
+        counts = np.full(len(logp), lattice.SMOOTHING)
+        for d, ws in words.items():
+            if not held[d]:
+                counts[pieces.end] += 1
+                for w in ws:
+                    ways = list(all_ways(pieces, logp, "▁" + w))
+                    whole = sum(p for p, _ in ways)
+                    for p, path in ways:
+                        for x in path:
+                            counts[x] += p / whole
+        logp = np.log(counts / counts.sum())
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lattice.score(frame, rounds=rounds).collect():
+        want = math.exp(logp[pieces.end])
+        for w in words[r.doc_id]:
+            want *= sum(p for p, _ in all_ways(pieces, logp, "▁" + w))
+        assert math.isclose(r.score, math.log10(want), rel_tol=1e-9)
+
+
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 1), (2, "", 1), (None, "a A", 1), (3, "x" * 2000, 1), (4, "▁ ▁a", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, score int")
