@@ -9,8 +9,9 @@ with a smaller doc_id.  The steps:
    documents name the documents, and the windows, that may recur.
 2. *Confirm.*  Those windows are grouped by hash; of each one that recurs the
    smallest doc_id is its owner, and runs of them are the owner's passages.
-3. *Compile.*  Documents are dealt to parts of bounded size; a passage is sent to
-   the parts with a later document that shares a window with it.  Each part
+3. *Compile.*  Documents are dealt to parts of bounded size; pieces of passages, a few
+   windows each, are sent to the parts with a later document that shares a window with
+   them, one piece for a window, so that a part's automaton is bounded by its texts.  Each part
    compiles phrases of its passages into an Aho-Corasick automaton (8 words in
    every 43, so that any 50 words of a passage hold one whole).
 4. *Stream.*  The part's documents run through the automaton; at each hit the
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import as_bytes
-from .common import Words, i64, materialize, slices, text_parts
+from .common import Words, discard, i64, materialize, mix, slices, small_batches, text_parts
 
 WINDOW = 50
 ANCHOR = 10
 PHRASE = 8
+#: Windows of a passage that go to other documents' parts together.
+PIECE_WINDOWS = 150
 
 
 def slide(pick, x: np.ndarray, width: int) -> np.ndarray:
@@ -116,28 +119,32 @@ def _windows(candidates: DataFrame) -> DataFrame:
 
 
 def _passages(candidates: DataFrame, recurring: DataFrame) -> DataFrame:
-    """``owner, passage``: words, joined by one space, of runs of windows that an owner has first."""
+    """``pid, owner, passage, wins``: words, joined by one space, of runs of windows that an owner has first, and the hashes of these windows.
+
+    A run is cut into pieces of ``PIECE_WINDOWS`` windows, so that who shares one window
+    is sent a piece, not a whole text; neighbours overlap, each window lies in one."""
     owned = recurring.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("win").alias("wins"))
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = _lists(batch.column(2))
-            owners, found = [], []
             for first, part in slices(batch.column(1)):
                 w = Words(part)
                 at = np.flatnonzero(w.whole(WINDOW))
                 at = at[_member(w.grams(WINDOW)[at], w.doc[at], sets[first : first + len(part)])]
                 if not len(at):
                     continue
-                new = (np.diff(at) > 1) | (np.diff(w.doc[at]) != 0)
-                for run_at in np.split(at, np.flatnonzero(new) + 1):
-                    a, b = run_at[0], run_at[-1] + WINDOW - 1
-                    owners.append(ids[first + w.doc[a]])
-                    found.append(b" ".join(w.data[w.starts[a] : w.ends[b]].tobytes().split()))
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], ["owner", "passage"])
+                new = np.flatnonzero((np.diff(at) > 1) | (np.diff(w.doc[at]) != 0)) + 1
+                starts = np.concatenate([np.arange(a, b, PIECE_WINDOWS) for a, b in zip([0, *new], [*new, len(at)], strict=True)])
+                ends = np.append(starts[1:], len(at))
+                owners = [ids[first + d] for d in w.doc[at[starts]]]
+                found = [b" ".join(w.data[w.starts[at[a]] : w.ends[at[b - 1] + WINDOW - 1]].tobytes().split()) for a, b in zip(starts, ends, strict=True)]
+                wins = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), i64(w.grams(WINDOW)[at]))
+                pids = mix(w.grams(WINDOW)[at[starts]] ^ mix(np.array(owners, np.int64).view(np.uint64) + ends.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([i64(pids), pa.array(owners, pa.int64()), pa.array(found, pa.binary()).cast(pa.string()), wins], ["pid", "owner", "passage", "wins"])
 
-    return candidates.select("doc_id", "text").join(owned, "doc_id").select("doc_id", "text", "wins").mapInArrow(run, "owner long, passage string")
+    return candidates.select("doc_id", "text").join(owned, "doc_id").select("doc_id", "text", "wins").mapInArrow(run, "pid long, owner long, passage string, wins array<long>")
 
 
 class Shard:
@@ -169,7 +176,7 @@ class Shard:
         hits = [(end - length + 1, where) for end, (length, where) in self.automaton.iter(text)]
         if not hits:
             return None
-        breaks = np.fromiter((i for i, c in enumerate(text) if c == " "), np.int64)
+        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
         at = np.searchsorted(breaks, [h[0] for h in hits]).tolist()
         mine = np.array([self.ids.get(x, -1) for x in words])
         cut, seen = np.zeros(len(words) + 1, np.int64), set()
@@ -205,7 +212,12 @@ def cut_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     ``tk`` is xxhash64 of the text, so that rows which repeat a doc_id with
     another text stay apart.  Rows with a null doc_id neither own nor lose
-    passages; null, empty and short texts (under 50 words) have no windows."""
+    passages; null, empty and short texts (under 50 words) have no windows.  Of
+    documents that share a window the one with the least doc_id owns it; rows that
+    repeat a doc_id don't cut each other.  A long text is hashed by pieces and streams
+    through its part's automaton as one row.  An empty table gives no rows; other
+    columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tk"))
     parts = text_parts(docs)
     candidates = _candidates(docs)
@@ -213,9 +225,12 @@ def cut_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     recurring = windows.groupBy("win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("win", "owner")
     recurring = materialize(recurring, "recurring-windows")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
-    later = windows.join(recurring, "win").where("doc_id > owner")
-    needs = later.select(part, "owner").distinct()
-    passages = needs.join(_passages(candidates, recurring), "owner")
+    pieces = materialize(_passages(candidates, recurring), "passages")
+    # of each window one piece that holds it; parts ask once for each window, then once for each piece
+    where = pieces.select("pid", "owner", F.explode("wins").alias("win")).groupBy("win").agg(F.min(F.struct("pid", "owner")).alias("p")).select("win", "p.pid", "p.owner")
+    asked = windows.groupBy("win", part).agg(F.max("doc_id").alias("last"))
+    needs = asked.join(where, "win").where("last > owner").select("part", "pid").distinct()
+    passages = needs.join(pieces.select("pid", "owner", "passage").dropDuplicates(["pid", "passage"]), "pid")
     none = F.lit(None)
     rows = passages.select("part", F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), none.cast("long").alias("tk"), F.col("passage").alias("text"))
     rows = rows.unionByName(candidates.select(part, F.lit(1).alias("kind"), "doc_id", "tk", "text"))
@@ -251,7 +266,10 @@ def cut_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` for every row."""
+    """``doc_id, n_words, n_removed, kept_sha256`` for every row, also for those of which nothing is cut.
+
+    Null texts count as empty; the rest is as :func:`cut_repeats` says.  Repeated rows
+    give repeated results, an empty table none."""
 
     def run(batches):
         for batch in batches:
