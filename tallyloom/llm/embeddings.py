@@ -4,10 +4,14 @@ Two vectors of one label link if their cosine is at least 0.93, which for unit
 vectors is a distance of at most epsilon = sqrt(2 - 2 * 0.93).  Unit vectors are
 turned to the principal axes of a bounded sample (this shapes only how well the
 order prunes) and sorted by the epsilon-wide grid cells of their leading
-coordinates.  The sorted sequence is cut into blocks with bounding boxes.  Blocks
-whose boxes are more than epsilon apart are skipped: first the stretches of the
-sequence that lie in one partition, then the blocks of the stretches left, and
-inside a pair of blocks the join recurses on halves of both intervals.
+coordinates.  The sorted sequence is cut into blocks with bounding boxes, and these into
+stripes.  A further side of each box is the norm of what the leading coordinates leave
+out, whose difference is a lower bound of the distance there.  Intervals whose boxes are
+more than epsilon apart are skipped: first stripes, then the blocks of the stripes that
+meet, and inside a pair of blocks the join recurses on halves of both intervals.
+
+A pair of stripes is a unit of work, to which each block of either goes once, not
+once for each block that it is near.
 
 Equal vectors are collapsed first and counted.  A pair of blocks gives one row
 per vector that links: its number of links and one link to a local root, so a
@@ -23,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, small_batches
 from .components import components
 
 COSINE = 0.93
-#: Leading coordinates in the order and the boxes; vectors on which the axes are fitted, at most.
-LEADING = 8
+#: Leading coordinates in the boxes, and in the order; vectors on which the axes are fitted, at most.
+LEADING, ORDERED = 16, 8
 SAMPLE_ROWS = 2_000
-BLOCK = 512
+#: Vectors of a block, blocks of a stripe; parts to which the stripes of one label are dealt when they are paired.
+BLOCK, STRIPE, SALTS = 512, 16, 16
 _LEAF = 64
 _SLACK = 1e-6
 
@@ -80,6 +85,20 @@ def local_roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, columns = new_rows, new_columns
 
 
+def _links(one, two, same: bool, cosine: float, epsilon: float) -> tuple[list, list, list]:
+    """Nodes, numbers of links and roots of what links between two blocks (nodes, copies, coordinates, units)."""
+    linked = np.zeros((len(one[0]), len(two[0])), bool)
+    join_intervals(one[2], two[2], one[3], two[3], cosine, epsilon, linked)
+    if same:
+        np.fill_diagonal(linked, False)
+    if not linked.any():
+        return [], [], []
+    rows, columns = local_roots(linked | np.eye(len(linked), dtype=bool) if same else linked)
+    sides = [(one[0], linked @ two[1], rows)] + ([] if same else [(two[0], one[1] @ linked, columns)])
+    some = [n > 0 for _, n, _ in sides]
+    return [x[0][k] for x, k in zip(sides, some)], [x[1][k] for x, k in zip(sides, some)], [one[0][x[2][k]] for x, k in zip(sides, some)]
+
+
 def _can_link():
     """A label, an id, and a vector with finite components that are not all zero; never null."""
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False)))
@@ -93,30 +112,40 @@ def _blocks(nodes: DataFrame, basis: dict[int, np.ndarray], epsilon: float, size
 
     def turn(batches):
         for batch in batches:
-            labels, nodes, copies, vectors = (c.to_pylist() for c in batch.columns)
-            rows = []
-            for label, node, n, v in zip(labels, nodes, copies, vectors, strict=True):
-                v = np.array(v, float)
-                v /= np.abs(v).max()
-                v /= np.linalg.norm(v)
-                z = v @ basis[len(v)] if len(v) in basis else v[:LEADING]
-                rows.append((label, len(v), node, n, np.floor(z / epsilon).astype(int).tolist(), z.tobytes(), v.tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["label", "dim", "node", "copies", "cells", "coords", "unit"])
+            vectors = batch.column(3)
+            dims = vectors.value_lengths().to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                v = v / np.abs(v).max(1, keepdims=True)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                z = v @ basis[dim] if dim in basis else v[:, :LEADING]
+                left_out = np.sqrt(np.maximum(0.0, 1 - (z * z).sum(1)))
+                cells = np.floor(z[:, :ORDERED] / epsilon).astype(np.int32)
+                z = np.ascontiguousarray(np.column_stack((z, left_out)))
+                rows = [batch.column(i).take(pa.array(at)) for i in range(3)]
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
+                binary = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (z, v)]
+                yield pa.RecordBatch.from_arrays([rows[0], pa.array([dim] * len(at), pa.int32()), *rows[1:], cells, *binary], ["label", "dim", "node", "copies", "cells", "coords", "unit"])
 
     turned = nodes.select(F.col("label").cast("long"), "node", "copies", F.col("embedding").cast("array<double>")).mapInArrow(turn, project)
-    schema = "block long, label long, dim int, low array<double>, high array<double>, nodes binary, copies binary, coords binary, units binary"
+    schema = "block long, label long, dim int, stripe long, low array<double>, high array<double>, nodes binary, copies binary, coords binary, units binary"
 
     def cut(batches):
         held: list = []
+        last, stripe, blocks = None, -1, 0
 
         def block():
+            nonlocal last, stripe, blocks
+            if held[0][:2] != last or blocks == STRIPE:
+                last, stripe, blocks = held[0][:2], stripe + 1, 0
+            blocks += 1
             coords = np.frombuffer(b"".join(r[4] for r in held)).reshape(len(held), -1)
             nodes, copies = (np.array([r[i] for r in held], np.int64).tobytes() for i in (2, 3))
-            row = (held[0][2], held[0][0], held[0][1], coords.min(0).tolist(), coords.max(0).tolist(), nodes, copies, coords.tobytes(), b"".join(r[5] for r in held))
+            row = (held[0][2], *last, stripe, coords.min(0).tolist(), coords.max(0).tolist(), nodes, copies, coords.tobytes(), b"".join(r[5] for r in held))
             held.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
-            names = ["block", "label", "dim", "low", "high", "nodes", "copies", "coords", "units"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
+            names = ["block", "label", "dim", "stripe", "low", "high", "nodes", "copies", "coords", "units"]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
@@ -128,7 +157,7 @@ def _blocks(nodes: DataFrame, basis: dict[int, np.ndarray], epsilon: float, size
             yield block()
 
     order = turned.orderBy("label", "dim", "cells", "node").select("label", "dim", "node", "copies", "coords", "unit")
-    return order.mapInArrow(cut, schema).withColumn("stretch", F.spark_partition_id())
+    return order.mapInArrow(cut, schema).withColumn("stripe", F.spark_partition_id() * F.lit(1 << 32) + F.col("stripe"))
 
 
 def _near(a: str, b: str, epsilon: float):
@@ -148,8 +177,12 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     Null labels, null or zero vectors and those with null, NaN or infinite
     components link with nothing, and vectors of different lengths not with each
     other.  A repeated vector is a further one that links.  Rows with a null
-    vec_id take no part (null component, not kept); rows that share a vec_id are
-    one node.  Other columns are left out."""
+    vec_id take no part (null component, not kept); rows that share a vec_id are told
+    as one: the most links and the least component of any of them.  Vectors that tie in
+    the order go by vec_id.  A long vector makes a large block, of which a task holds
+    ``STRIPE`` at a time.  An empty table gives no rows.  Other columns, whatever their
+    names, are left out."""
+    small_batches(vectors.sparkSession)
     epsilon = math.sqrt(2 - 2 * cosine) + _SLACK
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     nodes = vectors.where(_can_link()).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
@@ -157,44 +190,41 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     sample = [list(r[0]) for r in nodes.orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select(F.col("embedding").cast("array<double>")).collect()]
     blocks = materialize(_blocks(nodes, axes(sample), epsilon, block), "grid-blocks")
 
-    boxes = blocks.select("block", "label", "dim", "stretch", "low", "high")
     size = F.array_size("low")
-    ends = [F.array(*[pick(F.get(side, F.lit(i))) for i in range(LEADING)]) for pick, side in ((F.min, "low"), (F.max, "high"))]
-    stretches = boxes.groupBy("label", "dim", "stretch").agg(F.max(size).alias("n"), ends[0].alias("low"), ends[1].alias("high"))
-    stretches = stretches.select("label", "dim", "stretch", F.slice("low", F.lit(1), F.col("n")).alias("low"), F.slice("high", F.lit(1), F.col("n")).alias("high"))
-    stretches = materialize(stretches, "stretches")
-    same = [F.col("a.label") == F.col("b.label"), F.col("a.dim") == F.col("b.dim")]
-    met = stretches.alias("a").join(stretches.alias("b"), [*same, F.col("a.stretch") <= F.col("b.stretch")]).where(_near("a", "b", epsilon))
-    met = met.select("a.label", "a.dim", F.col("a.stretch").alias("sa"), F.col("b.stretch").alias("sb"))
-    one, two = (boxes.select("label", "dim", F.col("stretch").alias(f"s{x}"), F.struct("block", "low", "high").alias(x)) for x in "ab")
-    pairs = met.join(one, ["label", "dim", "sa"]).join(two, ["label", "dim", "sb"]).where(((F.col("sa") < F.col("sb")) | (F.col("a.block") <= F.col("b.block"))) & _near("a", "b", epsilon))
-    pairs = materialize(pairs.select(F.col("a.block").alias("one"), F.col("b.block").alias("two")), "block-pairs")
+    ends = [F.array(*[pick(F.get(side, F.lit(i))) for i in range(LEADING + 1)]) for pick, side in ((F.min, "low"), (F.max, "high"))]
+    stripes = blocks.groupBy("label", "dim", "stripe").agg(F.max(size).alias("n"), ends[0].alias("low"), ends[1].alias("high"))
+    stripes = stripes.select("label", "dim", "stripe", F.slice("low", F.lit(1), F.col("n")).alias("low"), F.slice("high", F.lit(1), F.col("n")).alias("high"))
+    stripes = materialize(stripes, "stripes")
+    # one label may hold all: its stripes are dealt to SALTS parts on one side and go to each of them on the other
+    dealt = stripes.withColumn("salt", F.pmod(F.xxhash64("stripe"), F.lit(SALTS))).alias("a")
+    everywhere = stripes.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "salt")]
+    met = dealt.join(everywhere, [*same, F.col("a.stripe") <= F.col("b.stripe")]).where(_near("a", "b", epsilon))
+    met = materialize(met.select(F.col("a.stripe").alias("sa"), F.col("b.stripe").alias("sb")), "stripe-pairs")
 
     def compare(batches):
+        now, first = None, []
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], []]
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes, copies = [np.frombuffer(row[i], np.int64) for i in (0, 4)], [np.frombuffer(row[i], np.int64) for i in (1, 5)]
-                (a, x), (b, y) = ((np.frombuffer(row[i]).reshape(len(n), -1), np.frombuffer(row[i + 1]).reshape(len(n), -1)) for i, n in ((2, nodes[0]), (6, nodes[1])))
-                linked = np.zeros((len(nodes[0]), len(nodes[1])), bool)
-                join_intervals(a, b, x, y, cosine, epsilon, linked)
-                if row[8]:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
-                    continue
-                rows, columns = local_roots(linked | np.eye(len(linked), dtype=bool) if row[8] else linked)
-                sides = [(nodes[0], linked @ copies[1], rows)] + ([] if row[8] else [(nodes[1], copies[0] @ linked, columns)])
-                for names, links, root in sides:
-                    some = links > 0
-                    for held, values in zip(found, (names[some], links[some], nodes[0][root[some]]), strict=True):
-                        held.append(values)
+            for sa, sb, side, _, nodes, copies, coords, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sa, sb) != now:
+                    now, first = (sa, sb), []
+                n = np.frombuffer(nodes, np.int64)
+                here = (n, np.frombuffer(copies, np.int64), np.frombuffer(coords).reshape(len(n), -1), np.frombuffer(units).reshape(len(n), -1))
+                if side == 0:
+                    first.append(here)
+                for there in first if sa == sb or side == 1 else ():
+                    for held, values in zip(found, _links(there, here, there is here, cosine, epsilon), strict=True):
+                        held += values
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f) if f else [], pa.int64()) for f in found], ["node", "links", "root"])
 
-    payload = blocks.select("block", "nodes", "copies", "coords", "units")
-    left, right = (payload.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in payload.columns[1:])) for k in ("one", "two"))
-    both = pairs.join(left, "one").join(right, "two")
-    both = both.select(*left.columns[1:], *right.columns[1:], (F.col("one") == F.col("two")).alias("self"))
-    links = materialize(both.mapInArrow(compare, "node long, links long, root long"), "vector-links")
+    payload = blocks.select("stripe", "block", "nodes", "copies", "coords", "units")
+    sides = []
+    for side, (key, pairs) in enumerate((("sa", met), ("sb", met.where("sa < sb")))):
+        sides.append(pairs.join(payload, pairs[key] == payload["stripe"]).select("sa", "sb", F.lit(side).alias("side"), *payload.columns[1:]))
+    work = sides[0].unionByName(sides[1]).repartition("sa", "sb").sortWithinPartitions("sa", "sb", "side", "block")
+    links = materialize(work.mapInArrow(compare, "node long, links long, root long"), "vector-links")
+    discard(blocks, stripes, met)
 
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     whole = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
