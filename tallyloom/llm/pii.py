@@ -340,9 +340,10 @@ def training_nodes(text: str) -> list[tuple]:
 
 
 def _sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About so many rows, by a hash of all of doc_id and text; of these, the texts that have nodes."""
-    every = max(1, docs.count() // rows)
-    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).where(F.col("text").rlike("[0-9@]")).select("text")
+    """About so many of the texts that have nodes, by a hash of doc_id and text."""
+    some = docs.where(F.col("text").rlike("[0-9@]"))
+    every = max(1, some.count() // rows)
+    return some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
 
 
 def _sample_nodes(some: DataFrame) -> list[tuple]:
