@@ -1,52 +1,119 @@
 """Baskets: the cheapest single store and the cheapest split, for many baskets in one plan.
 
-``items`` has basket_id, item_key, quantity; ``offerings`` basket_id, item_key,
-store, unit_price, in_stock, seq (arrival order); ``stores`` store, ord, fees (see
-:func:`tallyloom.functions.measures.parse_fees`).
+``items`` has basket_id, item_key (unique in a basket), quantity; ``offerings``
+basket_id, item_key, store, unit_price, in_stock, seq (arrival order); ``stores``
+store, ord, fees (see :func:`tallyloom.functions.measures.parse_fees`).
+
+Items and offers meet in one shuffle by basket.  A basket is then one row, with a line
+for each of its items (a hundred or so at most) and in it the price of each store (a
+dozen at most); single stores and all sets of stores are tried inside that row.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import delivery_fee
-
 #: Least saving for which a split is worth two deliveries.
 LEAST_SAVING = 30.0
 #: All subsets of the stores are tried; more stores than this are refused.
 MOST_STORES = 12
 MONEY = "decimal(18,4)"
+#: Sums are kept in ten-thousandths.
+_UNIT = 10_000
+
+
+def _store_list(stores: DataFrame) -> list[tuple[str, object]]:
+    """(store, fees) in order; their number is bounded, so they go along as literals."""
+    found = stores.select("store", "ord", "fees").orderBy("ord").limit(MOST_STORES + 1).collect()
+    if len(found) > MOST_STORES:
+        raise ValueError(f"more than {MOST_STORES} stores")
+    return [(r.store, r.fees) for r in found]
+
+
+def _units(value: float | None) -> int:
+    return int((Decimal(str(value or 0.0)) * _UNIT).quantize(Decimal(1), ROUND_HALF_UP))
+
+
+def _fee(fees, subtotal: Column) -> Column:
+    """The flat fee, else that of the highest tier reached (of equal minima the last), else 0, in units."""
+    if fees is not None and fees["flat"] is not None:
+        return F.lit(_units(fees["flat"])).cast("long")
+    out = F.lit(0).cast("long")
+    tiers = [t for t in (fees["tiers"] or []) if t["min"] is not None] if fees is not None else []
+    for t in sorted(tiers, key=lambda t: t["min"]):  # the last one that is reached decides
+        out = F.when(subtotal / float(_UNIT) >= t["min"], F.lit(_units(t["fee"])).cast("long")).otherwise(out)
+    return out
+
+
+def _money(units: Column) -> Column:
+    return (units.cast("decimal(22,0)") / F.lit(_UNIT).cast("decimal(5,0)")).cast(MONEY)
+
+
+def _baskets(items: DataFrame, offerings: DataFrame, known: list[tuple[str, object]]) -> DataFrame:
+    """``basket_id, lines``: of each item and store the cheapest offer in stock, the first of equals.
 
+    A line has item_key, ``stores`` (a bit for each that offers it), ``costs`` by store, and
+    ``offers`` (unit_price, ord, cost), the cheapest first."""
+    where = F.coalesce(*[F.when(F.col("store") == s, F.lit(k)) for k, (s, _) in enumerate(known)], F.lit(None).cast("int"))
+    wanted = items.select("basket_id", "item_key", F.col("quantity").cast(MONEY).alias("quantity"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast(MONEY).alias("unit_price"), F.lit(None).cast("long").alias("seq"))
+    offers = offerings.where("in_stock").select("basket_id", "item_key", F.lit(None).cast(MONEY).alias("quantity"), where.alias("ord"), F.col("unit_price").cast(MONEY).alias("unit_price"), F.col("seq").cast("long").alias("seq"))
+    # dealt by basket, both groupings find their rows together
+    rows = wanted.unionByName(offers.where("ord IS NOT NULL")).repartition("basket_id")
+    best = [F.min(F.when(F.col("ord") == k, F.struct("unit_price", "seq"))).alias(f"b{k}") for k in range(len(known))]
+    each = rows.groupBy("basket_id", "item_key").agg(F.sum("quantity").cast(MONEY).alias("quantity"), *best).where("quantity IS NOT NULL")
+    price = [F.col(f"b{k}.unit_price") for k in range(len(known))]
+    cost = [((p * F.col("quantity")).cast(MONEY) * _UNIT).cast("long") for p in price]
+    offer = [F.when(p.isNotNull(), F.struct(p.alias("unit_price"), F.lit(k).alias("ord"), c.alias("cost"))) for k, (p, c) in enumerate(zip(price, cost, strict=True))]
+    bits = sum((F.when(p.isNotNull(), 1 << k).otherwise(0) for k, p in enumerate(price)), F.lit(0))
+    line = F.struct("item_key", bits.alias("stores"), F.array(*cost).alias("costs"), F.array_sort(F.array_compact(F.array(*offer))).alias("offers"))
+    return each.select("basket_id", line.alias("line")).groupBy("basket_id").agg(F.collect_list("line").alias("lines"))
 
-def cheapest_offers(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> DataFrame:
-    """``basket_id, item_key, quantity, store, ord, unit_price``: of each item and store the cheapest in stock, the first of equals."""
-    best = offerings.where("in_stock").join(F.broadcast(stores.select("store", "ord")), "store").groupBy("basket_id", "item_key", "store", "ord").agg(F.min(F.struct(F.col("unit_price").cast(MONEY).alias("unit_price"), "seq")).alias("b"))
-    return items.join(best, ["basket_id", "item_key"]).select("basket_id", "item_key", "quantity", "store", "ord", "b.unit_price")
 
+def _single(known: list[tuple[str, object]]) -> Column:
+    """All single-store plans of a basket."""
 
-def _line() -> Column:
-    return (F.col("unit_price") * F.col("quantity").cast(MONEY)).cast(MONEY)
+    def plan(k: int, store: str) -> Column:
+        missing = F.size(F.filter("lines", lambda l: F.getbit(l["stores"], F.lit(k)) == 0)).cast("long")
+        subtotal = F.aggregate("lines", F.lit(0).cast("long"), lambda a, l: a + F.coalesce(F.get(l["costs"], F.lit(k)), F.lit(0).cast("long")))
+        return F.struct(missing.alias("missing"), subtotal.alias("subtotal"), F.lit(k).alias("ord"), F.lit(store).alias("store"))
+
+    plans = [plan(k, store) for k, (store, _) in enumerate(known)]
+    fee = lambda p: F.coalesce(*[F.when(p["ord"] == k, _fee(fees, p["subtotal"])) for k, (_, fees) in enumerate(known)])
+    return F.transform(F.array(*plans), lambda p: F.struct(p["missing"].alias("missing"), (p["subtotal"] + fee(p)).alias("total"), p["ord"].alias("ord"), p["store"].alias("store"), p["subtotal"].alias("subtotal"), fee(p).alias("fee")))
+
+
+def _sets(n: int) -> list[int]:
+    """All sets of stores as bits, the smaller ones first, then those with the earlier stores: the order in which ties are decided."""
+    return sorted(range(1, 1 << n), key=lambda m: (m.bit_count(), [k for k in range(n) if m >> k & 1]))
+
+
+def _split(known: list[tuple[str, object]]) -> Column:
+    """The cheapest set of stores that fill the basket together: total, place among the sets, mask, used (bits); null if none does."""
+    n = len(known)
+    fills = F.filter(F.array(*map(F.lit, _sets(n))), lambda m: F.forall("lines", lambda l: l["stores"].bitwiseAND(m) != 0))
+
+    def picks(m: Column) -> Column:
+        return F.transform("lines", lambda l: F.get(F.filter(l["offers"], lambda o: F.getbit(m, o["ord"]) == 1), F.lit(0)))
+
+    def add(acc: Column, o: Column) -> Column:
+        sums = [(acc[f"s{k}"] + F.when(o["ord"] == k, o["cost"]).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(n)]
+        return F.struct(*sums, acc["used"].bitwiseOR(F.coalesce(*[F.when(o["ord"] == k, 1 << k) for k in range(n)])).alias("used"))
+
+    def told(acc: Column, m: Column, i: Column) -> Column:
+        total = sum((F.when(F.getbit(acc["used"], F.lit(k)) == 1, acc[f"s{k}"] + _fee(fees, acc[f"s{k}"])).otherwise(F.lit(0).cast("long")) for k, (_, fees) in enumerate(known)), F.lit(0).cast("long"))
+        return F.struct(total.alias("total"), i.alias("place"), m.alias("mask"), acc["used"].alias("used"))
+
+    start = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(n)], F.lit(0).alias("used"))
+    return F.array_min(F.transform(fills, lambda m, i: F.aggregate(picks(m), start, add, lambda acc: told(acc, m, i))))
 
 
 def single_store_plans(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> DataFrame:
     """``basket_id, store, ord, missing, subtotal, fee, total``, one row for every basket and store."""
-    baskets = items.groupBy("basket_id").agg(F.count("*").alias("n"))
-    got = cheapest_offers(items, offerings, stores).groupBy("basket_id", "store").agg(F.count("*").alias("found"), F.sum(_line()).cast(MONEY).alias("subtotal"))
-    # the stores are few (MOST_STORES at most) and go along in a literal array, so this is no join
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("store"), F.lit(o).alias("ord")) for s, o in _store_list(stores)])).alias("s")
-    grid = baskets.select("basket_id", "n", rows).select("basket_id", "n", "s.store", "s.ord")
-    plans = grid.join(got, ["basket_id", "store"], "left").join(F.broadcast(stores.select("store", "fees")), "store")
-    subtotal = F.coalesce("subtotal", F.lit(0).cast(MONEY))
-    fee = delivery_fee(F.col("fees"), subtotal.cast("double")).cast(MONEY)
-    return plans.select("basket_id", "store", "ord", (F.col("n") - F.coalesce("found", F.lit(0))).alias("missing"), subtotal.alias("subtotal"), fee.alias("fee"), (subtotal + fee).cast(MONEY).alias("total"))
-
-
-def _store_list(stores: DataFrame) -> list[tuple[str, int]]:
-    found = [(r.store, r.ord) for r in stores.select("store", "ord").orderBy("ord").limit(MOST_STORES + 1).collect()]
-    if len(found) > MOST_STORES:
-        raise ValueError(f"more than {MOST_STORES} stores")
-    return found
+    plans = _baskets(items, offerings, known := _store_list(stores)).select("basket_id", F.explode(_single(known)).alias("p"))
+    return plans.select("basket_id", "p.store", "p.ord", "p.missing", *(_money(F.col(f"p.{c}")).alias(c) for c in ("subtotal", "fee", "total")))
 
 
 def best_single(plans: DataFrame) -> DataFrame:
@@ -54,26 +121,34 @@ def best_single(plans: DataFrame) -> DataFrame:
     return plans.groupBy("basket_id").agg(F.min(F.struct("missing", "total", "ord", "store", "subtotal", "fee")).alias("b")).select("basket_id", "b.store", "b.missing", "b.subtotal", "b.fee", "b.total")
 
 
+def store_lines(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> DataFrame:
+    """``basket_id, store, lines (item_key, unit_price, cost), missing_items`` of every basket and store: what the plan buys there, and the keys of what it lacks."""
+    known = _store_list(stores)
+
+    def plan(k: int, store: str) -> Column:
+        has = lambda l: F.getbit(l["stores"], F.lit(k)) == 1
+        offer = lambda l: F.get(F.filter(l["offers"], lambda o: o["ord"] == k), F.lit(0))
+        lines = F.transform(F.filter("lines", has), lambda l: F.struct(l["item_key"].alias("item_key"), offer(l)["unit_price"].alias("unit_price"), _money(offer(l)["cost"]).alias("cost")))
+        lacks = F.transform(F.filter("lines", lambda l: ~has(l)), lambda l: l["item_key"])
+        return F.struct(F.lit(store).alias("store"), F.array_sort(lines).alias("lines"), F.array_sort(lacks).alias("missing_items"))
+
+    each = [plan(k, store) for k, (store, _) in enumerate(known)]
+    return _baskets(items, offerings, known).select("basket_id", F.explode(F.array(*each)).alias("p")).select("basket_id", "p.*")
+
+
 def split_plans(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> DataFrame:
     """``basket_id, item_key, store, unit_price, mask, split_total, n_stores``: of each basket that stores together can fill, the cheapest set.
 
     Each item is bought where it is cheapest in the set (this is what makes free
     delivery from a subtotal on no part of the choice); stores left without items
     cost nothing.  Ties go to the smaller set, then to the earlier stores."""
-    n = len(_store_list(stores))
-    if not n:
+    known = _store_list(stores)
+    if not known:
         return items.limit(0).select("basket_id", "item_key", F.lit("").alias("store"), F.lit(0).cast(MONEY).alias("unit_price"), F.lit(0).alias("mask"), F.lit(0).cast(MONEY).alias("split_total"), F.lit(0).alias("n_stores"))
-    wanted = items.groupBy("basket_id").agg(F.count("*").alias("n_items"))
-    offers = cheapest_offers(items, offerings, stores).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(2**n - 1)))).where("(mask >> ord) & 1 = 1")
-    chosen = offers.groupBy("basket_id", "mask", "item_key", "quantity").agg(F.min(F.struct("unit_price", "ord", "store")).alias("b")).select("basket_id", "mask", "item_key", "quantity", "b.unit_price", "b.ord", "b.store")
-    per_store = chosen.groupBy("basket_id", "mask", "store").agg(F.count("*").alias("found"), F.sum(_line()).cast(MONEY).alias("subtotal")).join(F.broadcast(stores.select("store", "fees")), "store")
-    total = (F.col("subtotal") + delivery_fee(F.col("fees"), F.col("subtotal").cast("double")).cast(MONEY)).cast(MONEY)
-    per_mask = per_store.groupBy("basket_id", "mask").agg(F.sum("found").alias("found"), F.sum(total).cast(MONEY).alias("split_total"), F.count("*").alias("n_stores"))
-    full = per_mask.join(wanted, "basket_id").where("found = n_items")
-    # the stores of a set in order, as the tie-break between sets of one size
-    ords = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(2**k) != 0, F.lit(k)) for k in range(n)]))
-    best = full.groupBy("basket_id").agg(F.min(F.struct("split_total", F.bit_count("mask").alias("size"), ords.alias("ords"), "mask", "n_stores")).alias("b")).select("basket_id", "b.mask", "b.split_total", "b.n_stores")
-    return chosen.join(best, ["basket_id", "mask"]).select("basket_id", "item_key", "store", "unit_price", "mask", "split_total", "n_stores")
+    best = _baskets(items, offerings, known).withColumn("s", _split(known)).where("s IS NOT NULL")
+    names = F.array(*[F.lit(s) for s, _ in known])
+    each = best.select("basket_id", "s", F.explode("lines").alias("l")).withColumn("o", F.get(F.filter("l.offers", lambda o: F.getbit(F.col("s.mask"), o["ord"]) == 1), F.lit(0)))
+    return each.select("basket_id", "l.item_key", F.get(names, F.col("o.ord")).alias("store"), "o.unit_price", "s.mask", _money(F.col("s.total")).alias("split_total"), F.bit_count("s.used").alias("n_stores"))
 
 
 def optimize(items: DataFrame, offerings: DataFrame, stores: DataFrame, least_saving: float = LEAST_SAVING) -> DataFrame:
@@ -81,13 +156,14 @@ def optimize(items: DataFrame, offerings: DataFrame, stores: DataFrame, least_sa
 
     The split is shown (not null) if it has two stores or more and the single
     store lacks items or the saving is large enough; savings are never negative."""
-    single = best_single(single_store_plans(items, offerings, stores))
-    split = split_plans(items, offerings, stores).groupBy("basket_id").agg(F.first("split_total").alias("s"), F.first("n_stores").alias("k"), F.array_sort(F.collect_set("store")).alias("stores"))
-    saving = F.col("total") - F.col("s")
-    shown = (F.col("k") >= 2) & ((F.col("missing") > 0) | (saving >= least_saving))
-    return single.join(split, "basket_id", "left").select(
-        "basket_id", "store", "missing", F.round(F.col("total").cast("double"), 2).alias("total"),
-        F.when(shown, F.round(F.col("s").cast("double"), 2)).alias("split_total"),
-        F.when(shown, F.round(F.greatest(saving.cast("double"), F.lit(0.0)), 2)).otherwise(0.0).alias("savings"),
-        F.when(shown, F.array_join("stores", ",")).alias("split_stores"),
+    known = _store_list(stores)
+    plans = _baskets(items, offerings, known).select("basket_id", F.array_min(_single(known)).alias("p"), _split(known).alias("s"))
+    total, split = _money(F.col("p.total")), _money(F.col("s.total"))
+    shown = (F.bit_count("s.used") >= 2) & ((F.col("p.missing") > 0) | (total - split >= least_saving))
+    used = F.array_compact(F.array(*[F.when(F.getbit(F.col("s.used"), F.lit(k)) == 1, F.lit(s)) for k, (s, _) in enumerate(known)]))
+    return plans.select(
+        "basket_id", F.col("p.store").alias("store"), F.col("p.missing").alias("missing"), F.round(total.cast("double"), 2).alias("total"),
+        F.when(shown, F.round(split.cast("double"), 2)).alias("split_total"),
+        F.when(shown, F.round(F.greatest((total - split).cast("double"), F.lit(0.0)), 2)).otherwise(0.0).alias("savings"),
+        F.when(shown, F.array_join(F.array_sort(used), ",")).alias("split_stores"),
     )
