@@ -10,12 +10,16 @@ each listing; all listings then find their product by joins.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.measures import SIZE_TOLERANCE, size_equiv
+from ..sources.scratch import checkpointed
 
 ATTACH = ("category", "is_loose", "brand", "subcategory")
 SIX = (*ATTACH, "size_unit", "size_value")
@@ -39,38 +43,67 @@ def canonical_name() -> Column:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
-    """Consecutive numbers from ``start`` in the given order, without gathering the rows: counts per range partition are summed."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    """Consecutive numbers from ``start`` in the given order, without gathering the rows.
+
+    The rows are dealt by range and written once; partitions are counted, and the rows
+    numbered, from that copy, since a second dealing might cut the ranges elsewhere."""
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()
-    offsets, at = {}, start
-    for r in counts:
-        offsets[r["_p"]] = at
+    offsets, at = [], start
+    for r in placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        offsets.append((r["_p"], at))
         at += r["n"]
-    offset = F.lit(start)
-    if offsets:
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("_p"))
-    return placed.withColumn(name, (offset + F.col("_i")).cast("long")).drop("_p", "_i")
+    offset = df.sparkSession.createDataFrame(offsets, "_p int, _o long")  # a row for each partition
+    return placed.join(F.broadcast(offset), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
+class Sizes:
+    """The sizes of one attach key's products: is a further one covered?"""
 
+    def __init__(self):
+        self.bases: list[float] = []
+        self.same: set[tuple] = set()
 
-def _same(a, b) -> bool:
-    """Equal, or both missing."""
-    return a == b or (pd.isna(a) and pd.isna(b))
+    @staticmethod
+    def _given(x):
+        return None if pd.isna(x) else x
+
+    def add(self, base, value, unit) -> None:
+        if pd.notna(base):
+            insort(self.bases, base)
+        self.same.add((self._given(value), self._given(unit)))
+
+    def cover(self, base, value, unit) -> bool:
+        """By one of equal value and unit (both may be missing), or by one within the tolerance of the larger; zero is only near zero."""
+        if (self._given(value), self._given(unit)) in self.same:
+            return True
+        if pd.isna(base):
+            return False
+        at = bisect_left(self.bases, base * (1 - SIZE_TOLERANCE) * (1 - 1e-12))
+        while at < len(self.bases) and self.bases[at] * (1 - SIZE_TOLERANCE) * (1 - 1e-12) <= base:
+            k = self.bases[at]
+            if (k == 0) == (base == 0) and abs(k - base) <= SIZE_TOLERANCE * max(k, base):
+                return True
+            at += 1
+        return False
 
 
 def _creations(products: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
     """Of one attach key: which first-seen sizes no product covers when they arrive."""
-    known = [(x, v, u) for x, v, u in zip(products["known_base"], products["known_value"], products["known_unit"], strict=True)]
-    keep = []
-    for i, row in firsts.sort_values("seq").iterrows():
-        x, v, u = row["base_unit_qty"], row["size_value"], row["size_unit"]
-        covered = any(
-            (pd.notna(k) and pd.notna(x) and ((x == 0 and k == 0) or (x != 0 and k != 0 and abs(k - x) <= SIZE_TOLERANCE * max(k, x)))) or (_same(kv, v) and _same(ku, u)) for k, kv, ku in known
-        )
-        if not covered:
-            known.append((x, v, u))
+    known, keep = Sizes(), []
+    for size in zip(products["known_base"], products["known_value"], products["known_unit"], strict=True):
+        known.add(*size)
+    firsts = firsts.sort_values("seq")
+    for i, size in enumerate(zip(firsts["base_unit_qty"], firsts["size_value"], firsts["size_unit"], strict=True)):
+        if not known.cover(*size):
+            known.add(*size)
             keep.append(i)
-    return firsts.loc[keep]
+    return firsts.iloc[keep]
+
+
+def size_band(base: Column) -> Column:
+    """Sizes within the tolerance of each other lie in one band or in neighbours; zero and less has a band of its own."""
+    return F.when(base > 0, F.floor(F.log(base) / F.lit(-math.log(1 - SIZE_TOLERANCE) * (1 + 1e-9)))).otherwise(F.lit(-(1 << 40))).cast("long")
 
 
 def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +136,17 @@ def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
     # every listing finds the first product that was there when it came
     there = products.select("product_id", *columns, F.lit(-1).cast("long").alias("since")).unionByName(created.select("product_id", *columns, F.col("seq").cast("long").alias("since")))
     l, c = known.select("seq", *columns).alias("l"), there.alias("c")
-    same_key = [F.col(f"l.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ATTACH]
-    six = F.col("l.size_unit").eqNullSafe(F.col("c.size_unit")) & F.col("l.size_value").eqNullSafe(F.col("c.size_value"))
-    branded = F.coalesce(F.col("l.brand"), F.lit("")) != ""
-    close = size_equiv(F.col("l.base_unit_qty"), F.col("c.base_unit_qty")) & branded
-    rank = F.when(close & F.col("l.size_unit").eqNullSafe(F.col("c.size_unit")), 1).when(close, 2).when(six, 3)
-    met = l.join(c, [*same_key, F.col("c.since") <= F.col("l.seq")]).select("l.seq", "product_id", "since", rank.alias("rank")).where("rank IS NOT NULL")
+    same = lambda names: [F.col(f"l.{x}").eqNullSafe(F.col(f"c.{x}")) for x in names]
+    in_time = F.col("c.since") <= F.col("l.seq")
+    equal = l.join(c, [*same(SIX), in_time]).select("l.seq", "product_id", "since", F.lit(3).alias("rank"))
+    # near sizes of a branded key: by bands of size, of which a listing looks into three, so that only near ones meet
+    band = size_band(F.col("base_unit_qty"))
+    mine = known.where(sized & F.col("base_unit_qty").isNotNull()).select("seq", *columns, F.explode(F.array(band - 1, band, band + 1)).alias("band")).alias("l")
+    theirs = there.where(sized & F.col("base_unit_qty").isNotNull()).withColumn("band", band).alias("c")
+    close = size_equiv(F.col("l.base_unit_qty"), F.col("c.base_unit_qty"))
+    rank = F.when(F.col("l.size_unit").eqNullSafe(F.col("c.size_unit")), 1).otherwise(2)
+    near = mine.join(theirs, [*same(ATTACH), F.col("l.band") == F.col("c.band"), in_time, close]).select("l.seq", "product_id", "since", rank.alias("rank"))
+    met = equal.unionByName(near)
     best = met.groupBy("seq").agg(F.min(F.struct("rank", "product_id", "since")).alias("b")).select("seq", "b.*")
     fresh = F.col("since") == F.col("seq")
     out = listings.select("seq").join(best, "seq", "left")
