@@ -20,19 +20,45 @@ FUZZY = ("category", 0.5, 0.75)
 ATTRIBUTES = ("normalized_name", "brand", "category", "subcategory", "size_unit", "base_unit_qty", "is_loose")
 
 
-def _tier(fuzzy: bool) -> Column:
+def _no_conflict() -> Column:
+    """The brands are equal, or one is missing."""
+    l, c = F.col("l.brand"), F.col("c.brand")
+    return F.coalesce((l == c) | (l == "") | (c == ""), F.lit(True))
+
+
+def _tier() -> Column:
     l, c = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"c.{n}"))
     size = size_equiv(l("base_unit_qty"), c("base_unit_qty"))
     sub = l("subcategory").eqNullSafe(c("subcategory"))
     branded = (F.coalesce(l("brand"), F.lit("")) != "") & F.coalesce(l("brand") == c("brand"), F.lit(False))
-    no_conflict = F.coalesce((l("brand") == c("brand")) | (l("brand") == "") | (c("brand") == ""), F.lit(True))
-    tier = (
+    return (
         F.when(size & sub & branded & l("size_unit").eqNullSafe(c("size_unit")), 1)
         .when(size & sub & branded, 2)
-        .when(size & sub & no_conflict, 3)
+        .when(size & sub & _no_conflict(), 3)
         .when(size & sub & l("is_loose") & c("is_loose"), 4)
     )
-    return tier.when(no_conflict, 5) if fuzzy else tier
+
+
+def _letters(text: Column) -> Column:
+    """How often each kind of character occurs; those past the first few kinds share the last one."""
+    kinds = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    each = [F.char_length(text) - F.char_length(F.replace(text, F.lit(k), F.lit(""))) for k in kinds]
+    return F.array(*each, F.char_length(F.translate(text, kinds, "")))
+
+
+def name_ratios(listings: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """``category, is_loose, one, two, ratio`` of distinct normalized names that share category and loose flag, where the ratio is at least this.
+
+    The matching blocks hold no more characters than the shorter name, nor than both
+    names have of each kind; only pairs that pass these bounds are compared."""
+    sides = []
+    for frame, name, ours in ((listings, "one", "x"), (candidates, "two", "y")):
+        names = frame.where("normalized_name <> ''").select("category", "is_loose", F.col("normalized_name").alias(name)).distinct()
+        sides.append(names.withColumns({f"{ours}n": F.char_length(name), ours: _letters(F.col(name))}))
+    long_enough = 2 * F.least("xn", "yn") >= least * (F.col("xn") + F.col("yn"))
+    shared = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
+    pairs = sides[0].join(sides[1], ["category", "is_loose"]).where(long_enough).where(2 * shared >= least * (F.col("xn") + F.col("yn")))
+    return pairs.select("category", "is_loose", "one", "two", sequence_ratio("one", "two").alias("ratio")).where(F.col("ratio") >= least)
 
 
 def match(listings: DataFrame, candidates: DataFrame, key: str = "listing_id", fuzzy: bool = True) -> DataFrame:
@@ -44,12 +70,16 @@ def match(listings: DataFrame, candidates: DataFrame, key: str = "listing_id", f
     l = listings.select(key, *ATTRIBUTES).alias("l")
     c = candidates.select("product_id", *ATTRIBUTES).alias("c")
     same = (F.col("l.category") == F.col("c.category")) & (F.col("l.is_loose") == F.col("c.is_loose"))
-    met = l.join(c, same & _tier(fuzzy).isNotNull()).withColumn("tier", _tier(fuzzy))
-    firm = met.where("tier <= 4").groupBy(key).agg(F.min(F.struct("tier", "product_id")).alias("best"))
+    met = l.join(c, same & _tier().isNotNull()).withColumn("tier", _tier())
+    firm = met.groupBy(key).agg(F.min(F.struct("tier", "product_id")).alias("best"))
     firm = firm.select(key, "best.tier", "best.product_id")
     if fuzzy:
-        near = met.where("tier = 5 OR tier = 3").join(firm.select(key), key, "left_anti")
-        near = near.withColumn("ratio", sequence_ratio("l.normalized_name", "c.normalized_name")).withColumn("fits", size_equiv(F.col("l.base_unit_qty"), F.col("c.base_unit_qty")))
+        left = listings.join(firm.select(key), key, "left_anti").select(key, *ATTRIBUTES)
+        alike = name_ratios(left, candidates, FUZZY[2])
+        l = left.alias("l")
+        on = (F.col("l.category") == F.col("n.category")) & (F.col("l.is_loose") == F.col("n.is_loose")) & (F.col("l.normalized_name") == F.col("n.one"))
+        named = l.join(alike.alias("n"), on).select("l.*", "two", "ratio").alias("l")
+        near = named.join(c, same & (F.col("l.two") == F.col("c.normalized_name")) & _no_conflict()).withColumn("fits", size_equiv(F.col("l.base_unit_qty"), F.col("c.base_unit_qty")))
         best = near.groupBy(key).agg(F.max(F.struct("ratio", (-F.col("product_id")).alias("first"), "fits")).alias("best"))
         best = best.where((F.col("best.ratio") >= FUZZY[2]) & F.col("best.fits")).select(key, F.lit(5).alias("tier"), (-F.col("best.first")).alias("product_id"))
         firm = firm.unionByName(best)
@@ -69,7 +99,7 @@ def match_tier(listings: DataFrame, candidates: DataFrame, tier: int, key: str =
 def match_pairs(listings: DataFrame, candidates: DataFrame, key: str = "listing_id") -> DataFrame:
     l, c = listings.select(key, *ATTRIBUTES).alias("l"), candidates.select("product_id", *ATTRIBUTES).alias("c")
     same = (F.col("l.category") == F.col("c.category")) & (F.col("l.is_loose") == F.col("c.is_loose"))
-    return l.join(c, same & _tier(False).isNotNull()).select(key, "product_id", _tier(False).alias("tier"))
+    return l.join(c, same & _tier().isNotNull()).select(key, "product_id", _tier().alias("tier"))
 
 
 def predict(pairs: DataFrame, verdicts: DataFrame, key: str = "listing_id") -> DataFrame:
