@@ -108,7 +108,7 @@ def test_bucket_order(spark):
 
 
 def test_sources(spark):
-    page = {"products": [{"id": "1", "name": "A", "price": 360, "discount": 25, "discount_type": "amount"}, {"id": "2", "name": "B", "price": 200, "discount": 10, "discount_type": "percent", "status": 0}, {"id": "2", "name": "B", "price": 1}, {"id": "3", "name": "", "price": 9}, {"code": "c", "name": "C", "price": 550, "stock": 0}]}
+    page = {"products": [{"id": "1", "name": "A", "price": 360, "discount": 25, "discount_type": "amount"}, {"id": "2", "name": "B", "price": 200, "discount": 10, "discount_type": "percent", "status": 0}, {"id": "2", "name": "B", "price": 1}, {"id": "3", "name": "", "price": 9}, {"id": "4", "code": "c", "name": "C", "price": 550, "stock": 0}, {"code": "d", "name": "no id", "price": 1}]}
     got = records.rest_records(spark.createDataFrame([(json.dumps(page),), ("broken",)], "value string"), "https://u", "u:").collect()
     assert sorted((r.sku, r.price, r.original_price, r.in_stock) for r in got) == [("u:1", 335.0, 360.0, True), ("u:2", 180.0, 200.0, False), ("u:c", 550.0, None, False)]
     item = {"itemId": "7", "name": "Oil 5L", "price": "615", "originalPrice": "677", "itemUrl": "//d.com/x"}
