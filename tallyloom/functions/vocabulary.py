@@ -8,6 +8,7 @@ staples of the tests; :func:`load` takes any other.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -57,11 +58,11 @@ class Lookup:
 
     def category(self, text: str, unit: str | None) -> str | None:
         """The most keyword hits, each worth 10 and its length; the first of equals; units must agree."""
-        best, top = None, 0
+        best, top, text = None, 0, text.lower()
         for key, units, keywords in self.keywords:
             if unit and units and unit not in units:
                 continue
-            score = sum(10 + len(k) for k, pattern in keywords if pattern.search(text))
+            score = sum(10 + len(k) for k, pattern in keywords if k.lower() in text and pattern.search(text))
             if score > top:
                 best, top = key, score
         return best
@@ -73,12 +74,28 @@ class Lookup:
         return next((b for pattern, b in self.patterns.get(category, self.patterns[None]) if pattern.search(text)), None)
 
 
+_compiled: dict[str, Lookup] = {}
+
+
+def compiled(vocabulary: Vocabulary, name: str) -> Lookup:
+    """The lookup of the vocabulary with this name, compiled once in a worker; the last one is kept."""
+    if name not in _compiled:
+        _compiled.clear()
+        _compiled[name] = Lookup(vocabulary)
+    return _compiled[name]
+
+
+def _name(vocabulary: Vocabulary) -> str:
+    return hashlib.sha256(json.dumps([vocabulary.categories, vocabulary.aliases]).encode()).hexdigest()
+
+
 def classifier(vocabulary: Vocabulary):
     """An Arrow-batched function (clean text, unit) -> struct of category, subcategory, brand."""
+    name = _name(vocabulary)
 
     @F.pandas_udf(CLASSES)
     def classify(text: pd.Series, unit: pd.Series) -> pd.DataFrame:
-        lookup = Lookup(vocabulary)
+        lookup = compiled(vocabulary, name)
         rows, known = [], {}
         for x, u in zip(text, unit, strict=True):
             if (x, u) not in known:
@@ -93,9 +110,11 @@ def classifier(vocabulary: Vocabulary):
 def brand_finder(vocabulary: Vocabulary):
     """An Arrow-batched function (lower-case text, category) -> brand."""
 
+    name = _name(vocabulary)
+
     @F.pandas_udf("string")
     def find(text: pd.Series, category: pd.Series) -> pd.Series:
-        lookup = Lookup(vocabulary)
+        lookup = compiled(vocabulary, name)
         return pd.Series([lookup.brand(x or "", c) for x, c in zip(text, category, strict=True)], dtype="object")
 
     return find
@@ -121,16 +140,24 @@ def exact_category(query: Column, keys: list[str]) -> Column:
 
 def whole_word(text: Column, term: Column) -> Column:
     """Does the term stand in the text with no letter of either script beside it?  Both are wrapped per run of letters, so that plain containment decides."""
-    wrap = lambda c: F.regexp_replace(c, r"([a-zA-Z\x{0980}-\x{09FF}]+)", "\u0001$1\u0001")
+    wrap = lambda c: F.regexp_replace(c, f"({_RUN})", "\u0001$1\u0001")
     return wrap(text).contains(wrap(term))
 
 
+#: A run of letters of either script.
+_RUN = r"[a-zA-Z\x{0980}-\x{09FF}]+"
+
+
 def classify_native(listings: DataFrame, keywords: DataFrame, units: DataFrame) -> DataFrame:
     """``name, category, score`` for each distinct ``name, unit`` whose words hit a keyword, by joins alone.
 
-    ``keywords`` (ord, key, keyword) and ``units`` (key, units) are vocabulary tables, broadcast within their proven size."""
+    ``keywords`` (ord, key, keyword) and ``units`` (key, units) are vocabulary tables.  All joins are on equal keys."""
     names = listings.select("name", "unit").distinct()
-    hits = names.join(F.broadcast(keywords), whole_word(F.col("name"), F.col("keyword"))).join(F.broadcast(units), "key")
+    # a keyword is found only where its first run of letters is a whole one of the name's; without letters it is looked for in all names
+    run = lambda c: F.regexp_extract_all(c, F.lit(_RUN), 0)
+    anchored = keywords.withColumn("run", F.coalesce(F.get(run(F.col("keyword")), F.lit(0)), F.lit("")))
+    spread = names.withColumn("run", F.explode(F.array_union(run(F.col("name")), F.array(F.lit("")))))
+    hits = spread.join(anchored, "run").where(whole_word(F.col("name"), F.col("keyword"))).join(units, "key")
     fits = F.col("unit").isNull() | (F.size("units") == 0) | F.array_contains("units", F.col("unit"))
     scored = hits.where(fits).groupBy("name", "unit", "key", "ord").agg((10 * F.count("*") + F.sum(F.char_length("keyword"))).cast("long").alias("score"))
     best = scored.groupBy("name", "unit").agg(F.max(F.struct("score", (-F.col("ord")).alias("first"), "key")).alias("b"))

@@ -6,7 +6,7 @@ product_id, store, name, price, original_price, in_stock, and more."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,6 +50,23 @@ def search_by_text(products: DataFrame, query: str, limit: int = 30, least: floa
     return products.withColumn("similarity", score).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "product_id").limit(_checked(limit))
 
 
+def search_many(products: DataFrame, queries: DataFrame, limit: int = 30, least: float = SIMILAR) -> DataFrame:
+    """``query_id, product_id, similarity, place``: for each of ``queries`` (query_id, query) the products whose normalized or full name resembles it most.
+
+    Queries meet the products with which they share a trigram; shared ones are counted,
+    not compared again, and a frequent trigram's rows are dealt by AQE's skew join."""
+    asked = queries.select("query_id", T.trigrams(F.col("query")).alias("t"))
+    asked = asked.select("query_id", F.size("t").alias("asked"), F.explode("t").alias("gram"))
+    names = products.select("product_id", F.explode(F.array_distinct(F.array("normalized_name", "name"))).alias("name"))
+    have = names.select("product_id", "name", T.trigrams(F.col("name")).alias("t"))
+    have = have.select("product_id", "name", F.size("t").alias("have"), F.explode("t").alias("gram"))
+    both = have.join(asked, "gram").groupBy("query_id", "product_id", "name", "asked", "have").agg(F.count("*").alias("both"))
+    alike = both.select("query_id", "product_id", (F.col("both").cast("double") / (F.col("asked") + F.col("have") - F.col("both"))).alias("similarity"))
+    found = alike.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _checked(limit))
+
+
 def search(products: DataFrame, query: str, vocabulary: Vocabulary | None = None, category: str | None = None, subcategory: str | None = None, limit: int = 30) -> DataFrame:
     """By size, category or text, whichever the query gives; explicit filters come before what the query says.
 
@@ -78,7 +95,7 @@ def query_attributes(products: DataFrame, query: str, vocabulary: Vocabulary, no
 
 def offerings(listings: DataFrame, stores: DataFrame) -> DataFrame:
     """Listings with the store's display name (else its name) and zero original prices made null."""
-    named = listings.join(F.broadcast(stores.select("store", "display_name")), "store", "left")
+    named = listings.join(stores.select("store", "display_name"), "store", "left")
     return named.withColumns({"store_display": F.coalesce("display_name", "store"), "original_price": F.when(F.col("original_price") != 0, F.col("original_price"))}).drop("display_name")
 
 
@@ -110,7 +127,7 @@ def buckets(products: DataFrame, offers: DataFrame, brand: Column | None = None)
     out = rows.groupBy(*BUCKET).agg(
         F.sort_array(F.collect_list(offer)).alias("offerings"),
         F.min(F.when(F.col("in_stock"), F.struct("price", "listing_id", "store_display", F.col("offer_brand").alias("brand")))).alias("c"),
-        F.count_distinct("store").alias("n_stores"), F.count("*").alias("n_offers"), F.max(live).alias("highest"),
+        F.size(F.collect_set("store")).cast("long").alias("n_stores"), F.count("*").alias("n_offers"), F.max(live).alias("highest"),
     )
     title = T.title(F.coalesce("c.brand", F.lit("—")))
     return out.select(
@@ -145,7 +162,7 @@ def category_tree(categories: DataFrame, products: DataFrame, listings: DataFram
     """``group, categories``: the taxonomy in order with product and listing counts, empty categories included."""
     p = products.groupBy("category").agg(F.count("*").alias("products"))
     l = listings.join(products.select("product_id", "category"), "product_id").groupBy("category").agg(F.count("*").alias("listings"))
-    rows = F.broadcast(categories).join(p, F.col("key") == p["category"], "left").drop("category").join(l, F.col("key") == l["category"], "left")
+    rows = categories.join(p, F.col("key") == p["category"], "left").drop("category").join(l, F.col("key") == l["category"], "left")
     each = F.struct("ord", "key", "display", F.coalesce("products", F.lit(0)).alias("products"), F.coalesce("listings", F.lit(0)).alias("listings"))
     return rows.groupBy("group", "group_ord").agg(F.sort_array(F.collect_list(each)).alias("categories")).orderBy("group_ord").drop("group_ord")
 

@@ -28,10 +28,13 @@ def alert_level(report: DataFrame) -> int:
     return 0 if not bad else 2 if bad == total else 1
 
 
-def run_summary(processed: DataFrame) -> DataFrame:
-    """``store, items_scraped, items_matched, status`` of processed records (store, product_id, failed)."""
+def run_summary(processed: DataFrame, failed_is_partial: bool = False) -> DataFrame:
+    """``store, items_scraped, items_matched, status`` of processed records (store, product_id, failed).
+
+    A run whose records all fail has failed, unless it came to its end and failing only
+    means that a record found no product."""
     out = processed.groupBy("store").agg(F.count("*").alias("items_scraped"), F.count_if(F.col("product_id").isNotNull()).alias("items_matched"), F.count_if(F.col("failed")).alias("bad"))
-    status = F.when(F.col("bad") == 0, "success").when(F.col("bad") < F.col("items_scraped"), "partial").otherwise("failed")
+    status = F.when(F.col("bad") == 0, "success").when(F.lit(failed_is_partial) | (F.col("bad") < F.col("items_scraped")), "partial").otherwise("failed")
     return out.select("store", "items_scraped", "items_matched", status.alias("status"))
 
 

@@ -66,5 +66,5 @@ def price_range(offers: DataFrame) -> DataFrame:
 
 def clicks(requests: DataFrame, listings: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(click rows to append, redirects) of ``requests`` (listing_id, session, referrer, at); unknown listings give neither."""
-    known = requests.join(listings.select("listing_id", "store", "url"), "listing_id").join(F.broadcast(stores.select("store", "base_url", "template")), "store", "left")
+    known = requests.join(listings.select("listing_id", "store", "url"), "listing_id").join(stores.select("store", "base_url", "template"), "store", "left")
     return known.select("listing_id", "store", "session", "referrer", "at"), known.select("listing_id", "session", click_target(F.col("url"), F.col("base_url"), F.col("template")).alias("target"))

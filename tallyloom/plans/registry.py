@@ -105,11 +105,13 @@ def store_freshness(spark, d):
     return reports.freshness(R.listings(spark, d), F.lit(NOW).cast("timestamp_ntz"))
 
 
-@query(with_roles("listings") + f""", seen AS (SELECT store, count(*) AS total, max(last_seen) AS last_seen FROM listings WHERE store <> 's2' GROUP BY store), names AS (SELECT 's' || i AS store FROM range(6) t(i))
+@query(with_roles("listings") + f""", seen AS (SELECT store, count(*) AS total, max(last_seen) AS last_seen FROM listings GROUP BY store), names AS (SELECT 's' || i AS store FROM range(7) t(i))
     SELECT store, coalesce(total, 0) AS total, round(epoch_us({_NOW} - last_seen) / 3.6e9, 4) AS age_hours, CASE WHEN last_seen IS NULL THEN 'NEVER' WHEN epoch_us({_NOW} - last_seen) / 3.6e9 > 36 THEN 'STALE' ELSE 'FRESH' END AS status
     FROM names LEFT JOIN seen USING (store)""".replace(f"epoch_us({_NOW} - last_seen)", f"(epoch_us({_NOW}) - epoch_us(last_seen))"))
 def stale_stores(spark, d):
-    return reports.stale_stores(R.stores(spark), R.listings(spark, d).where("store <> 's2'"), NOW)
+    """All stores, and one that has no listings yet."""
+    stores = R.stores(spark).select("store").unionByName(spark.sql(f"VALUES ('s{R.STORES}') AS t(store)"))
+    return reports.stale_stores(stores, R.listings(spark, d), NOW)
 
 
 @query(with_roles("runs") + " SELECT run_id, store, started_at, finished_at, items_scraped, status, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 AS seconds FROM runs ORDER BY started_at DESC, run_id LIMIT 50")
@@ -171,9 +173,13 @@ def _sql_similarity(a: str, b: str) -> str:
     return f"(len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))))"
 
 
-@query(with_roles("products") + f", s AS (SELECT product_id, {_sql_similarity('name', repr('red rings'))} AS similarity FROM products) SELECT product_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.15 ORDER BY s.similarity DESC, product_id LIMIT 30")
+@query(with_roles("products") + f""", asked AS (SELECT product_id AS query_id, name || ' ' || brand AS asked FROM products WHERE product_id % 50 = 0), s AS (SELECT query_id, product_id, {_sql_similarity('name', 'asked')} AS similarity FROM asked, products),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product_id) AS place FROM s WHERE similarity >= 0.15) SELECT query_id, product_id, place, round(similarity, 9) AS similarity FROM n WHERE place <= 30""")
 def trigram_search(spark, d):
-    return catalog.search_by_text(R.products(spark, d), "red rings").select("product_id", F.round("similarity", 9).alias("similarity"))
+    """The names with brands of every fiftieth product, searched for among all products: the 30 most alike of each."""
+    p = R.products(spark, d)
+    asked = p.where(F.col("product_id") % 50 == 0).select(F.col("product_id").alias("query_id"), F.concat_ws(" ", "name", "brand").alias("query"))
+    return catalog.search_many(p, asked).select("query_id", "product_id", F.col("place").cast("long").alias("place"), F.round("similarity", 9).alias("similarity"))
 
 
 _OFFERS = "offers AS (SELECT l.*, coalesce(s.display_name, l.store) AS store_display FROM listings l LEFT JOIN stores s USING (store))"
@@ -280,21 +286,15 @@ def _incoming(spark, d):
     return out.withColumnRenamed("product_id", "listing_id"), p
 
 
-def _as_in_sql(spark, d):
-    """The listings that _INCOMING has: without those whose id is 3 modulo 4."""
-    listings, p = _incoming(spark, d)
-    return listings.where(F.col("listing_id") % 4 != 3), p
-
-
 _INCOMING = """incoming AS (SELECT product_id AS listing_id, category, subcategory, is_loose, CASE WHEN product_id % 7 = 0 THEN NULL WHEN product_id % 7 = 1 THEN 'Brand#1' ELSE brand END AS brand,
-    CASE WHEN product_id % 5 = 0 THEN 'G' ELSE size_unit END AS size_unit, CASE WHEN product_id % 11 = 0 THEN NULL ELSE base_unit_qty * 1.01 END AS q FROM products WHERE product_id % 4 <> 3),
+    CASE WHEN product_id % 5 = 0 THEN 'G' ELSE size_unit END AS size_unit, CASE WHEN product_id % 11 = 0 THEN NULL ELSE base_unit_qty * 1.01 END AS q FROM products),
   tiers AS (SELECT listing_id, product_id, CASE WHEN i.brand = p.brand AND i.size_unit = p.size_unit THEN 1 WHEN i.brand = p.brand THEN 2 WHEN i.brand IS NULL OR i.brand = p.brand THEN 3 WHEN i.is_loose THEN 4 END AS tier
     FROM incoming i JOIN products p ON i.category = p.category AND i.is_loose = p.is_loose AND i.subcategory IS NOT DISTINCT FROM p.subcategory AND abs(i.q - p.base_unit_qty) <= 0.02 * greatest(i.q, p.base_unit_qty))"""
 
 
 def _tier_query(tier: int, name: str):
     def run(spark, d):
-        return match.match_tier(*_as_in_sql(spark, d), tier=tier)
+        return match.match_tier(*_incoming(spark, d), tier=tier)
 
     run.__name__ = f"match_{name}"
     query(with_roles("products") + f", {_INCOMING} SELECT listing_id, min(product_id) AS product_id FROM tiers WHERE tier = {tier} GROUP BY listing_id")(run)
@@ -308,7 +308,7 @@ for _n, (_tier, _name) in enumerate(((1, "exact"), (2, "brand"), (3, "category")
     SELECT listing_id, product_id, CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 WHEN 4 THEN 0.55 ELSE 0.0 END AS confidence, CASE tier WHEN 1 THEN 'exact' WHEN 2 THEN 'brand' WHEN 3 THEN 'category' WHEN 4 THEN 'loose' ELSE 'unmatched' END AS method
     FROM incoming LEFT JOIN best USING (listing_id)""".replace("1.0 WHEN", "1.0::DOUBLE WHEN"))
 def match_listings(spark, d):
-    return match.match(*_as_in_sql(spark, d), fuzzy=False)
+    return match.match(*_incoming(spark, d), fuzzy=False)
 
 
 def match_fuzzy(spark, d):
@@ -461,11 +461,11 @@ def html_cards(spark, d):
     return records.html_cards(R.table(spark, d, "pages").select("page_id", "html"), "html", "<li>", fields).withColumnRenamed("at", "nth")
 
 
+@query("""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS here, 'https://' || regexp_extract(url, '://([^/?#]*)', 1) AS base FROM pages),
+    s AS (SELECT page_id, CASE WHEN here <> '' AND here = lower(regexp_extract(base, '^https?://([^/?#]*)', 1)) THEN url ELSE base END AS safe FROM p)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://go.example.com/?to=' || url_encode(safe) ELSE safe END AS target FROM s""")
 def click_target(spark, d):
     pages = R.table(spark, d, "pages")
     base = F.concat(F.lit("https://"), F.regexp_extract("url", r"://([^/?#]*)", 1))
     odd = F.when(F.col("page_id") % 3 == 0, F.lit("https://go.example.com/?to={url}"))
     return pages.select("page_id", T.click_target(F.col("url"), base, odd).alias("target"))
-
-
-QUERIES["click_target"] = click_target
