@@ -38,13 +38,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Words, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes, about, that a Python worker keeps of chunks and their encodings; up to twice as many for a moment.
-REMEMBERED_BYTES = 96 << 20
-#: Longer chunks are not remembered.
-REMEMBERED_CHUNK = 64
+#: A Python worker remembers chunks between white space by digest, up to half as many as the table of this many bits has places, and up to so many of their ids (12 bytes a place, 8 a chunk, 4 an id).
+KNOWN_BITS, KNOWN_IDS = 21, 6 << 20
 #: Text that is worked on at a time; only a longer run without white space is taken whole.
 PIECE_BYTES = 1 << 20
 #: Words of up to so many symbols step together, so many at a time.
@@ -340,27 +338,80 @@ def windows(text: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
 _SPACES = regex.compile(rb"[\x20\x09-\x0D]")
 
 
-class Memory:
-    """What recent chunks gave: a young generation, and the one before it until that is replaced."""
+class Strings:
+    """Many strings of numbers in one array: chosen ones are put together without a loop."""
 
-    def __init__(self, limit: int):
-        self.young: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
-        self.limit, self.bytes = limit, 0
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.ends = flat, np.concatenate(([0], np.cumsum(sizes)))
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that are to be given; those of the older generation become young."""
-        if self.bytes > self.limit // 2:
-            self.old, self.young, self.bytes = self.young, {}, 0
-        keys = keys - self.young.keys()
-        again = keys & self.old.keys()
-        self.put({k: self.old[k] for k in again})
-        return list(keys - again)
+    @classmethod
+    def of(cls, raw: list[bytes]) -> "Strings":
+        return cls(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
 
-    def put(self, entries: dict) -> None:
-        self.young.update(entries)
-        each = [v if isinstance(v, bytes) else v[1] + v[2] for v in entries.values()]
-        self.bytes += 160 * len(each) + sum(map(len, entries)) + sum(map(len, each))
+    def join(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen strings in a row, and where each ends."""
+        starts = self.ends[which]
+        sizes = self.ends[which + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+
+class Known:
+    """What recent chunks are encoded to, found by their 64-bit digests in a table for many at once.
+
+    All is forgotten when there are too many chunks or ids."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.digests, self.places = np.zeros(1 << KNOWN_BITS, np.uint64), np.full(1 << KNOWN_BITS, -1, np.int32)
+        self.shift, self.mask = np.uint64(64 - KNOWN_BITS), (1 << KNOWN_BITS) - 1
+        self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0, 0
+
+    def find(self, digests: np.ndarray) -> np.ndarray:
+        """Place of each chunk, or -1."""
+        at = (digests >> self.shift).astype(np.int64)
+        out = self.places[at]
+        left = np.flatnonzero((out >= 0) & (self.digests[at] != digests))
+        while len(left):
+            at[left] = here = (at[left] + 1) & self.mask
+            out[left] = found = self.places[here]
+            left = left[(found >= 0) & (self.digests[here] != digests[left])]
+        return out
+
+    def add(self, digests: np.ndarray, paths: list[bytes]) -> None:
+        """Chunks that are not there yet, each once."""
+        raw = np.frombuffer(b"".join(paths), "<u4")
+        ends = self.used + np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths)) // 4)
+        new = self.n + np.arange(len(paths), dtype=np.int32)
+        while self.n + len(paths) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while self.used + len(raw) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(raw)] = raw
+        self.ends[self.n + 1 : self.n + 1 + len(paths)] = ends
+        self.n, self.used = self.n + len(paths), self.used + len(raw)
+        at, left = (digests >> self.shift).astype(np.int64), np.arange(len(paths))
+        while len(left):  # of those that want one free place the last one gets it
+            here = at[left]
+            free = self.places[here] < 0
+            self.places[here[free]] = new[left[free]]
+            got = self.places[here] == new[left]
+            self.digests[here[got]] = digests[left[got]]
+            left = left[~got]
+            at[left] = (at[left] + 1) & self.mask
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks in a row, and where each chunk ends."""
+        stored = Strings.__new__(Strings)
+        stored.flat, stored.ends = self.flat, self.ends
+        return stored.join(places)
+
+    def full(self) -> bool:
+        return self.n > 1 << (KNOWN_BITS - 1) or self.used > KNOWN_IDS
 
 
 class Encoder:
@@ -387,13 +438,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.packed, self.told = Memory(REMEMBERED_BYTES), Memory(REMEMBERED_BYTES)
-        self.label_bytes: list[bytes] = []
-        self.decimals: list[bytes] = []
+        self.known = Known()
+        self.told: tuple[Strings, ...] = ()
 
     def __getstate__(self) -> dict:
         """What is compiled, without what was remembered."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("packed", "told", "label_bytes", "decimals")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "told")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -417,8 +467,8 @@ class Encoder:
             out += [self.special[piece]] if piece in self.special else self._split(piece)[0]
         return out
 
-    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each chunk, as little-endian 32-bit."""
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct chunks, as little-endian 32-bit."""
         hint = self.hint.encode()
         simple, plain, rare = [], [], []
         for c in chunks:
@@ -434,42 +484,44 @@ class Encoder:
             out[chunk] = b"".join(map(path_of.__getitem__, its))
         for chunk, its in zip(rare, apart, strict=True):
             out[chunk] = b"".join([path_of[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in its])
-        return out
+        return [out[c] for c in chunks]
 
-    def _learn(self, memory: Memory, chunks: set[bytes], make=None) -> dict:
-        """A dictionary that has all these chunks."""
-        new = self._encode(memory.missing(chunks))
-        if make:
-            new = {c: make(path) for c, path in new.items()}
-        long = {c: x for c, x in new.items() if len(c) > REMEMBERED_CHUNK}
-        for c in long:
-            del new[c]
-        memory.put(new)
-        return {**memory.young, **long} if long else memory.young
-
-    def _tell(self, path: bytes) -> tuple[int, bytes, bytes]:
-        """(number of ids, ids in decimal, labels), the texts joined by one space."""
-        ids = np.frombuffer(path, "<u4").tolist()
-        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.label_bytes[i] for i in ids])
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """All ids of each text as little-endian 32-bit."""
+    def _pieces(self, texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(texts of some pieces, ids of these pieces in a row, where each piece's begin, and the end)."""
         for pieces in _together(texts):
-            split = [x.split() for _, x in pieces]
-            known = self._learn(self.packed, set().union(*split))
-            for (k, _), chunks in zip(pieces, split, strict=True):
-                yield k, b"".join(map(known.__getitem__, chunks))
+            w = Words(pa.array([x for _, x in pieces], pa.binary()).cast(pa.string()))
+            if self.known.full():
+                self.known.forget()
+            digests = w.hashes
+            places = self.known.find(digests)
+            missed = np.flatnonzero(places < 0)
+            if len(missed):
+                new, first = np.unique(digests[missed], return_index=True)
+                data, some = w.data.tobytes(), missed[first]
+                self.known.add(new, self._encode([data[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist(), strict=True)]))
+                places[missed] = self.known.find(digests[missed])
+            ids, ends = self.known.ids(places)
+            yield [k for k, _ in pieces], ids, np.concatenate(([0], ends))[w.first]
+
+    def ids(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(text, ids as little-endian 32-bit) of each piece of the texts."""
+        for numbers, ids, ends in self._pieces(texts):
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            for k, a, b in zip(numbers, ends, ends[1:], strict=False):
+                yield k, raw[a:b]
 
     def tell(self, texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(text, number of ids, ids in decimal, labels) of each piece of the texts."""
-        if not self.decimals:
-            self.label_bytes, self.decimals = [x.encode() for x in self.labels], [b"%d" % i for i in range(len(self.labels))]
-        for pieces in _together(texts):
-            split = [x.split() for _, x in pieces]
-            known = self._learn(self.told, set().union(*split), self._tell)
-            for (k, _), chunks in zip(pieces, split, strict=True):
-                got = [x for x in map(known.__getitem__, chunks) if x[0]]
-                yield k, sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b" ".join([x[2] for x in got])
+        """(text, number of ids, ids in decimal, labels) of each piece of the texts; the last two joined by one space."""
+        if not self.told:
+            self.told = Strings.of([b"%d " % i for i in range(len(self.labels))]), Strings.of([x.encode() + b" " for x in self.labels])
+        for numbers, ids, ends in self._pieces(texts):
+            both = []
+            for strings in self.told:
+                flat, at = strings.join(ids.astype(np.int64))
+                both.append((flat.tobytes(), np.concatenate(([0], at))[ends].tolist()))
+            (decimals, da), (labels, la) = both
+            for i, (k, n) in enumerate(zip(numbers, np.diff(ends).tolist(), strict=True)):
+                yield k, n, decimals[da[i] : max(da[i], da[i + 1] - 1)], labels[la[i] : max(la[i], la[i + 1] - 1)]
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined by one space: the vocabulary file names no decoder."""
