@@ -37,12 +37,13 @@ LOOSE_HINTS = ["loose", "open", "khola", "খোলা", "কাঁচা"]
 LETTER = r"a-zA-Z\x{0980}-\x{09FF}"
 _UNIT_WORDS = sorted((w for _, words in UNITS.values() for w in words), key=len, reverse=True)
 SIZE = r"(?U)(?i)(\d+(?:[.,]\d+)?)\s*(" + "|".join([*_UNIT_WORDS, "dozen"]) + r")\b"
+_NUMBER = r"(?U)^\d+(?:[.,]\d+)?"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for."""
-    return text.str.normalize("NFKC")
+    return text.astype("object").str.normalize("NFKC") if text.notna().any() else text
 
 
 @F.pandas_udf(T.StringType())
@@ -73,7 +74,9 @@ def translate_bengali(text: Column) -> Column:
 
 def pre_clean(text: Column, unicode: bool = True) -> Column:
     """Compatibility form, English digits and units, lower case, single spaces; punctuation stays."""
-    return collapse(F.lower(translate_bengali(nfkc(text) if unicode else text)))
+    # ASCII is its own compatibility form, so only other texts go to Python
+    whole = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if unicode else text
+    return collapse(F.lower(translate_bengali(whole)))
 
 
 def strip_noise(text: Column) -> Column:
@@ -102,9 +105,9 @@ def _multiplier_of(word: Column) -> Column:
 
 def sizes(text: Column) -> Column:
     """Each size found, in order: at, value, unit, base."""
-    values = F.transform(F.regexp_extract_all(text, F.lit(SIZE), 1), lambda v: F.replace(v, F.lit(","), F.lit(".")).cast("double"))
-    words = F.transform(F.regexp_extract_all(text, F.lit(SIZE), 2), F.lower)
-    both = F.arrays_zip(values.alias("v"), words.alias("w"))
+    # the long pattern runs over the text once; its few matches are then taken apart
+    number = lambda m: F.replace(F.regexp_extract(m, _NUMBER, 0), F.lit(","), F.lit(".")).cast("double")
+    both = F.transform(F.regexp_extract_all(text, F.lit(SIZE), F.lit(0)), lambda m: F.struct(number(m).alias("v"), F.lower(F.regexp_replace(m, _NUMBER + r"\s*", "")).alias("w")))
     return F.transform(both, lambda x, i: F.struct(i.alias("at"), x["v"].alias("value"), _unit_of(x["w"]).alias("unit"), (x["v"] * _multiplier_of(x["w"])).alias("base")))
 
 

@@ -93,10 +93,38 @@ def query_attributes(products: DataFrame, query: str, vocabulary: Vocabulary, no
     return row.first().asDict()
 
 
+#: Columns of an offer in which zero stands for nothing.
+ZERO_IS_NONE = ("original_price", "delivery_fee", "match_confidence")
+
+
 def offerings(listings: DataFrame, stores: DataFrame) -> DataFrame:
-    """Listings with the store's display name (else its name) and zero original prices made null."""
+    """Listings with the store's display name (else its name); original prices, delivery fees and confidences of zero made null."""
     named = listings.join(stores.select("store", "display_name"), "store", "left")
-    return named.withColumns({"store_display": F.coalesce("display_name", "store"), "original_price": F.when(F.col("original_price") != 0, F.col("original_price"))}).drop("display_name")
+    none = {c: F.when(F.col(c) != 0, F.col(c)) for c in ZERO_IS_NONE if c in named.columns}
+    return named.withColumns({"store_display": F.coalesce("display_name", "store"), **none}).drop("display_name")
+
+
+def sitemap(products: DataFrame) -> DataFrame:
+    """``slug, product_id, name, brand, category, subcategory``, by id."""
+    return products.select(T.slugify(F.col("name"), F.col("product_id")).alias("slug"), "product_id", "name", "brand", "category", "subcategory").orderBy("product_id")
+
+
+def product_list(products: DataFrame, category: str | None = None, limit: int = 100) -> DataFrame:
+    """Products by category, then name."""
+    some = products if category is None else products.where(F.col("category") == category)
+    return some.orderBy("category", "name", "product_id").limit(_checked(limit))
+
+
+def product_page(products: DataFrame, offers: DataFrame, product_id: int) -> DataFrame:
+    """One product with its offerings; no row if there is none."""
+    mine = F.col("product_id") == product_id
+    return product_groups(products.where(mine), offers.where(mine))
+
+
+def store_list(stores: DataFrame) -> DataFrame:
+    """Active stores by display name (else name)."""
+    some = stores.where("active") if "active" in stores.columns else stores
+    return some.orderBy(F.coalesce("display_name", "store"), "store")
 
 
 def product_groups(products: DataFrame, offers: DataFrame) -> DataFrame:

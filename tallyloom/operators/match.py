@@ -108,6 +108,28 @@ def predict(pairs: DataFrame, verdicts: DataFrame, key: str = "listing_id") -> D
     return pairs.join(verdicts.select(key, "confidence"), key, "left").withColumn("predicted", label)
 
 
+def predict_names(pairs: DataFrame, vocabulary=None) -> DataFrame:
+    """``pairs`` (a, b: listing names) with ``confidence`` and ``predicted``: is b the product of a?
+
+    Distinct names are normalized once; b is then a's only candidate.  A name without a
+    category has no match, so its pairs are different."""
+    from .normalize import normalize
+
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    known = normalize(names, vocabulary).select("name", F.struct(*ATTRIBUTES).alias("v"))
+    both = pairs.join(known.select(F.col("name").alias("a"), F.col("v").alias("l")), "a", "left").join(known.select(F.col("name").alias("b"), F.col("v").alias("c")), "b", "left")
+    same = F.coalesce((F.col("l.category") == F.col("c.category")) & (F.col("l.is_loose") == F.col("c.is_loose")), F.lit(False))
+    tier = F.when(same, _tier())
+    size = size_equiv(F.col("l.base_unit_qty"), F.col("c.base_unit_qty"))
+    near = same & _no_conflict() & size & (F.col("_ratio") >= FUZZY[2])
+    out = both.withColumn("_ratio", F.when(same, sequence_ratio("l.normalized_name", "c.normalized_name")).otherwise(0.0))
+    sure = F.when(near, F.lit(FUZZY[1])).otherwise(0.0)
+    for t, _, confidence in reversed(TIERS):
+        sure = F.when(tier == t, F.lit(confidence)).otherwise(sure)
+    label = F.when(F.col("confidence") >= 0.85, "same").when(F.col("confidence") >= 0.55, "same_bucket").otherwise("different")
+    return out.withColumn("confidence", sure).select(*pairs.columns, "confidence", label.alias("predicted"))
+
+
 def confusion(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 

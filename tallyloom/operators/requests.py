@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import click_target
 from ..functions.vocabulary import Vocabulary
+from . import basket
 from .normalize import normalize
 
 #: Relative size window of a query line.
@@ -38,6 +39,35 @@ def resolve_lines(lines: DataFrame, products: DataFrame, listings: DataFrame, vo
     return items, offerings, missing
 
 
+#: Bounds of a request.
+MOST_LINES, MOST_QUANTITY, MOST_QUERY = 100, 1000.0, 200
+
+
+def checked_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of baskets that may be worked on, ``basket_id, reason`` of those that may not).
+
+    A basket has 1 to ``MOST_LINES`` lines, quantities over 0 up to ``MOST_QUANTITY``,
+    queries of at most ``MOST_QUERY`` characters; one bad line refuses its basket."""
+    q = F.col("quantity")
+    bad = F.when(q.isNull() | F.isnan(q) | (q <= 0) | (q > MOST_QUANTITY), "quantity").when(F.char_length("query") > MOST_QUERY, "query")
+    told = lines.groupBy("basket_id").agg(F.min(bad).alias("reason"), F.count("*").alias("n"))
+    told = told.select("basket_id", F.coalesce("reason", F.when(F.col("n") > MOST_LINES, "lines")).alias("reason"))
+    refused = told.where("reason IS NOT NULL")
+    return lines.join(refused, "basket_id", "left_anti"), refused
+
+
+def optimize_basket(lines: DataFrame, products: DataFrame, listings: DataFrame, stores: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plans, lines of each store's plan, lines of the split, unresolved) of ``lines``: resolved, then filled.
+
+    ``stores`` are those asked for, of which only the active ones count (where there is
+    such a column); what a store's plan lacks is told by item."""
+    active = stores.where("active") if "active" in stores.columns else stores
+    asked, _ = checked_lines(lines)
+    items, offerings, missing = resolve_lines(asked, products, listings, vocabulary)
+    basket_items = items.select("basket_id", "item_key", "quantity")
+    return basket.optimize(basket_items, offerings, active), basket.store_lines(basket_items, offerings, active), basket.split_plans(basket_items, offerings, active), missing
+
+
 def saved_baskets(raw: DataFrame) -> DataFrame:
     """Entries of stored baskets (basket_id, json): those with an id; labels and quantities default; what is no list gives none."""
     e = raw.select("basket_id", F.explode(F.from_json("json", SAVED)).alias("e")).where("e.id IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import Vocabulary
+from ..sources.scratch import checkpointed
 from . import history, ingest, reports
 from .normalize import apply_hints, normalize
 
@@ -44,6 +45,7 @@ def run_store(records: DataFrame, products: DataFrame, listings: DataFrame, voca
     told for each record whose price (in cents) or stock differs from the one before."""
     named = apply_hints(normalize(records, vocabulary))
     verdicts, created = ingest.attach(named.select("seq", "normalized_name", "base_unit_qty", *ingest.SIX), sized(products))
+    verdicts = checkpointed(verdicts)  # all that follows reads it
     after = products.select(*PRODUCT).unionByName(created.select(*PRODUCT))
 
     cents = F.col("price").cast("decimal(10,2)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -211,13 +211,33 @@ def bucket_titles(spark, d):
     return R.products(spark, d).select("product_id", catalog.bucket_title(F.col("category")).alias("title"))
 
 
+@query(with_roles("listings", "stores") + f""", {_OFFERS}, found AS (SELECT *, {_sql_similarity('name', repr('red widget ring'))} AS similarity FROM products), top AS (SELECT * FROM found WHERE similarity >= 0.15 ORDER BY similarity DESC, product_id LIMIT 60),
+    j AS (SELECT p.category, p.subcategory, p.size_value, p.size_unit, p.is_loose, p.brand, o.* FROM top p JOIN (SELECT * EXCLUDE (name) FROM offers) o USING (product_id))
+    SELECT category, subcategory, size_value, size_unit, is_loose, count(*) AS n_offers, count(DISTINCT store) AS n_stores, CAST(min(price) FILTER (in_stock) AS DOUBLE) AS cheapest_price, arg_min(brand, (price, listing_id)) FILTER (in_stock) AS cheapest_brand,
+      arg_min(store_display, (price, listing_id)) FILTER (in_stock) AS cheapest_store, CAST(coalesce(max(price) FILTER (in_stock) - min(price) FILTER (in_stock), 0) AS DOUBLE) AS savings,
+      CAST(CAST(size_value AS BIGINT) AS VARCHAR) || size_unit || coalesce(' ' || upper(subcategory[1]) || subcategory[2:], '') || ' ' || array_to_string(list_transform(string_split(category, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || CASE WHEN is_loose THEN ' (loose)' ELSE '' END AS title
+    FROM j GROUP BY category, subcategory, size_value, size_unit, is_loose""")
 def search_buckets(spark, d):
     """Whole search path by text over the catalog: similar products, their offers, buckets in order."""
     out = catalog.aggregated_search(R.products(spark, d), R.listings(spark, d), R.stores(spark), "red widget ring")
     return _double(out.drop("offerings"), "cheapest_price", "savings")
 
 
-QUERIES["search_buckets"] = search_buckets
+@query(with_roles("products") + """ SELECT regexp_replace(regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9 -]', '', 'g')), ' +', '-', 'g'), '-+', '-', 'g') || '-' || product_id AS slug, product_id, name, brand, category, subcategory FROM products""")
+def sitemap(spark, d):
+    return catalog.sitemap(R.products(spark, d))
+
+
+@query(with_roles("products") + " SELECT product_id, name, category FROM products ORDER BY category, name, product_id LIMIT 100")
+def product_list(spark, d):
+    return catalog.product_list(R.products(spark, d)).select("product_id", "name", "category")
+
+
+@query(with_roles("stores") + " SELECT store, row_number() OVER (ORDER BY coalesce(display_name, store), store) AS place FROM stores")
+def store_list(spark, d):
+    """The stores of the tests, with their places in the list."""
+    listed = catalog.store_list(R.stores(spark)).select("store", "display_name")
+    return listed.select("store", F.row_number().over(Window.orderBy(F.coalesce("display_name", "store"), "store")).cast("long").alias("place"))
 
 
 @query(with_roles("listings") + """ SELECT listing_id, CASE WHEN per >= 100 THEN floor(per + 0.5) ELSE floor(per * 10 + 0.5) / 10 END AS unit_price FROM (
@@ -264,13 +284,23 @@ def strata_c(spark, d):
     return named.groupBy("category").agg(F.count("*").alias("n_pairs"), F.sum(F.col("listing_a") * 7 + F.col("listing_b")).alias("digest"))
 
 
+_APART = "a.category = b.category AND a.product_id < b.product_id AND a.store <> b.store AND (a.sub <> b.sub OR abs(a.q - b.q) > 0.25 * greatest(a.q, b.q))"
+_JSON = """format('{{{{"stratum":"{}","listing_a":{{}},"listing_b":{{}},"a":"{{}}","b":"{{}}"}}}}', a.listing_id, b.listing_id, a.listing_name, b.listing_name) AS value"""
+
+
+def _drawn(letter: str, where: str, more: str = "true") -> str:
+    return f"(SELECT {_JSON.format(letter)} FROM x a JOIN x b ON {where} WHERE {more} ORDER BY md5(a.listing_id || '-' || b.listing_id || '-1'), a.listing_id, b.listing_id LIMIT 25)"
+
+
+@query(with_roles("listings") + f", {_SIDES} SELECT value FROM (" + " UNION ALL ".join([
+    _drawn("A", "a.product_id = b.product_id AND a.store < b.store"), _drawn("B", f"{_SAME} AND a.store <> b.store"), _drawn("C", _APART),
+    _drawn("D", f"{_SAME} AND a.store = b.store", f"{_sql_similarity('a.listing_name', 'b.listing_name')} > 0.45"),
+]) + ")")
 def pair_export(spark, d):
     """The sampled export, one JSON line per pair."""
     return pairs.export(R.listings(spark, d), R.products(spark, d), per_stratum=25, seed=1)
 
 
-QUERIES["pair_export"] = pair_export
-
 # --- matching: parts as listings against the catalog
 
 
@@ -399,6 +429,41 @@ def extract_size(spark, d):
     return _raw(spark, d).select("listing_id", T.largest_size(T.pre_clean(F.col("name"))).alias("s")).select("listing_id", "s.value", "s.unit", "s.base")
 
 
+@query("""SELECT p_partkey AS listing_id, CAST(p_size AS DOUBLE) AS value, CASE WHEN p_partkey % 5 = 0 THEN 'KG' ELSE ['L', 'ML', 'KG', 'G', 'PCS'][CAST(p_partkey % 5 AS INT)] END AS unit,
+    CAST(p_size AS DOUBLE) * CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 1000 ELSE 1 END AS base, CASE p_partkey % 5 WHEN 0 THEN 'rice ' || p_size || 'kg' WHEN 1 THEN 'তেল ' || p_size || ' litre' WHEN 2 THEN 'তেল ' || p_size || ' ml' WHEN 3 THEN 'তেল ' || p_size || ' kg' ELSE 'তেল ' || p_size || ' g' END AS cleaned FROM part""")
+def bengali_sizes(spark, d):
+    """Names with Bengali digits and units, and with full-width letters: cleaned, and the size read off."""
+    k = F.col("p_partkey")
+    unit = F.when(k % 5 == 1, "লিটার").when(k % 5 == 2, "মিলি").when(k % 5 == 3, "কেজি").otherwise("গ্রাম")
+    size = F.col("p_size").cast("string")
+    bengali = F.concat(F.lit("তেল "), F.translate(size, "0123456789", T.BENGALI_DIGITS), F.lit(" "), unit)
+    wide = F.concat(F.lit("Ｒice "), F.translate(size, "0123456789", "０１２３４５６７８９"), F.lit("ＫＧ"))
+    name = F.when(k % 5 == 0, wide).otherwise(bengali)
+    out = R.table(spark, d, "part").select(k.alias("listing_id"), T.pre_clean(name).alias("pre"))
+    return out.select("listing_id", T.largest_size(F.col("pre")).alias("s"), T.strip_noise(F.col("pre")).alias("cleaned")).select("listing_id", "s.value", "s.unit", "s.base", "cleaned")
+
+
+_SHELVES = V.Vocabulary(
+    (
+        {"key": "widgets", "display": "Widgets", "group": "a", "units": ["KG"], "keywords": ["widget", "red widget"], "brands": ["red", "hot widget"], "subcategories": [["warm", ["red", "hot"]], ["cool", ["blue"]]]},
+        {"key": "rings", "display": "Rings", "group": "a", "units": [], "keywords": ["ring"], "brands": ["blue"], "subcategories": [["tiny", ["small"]], ["plain", ["ring"]]]},
+        {"key": "gears", "display": "Gears", "group": "b", "units": [], "keywords": ["gear"], "brands": [], "subcategories": []},
+    ),
+    {"hot": "red"},
+)
+_WHOLE = "regexp_matches(name, '(^|[^a-z]){}($|[^a-z])')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT lower(p_name) AS name, CASE WHEN p_size % 2 = 0 THEN 'KG' ELSE 'L' END AS unit FROM part), c AS (SELECT *, CASE WHEN unit = 'KG' AND {_WHOLE.format('widget')} THEN 'widgets' WHEN {_WHOLE.format('ring')} THEN 'rings' WHEN {_WHOLE.format('gear')} THEN 'gears' END AS category FROM n)
+    SELECT name, unit, category, CASE category WHEN 'widgets' THEN CASE WHEN contains(name, 'red') OR contains(name, 'hot') THEN 'warm' WHEN contains(name, 'blue') THEN 'cool' END WHEN 'rings' THEN CASE WHEN contains(name, 'small') THEN 'tiny' ELSE 'plain' END END AS subcategory,
+      CASE WHEN category = 'widgets' THEN CASE WHEN {_WHOLE.format('hot widget')} THEN 'hot widget' WHEN {_WHOLE.format('hot')} OR {_WHOLE.format('red')} THEN 'red' END WHEN category = 'rings' AND {_WHOLE.format('blue')} THEN 'blue'
+        WHEN category IS NULL THEN CASE WHEN {_WHOLE.format('hot widget')} THEN 'hot widget' WHEN {_WHOLE.format('blue')} THEN 'blue' WHEN {_WHOLE.format('hot')} OR {_WHOLE.format('red')} THEN 'red' END END AS brand FROM c""")
+def vocabulary_lookup(spark, d):
+    """Category by keywords and unit, subcategory by substrings, brand by whole words of the category's aliases (all brands where there is none), the longest first."""
+    names = R.table(spark, d, "part").select(F.lower("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "KG").otherwise("L").alias("unit")).distinct()
+    return names.select("name", "unit", V.classifier(_SHELVES)("name", "unit").alias("v")).select("name", "unit", "v.category", "v.subcategory", "v.brand")
+
+
 _CLEAN = f"""trim(regexp_replace(regexp_replace(regexp_replace(lower({_RAW}), '[()\\[\\]"''.,;:/\\\\!?]', ' ', 'g'), '\\b(?:premium|new|tin)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"""
 
 
@@ -461,6 +526,78 @@ def html_cards(spark, d):
     return records.html_cards(R.table(spark, d, "pages").select("page_id", "html"), "html", "<li>", fields).withColumnRenamed("at", "nth")
 
 
+def _raw_pages(items: DataFrame, of: str, size: int) -> DataFrame:
+    """``target, page, value``: the structs ``item`` of each target in the order of ``ord``, so many to a JSON page; a page is one row.
+
+    ``of`` is the key of a page's list, or ``list`` where the page is nothing else."""
+    at = F.row_number().over(Window.partitionBy("target").orderBy("ord")) - 1
+    rows = items.withColumn("at", at).withColumn("page", F.floor(F.col("at") / size).cast("int"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"])
+    pages = rows.groupBy("target", "page").agg(listed.alias("items"))
+    body = F.to_json("items") if of == "list" else F.to_json(F.struct(F.col("items").alias(of)))
+    return pages.select("target", "page", body.alias("value"))
+
+
+def _part_items(spark, d, size, **fields) -> DataFrame:
+    """Each part as an item of its target, ``size`` parts to one, and every tenth once more, after all others of the target."""
+    p = R.table(spark, d, "part").withColumn("k", F.col("p_partkey").cast("long"))
+    rows = p.select(F.floor(F.col("k") / size).cast("string").alias("target"), "k", F.struct(*[v.alias(n) for n, v in fields.items()]).alias("item"))
+    again = rows.where(F.col("k") % 10 == 0).withColumn("ord", F.struct(F.lit(1).alias("again"), "k"))
+    return rows.withColumn("ord", F.struct(F.lit(0).alias("again"), "k")).unionByName(again)
+
+
+_FIRST = "p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_name AS name, CAST(p_retailprice AS DOUBLE) AS price, row_number() OVER (PARTITION BY p_partkey // {} ORDER BY p_partkey) AS n FROM part)"
+
+
+@query(f"WITH {_FIRST.format(400)}" + """ SELECT 'r:' || CASE WHEN k % 2 = 0 THEN 'c' || k ELSE CAST(k AS VARCHAR) END AS sku, name, round(CASE WHEN k % 4 <> 0 OR k % 20 = 0 THEN price WHEN k % 8 = 0 THEN price - 10 ELSE price * (1 - 20.0::DOUBLE / 100) END, 2) AS price,
+    CASE WHEN k % 4 = 0 THEN price END AS original_price, k % 9 <> 0 AND k % 7 <> 1 AS in_stock, 'https://r/' AS url, 'i' || k AS image FROM p WHERE n <= 300""")
+def source_rest(spark, d):
+    """A REST source: pages of a hundred, discounts of three types, some products twice; at most 300 of a target."""
+    k, cost = F.col("k"), F.col("p_retailprice").cast("double")
+    kind = F.when(k % 20 == 0, "other").when(k % 8 == 0, "amount").otherwise("percent")
+    off = F.when(k % 4 == 0, F.when(k % 8 == 0, 10.0).otherwise(20.0)).otherwise(0.0)
+    stock = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, 0.0).otherwise(5.0).cast("double")
+    items = _part_items(spark, d, 400, id=k.cast("string"), code=F.when(k % 2 == 0, F.concat(F.lit("c"), k)), name=F.col("p_name"), price=cost, discount=off, discount_type=kind, status=F.when(k % 9 == 0, 0).otherwise(1), stock=stock, image_full_url=F.concat(F.lit("i"), k))
+    return records.rest_records(_raw_pages(items, "products", 100), "https://r", "r:")
+
+
+@query(f"WITH {_FIRST.format(400)} SELECT 'c:s' || k AS sku, name, price, CASE WHEN k % 2 = 0 THEN price + 5 END AS original_price, k % 3 = 0 AS in_stock, 'https://c/s' || k AS url, CASE WHEN k % 5 = 0 THEN 'p' || k END AS image FROM p WHERE n <= 300 AND k // 400 % 4 <> 3")
+def source_catalog(spark, d):
+    """A catalog source: three full pages of a target at most; nothing after a page that is not full."""
+    k, cost = F.col("k"), F.col("p_retailprice").cast("double")
+    items = _part_items(spark, d, 400, slug=F.concat(F.lit("s"), k), name=F.col("p_name"), price=cost, mrp=F.when(k % 2 == 0, cost + 5).otherwise(cost), availability=F.when(k % 3 == 0, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")), pictures=F.when(k % 5 == 0, F.array(F.concat(F.lit("p"), k))))
+    # the repeated items are left to the other sources, and the first page of every fourth target is empty
+    once = items.where("ord.again = 0")
+    pages = _raw_pages(once.where("target % 4 <> 3"), "hits", 100)
+    late = once.where("target % 4 = 3").select("target", F.lit(1).alias("page"), F.to_json(F.struct(F.array("item").alias("hits"))).alias("value"))
+    empty = late.select("target", F.lit(0).alias("page"), F.lit('{"hits": []}').alias("value")).distinct()
+    return records.catalog_records(pages.unionByName(late).unionByName(empty), "https://c", "c:")
+
+
+@query(f"WITH {_FIRST.format(100)}, q AS (SELECT * FROM p WHERE k % 11 <> 0), m AS (SELECT *, row_number() OVER (PARTITION BY k // 100 ORDER BY k) AS place FROM q)" + """ SELECT 'm:' || k AS sku, name, price, CASE WHEN k % 3 = 0 THEN price + 1 END AS original_price, k % 6 <> 0 AS in_stock,
+    CASE k % 3 WHEN 0 THEN 'https://x/' || k WHEN 1 THEN 'https://m/y' || k ELSE 'https://m' END AS url, CAST(NULL AS VARCHAR) AS image FROM m WHERE place <= 80""")
+def source_market(spark, d):
+    """A marketplace search: pages of forty, prices as texts of which some are none, two kinds of ids, three kinds of urls; at most 80 of a query."""
+    k, cost = F.col("k"), F.col("p_retailprice").cast("double")
+    price = F.when(k % 11 == 0, "n/a").otherwise(cost.cast("string"))
+    url = F.when(k % 3 == 0, F.concat(F.lit("//x/"), k)).when(k % 3 == 1, F.concat(F.lit("/y"), k)).otherwise("")
+    items = _part_items(spark, d, 100, itemId=F.when(k % 2 == 0, k.cast("string")).otherwise(""), nid=k.cast("string"), name=F.col("p_name"), price=price, originalPrice=F.when(k % 3 == 0, (cost + 1).cast("string")), inStock=F.when(k % 6 == 0, False), itemUrl=url)
+    pages = _raw_pages(items, "listItems", 40)
+    return records.market_records(pages.select(F.col("target").alias("query"), "page", F.concat(F.lit('{"mods":'), "value", F.lit("}")).alias("value")), "https://m", "m:")
+
+
+@query(f"WITH {_FIRST.format(250)} SELECT 'b:' || CASE WHEN k % 3 = 0 THEN 'k' || k ELSE 'p/' || k END AS sku, name, price, CASE WHEN k % 2 = 0 THEN 1000.5::DOUBLE END AS original_price, k % 13 <> 0 AS in_stock, 'https://b/p/' || k || '?z' AS url, CAST(NULL AS VARCHAR) AS image FROM p WHERE n <= 200")
+def source_badges(spark, d):
+    """Snapshots of a growing page: of each pass the first 200 cards, each once."""
+    k, cost = F.col("k"), F.col("p_retailprice").cast("double")
+    price = F.concat(F.lit("Tk "), F.format_number(cost, 2))
+    items = _part_items(spark, d, 250, href=F.concat(F.lit("/p/"), k, F.lit("?z")), sku=F.when(k % 3 == 0, F.concat(F.lit("k"), k)).otherwise(""), name=F.concat(F.lit(" "), "p_name", F.lit("  ")), price=price, old_price=F.when(k % 2 == 0, "1,000.50"), sold_out=k % 13 == 0)
+    # a snapshot is one row; the first pass has seen only what the second one begins with
+    whole = _raw_pages(items, "list", 1 << 20)
+    first = whole.select("target", F.lit(-1).alias("page"), F.to_json(F.slice(F.from_json("value", records.BADGES), 1, 90)).alias("value"))
+    return records.badge_records(first.unionByName(whole), "https://b", "b:")
+
+
 @query("""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS here, 'https://' || regexp_extract(url, '://([^/?#]*)', 1) AS base FROM pages),
     s AS (SELECT page_id, CASE WHEN here <> '' AND here = lower(regexp_extract(base, '^https?://([^/?#]*)', 1)) THEN url ELSE base END AS safe FROM p)
     SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://go.example.com/?to=' || url_encode(safe) ELSE safe END AS target FROM s""")

@@ -21,6 +21,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _file_system(spark, path)
+    return system.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once: later reads find them in the same partitions and order, whatever is lost meanwhile."""
     checkpoint_dir(df.sparkSession)

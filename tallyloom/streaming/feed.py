@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.vocabulary import Vocabulary
 from ..operators.history import changes, latest, merge
+from ..operators.run import run_store
+from ..sources.scratch import exists, remove
 
+PRODUCTS = "product_id long, name string, normalized_name string, brand string, category string, subcategory string, size_value double, size_unit string, base_unit_qty double, is_loose boolean"
+LISTINGS = "store string, sku string, product_id long, name string, price decimal(10,2), original_price double, in_stock boolean, sponsored boolean, url string, image string, first_seen timestamp, last_seen timestamp"
 OBSERVATION = "store string, sku string, price decimal(10,2), in_stock boolean, observed_at timestamp, seq long"
 _STATE = "price string, in_stock boolean"
 
@@ -19,14 +24,13 @@ _STATE = "price string, in_stock boolean"
 def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows that differ from what the state holds, in order of time and arrival."""
     rows = pd.concat(list(batches)).sort_values(["observed_at", "seq"])
-    last = state.get if state.exists else None
-    keep = []
-    for row in rows.itertuples(index=False):
-        now = (str(row.price), row.in_stock)
-        keep.append(now != last)
-        last = now
-    state.update(last)
-    yield rows[keep]
+    price, stock = rows["price"].astype(str), rows["in_stock"].astype("object").where(rows["in_stock"].notna(), None)
+    before, was = state.get if state.exists else (None, None)
+    same = (price == price.shift(fill_value=before)) & ((stock == stock.shift(fill_value=was)) | (stock.isna() & stock.shift(fill_value=was).isna()))
+    if not state.exists:
+        same.iloc[0] = False
+    state.update((price.iloc[-1], stock.iloc[-1]))
+    yield rows[~same]
 
 
 def stream_changes(observations: DataFrame) -> DataFrame:
@@ -55,9 +59,31 @@ def ingest_stream(arrivals: DataFrame, snapshot: str, history: str, checkpoint:
         new = batch.select("store", "sku", "price", "in_stock", "observed_at", "seq")
         changes(old.unionByName(new)).where("seq >= 0").write.mode("overwrite").parquet(f"{history}/{number}")
         merge(before, newest).write.mode("overwrite").parquet(f"{snapshot}/{number}")
+        remove(spark, f"{snapshot}/{number - 2}")
 
     return arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_stream(records: DataFrame, state: str, checkpoint: str, vocabulary: Vocabulary | None = None) -> StreamingQuery:
+    """Each micro-batch of records as one run: products are found or made, listings merged, changes appended.
+
+    ``state`` holds a folder ``n`` for the state after batch n (``products``,
+    ``listings``, ``changes`` of the batch, ``summary``).  A batch reads the state before
+    it and overwrites its own, so a replayed batch finds no product of its first try; the
+    state before last is dropped.  ``{state}/start`` may hold products and listings to begin with."""
+    spark = records.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = f"{state}/{number - 1}" if number else f"{state}/start"
+        old = [spark.read.schema(schema).parquet(f"{before}/{name}") if exists(spark, f"{before}/{name}") else spark.createDataFrame([], schema) for name, schema in (("products", PRODUCTS), ("listings", LISTINGS))]
+        done = run_store(batch, *old, vocabulary)
+        for name, frame in (("products", done.products), ("listings", done.listings), ("changes", done.changes), ("summary", done.summary)):
+            frame.write.mode("overwrite").parquet(f"{state}/{number}/{name}")
+        for name in ("products", "listings"):
+            remove(spark, f"{state}/{number - 2}/{name}")
+
+    return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_clicks(clicks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return clicks.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
