@@ -49,8 +49,8 @@ SHINGLE = 3
 LEAST = 90
 #: Groups of the points in the R-tree (so many that sets which just miss the similarity mostly miss the bound too); in the directory each 32-bit hash is a group of its own, as blocks of few shingles would often agree by chance in coarser ones.
 GROUPS = 256
-#: Points of a bucket in one tree; points that search it at a time.
-CHUNK = 512
+#: Points of a bucket in one tree: where its leaves are joined, and where others search it (those go to each tree of a bucket, so these are larger).
+LEAF_CHUNK, CHUNK = 512, 2048
 #: Partners of a point in a tree that are verified before all others.
 NEAREST = 3
 _LEAF = 32
@@ -136,12 +136,12 @@ def directory_keys(sets: Sets, least: int = LEAST) -> tuple[np.ndarray, np.ndarr
 
 
 def pack_points(points: np.ndarray) -> list[bytes]:
-    """Each point in two bytes a coordinate, or in four where that is too little."""
-    return [p.astype("<u2" if p.max(initial=0) < 1 << 16 else "<u4").tobytes() for p in points]
+    """Each point in one byte a coordinate, or in four where that is too little."""
+    return [p.astype("u1" if p.max(initial=0) < 1 << 8 else "<u4").tobytes() for p in points]
 
 
 def unpack_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(raw, "u1" if len(raw) == GROUPS else "<u4").astype(np.int32)
 
 
 def enough(overlap, a, b, least: int = LEAST):
@@ -261,12 +261,17 @@ def _distinct_buckets(docs: DataFrame, least: int, shingle: int) -> DataFrame:
     members = (F.count("*"), F.min("name"), F.max("name"), F.bit_xor(F.xxhash64("name")), F.bit_xor(F.xxhash64("name", F.lit(1))))
     names = [f"m{i}" for i in range(len(members))]
     chosen = buckets.groupBy("key").agg(*(m.alias(n) for m, n in zip(members, names, strict=True))).groupBy(*names).agg(F.min("key").alias("key"), F.any_value("m0").alias("n"), F.any_value("m1").alias("root"))
-    chosen = materialize(chosen.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "root"), "chosen-buckets")
+    chosen = materialize(chosen.select("key", "n", "root"), "chosen-buckets")
     out = materialize(buckets.join(chosen, "key"), "buckets")
     discard(shared, buckets, chosen)
     return out
 
 
+def _chunks(points: int):
+    """So many trees of about as many points has a bucket."""
+    return F.ceil(F.col("n") / points).cast("int")
+
+
 def _tree_rows(rows: DataFrame, run) -> DataFrame:
     """Run over ``group, searches, name, component, point``; of each group the points of the tree come first."""
     # the group is spread by its own hash, so that one bucket's chunks are many tasks' work
@@ -311,9 +316,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _leaf_pairs(buckets: DataFrame, points: DataFrame, least: int) -> DataFrame:
     """Step 1: pairs of most alike points of a leaf, or of a point and its bucket's root."""
-    chunk = F.pmod(F.xxhash64("name", "key"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("name", "key"), _chunks(LEAF_CHUNK)).cast("int")
     own = buckets.where("name <> root").select("key", "name", chunk.alias("chunk"), F.lit(0).alias("is_root"))
-    roots = buckets.where("name = root").select("key", "name", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("is_root"))
+    roots = buckets.where("name = root").select("key", "name", F.explode(F.sequence(F.lit(0), _chunks(LEAF_CHUNK) - 1)).alias("chunk"), F.lit(1).alias("is_root"))
     rows = own.unionByName(roots)
     rows = rows.join(points.select("name", "point"), "name").select(F.xxhash64("key", "chunk").alias("group"), F.lit(0).alias("searches"), "name", F.col("is_root").cast("long").alias("component"), "point")
 
@@ -328,16 +333,16 @@ def _leaf_pairs(buckets: DataFrame, points: DataFrame, least: int) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, least: int, nearest: int | None = None) -> DataFrame:
     """Steps 2, 3: pairs of different components of a bucket whose bound reaches the similarity; all, or of each point that searches those with the ``nearest`` others."""
-    known = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "chunks", F.coalesce("component", "name").alias("component"))
+    known = buckets.join(labels.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "n", F.coalesce("component", "name").alias("component"))
     known = materialize(known, "bucket-components")
-    sizes = known.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").select("key", "largest")
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").select("key", "largest")
     several = materialize(several, "open-buckets")
     rows = known.join(several, "key").join(points.select("name", "point"), "name")
-    mine = F.pmod(F.xxhash64("name", "key"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("name", "key"), _chunks(CHUNK)).cast("int")
     own = rows.select(F.xxhash64("key", mine).alias("group"), F.lit(0).alias("searches"), "name", "component", "point", "largest")
     # a pair of two components has an end outside the largest one; that end searches all chunks
-    asking = rows.where("component <> largest").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = rows.where("component <> largest").withColumn("chunk", F.explode(F.sequence(F.lit(0), _chunks(CHUNK) - 1)))
     asking = asking.select(F.xxhash64("key", "chunk").alias("group"), F.lit(1).alias("searches"), "name", "component", "point", "largest")
 
     def run(batches):
