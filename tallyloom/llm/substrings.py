@@ -84,7 +84,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = materialize(shared, "shared-anchors")
     named = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    return materialize(docs.join(named, "doc_id").select("doc_id", "tk", "text", "anchors"), "repeat-candidates")
+    out = materialize(docs.join(named, "doc_id").select("doc_id", "tk", "text", "anchors"), "repeat-candidates")
+    discard(shared)
+    return out
 
 
 def _member(values: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -226,10 +228,10 @@ def cut_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     recurring = materialize(recurring, "recurring-windows")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
     pieces = materialize(_passages(candidates, recurring), "passages")
-    # of each window one piece that holds it; parts ask once for each window, then once for each piece
+    discard(recurring)
+    # of each window one piece that holds it; a part asks once for each piece
     where = pieces.select("pid", "owner", F.explode("wins").alias("win")).groupBy("win").agg(F.min(F.struct("pid", "owner")).alias("p")).select("win", "p.pid", "p.owner")
-    asked = windows.groupBy("win", part).agg(F.max("doc_id").alias("last"))
-    needs = asked.join(where, "win").where("last > owner").select("part", "pid").distinct()
+    needs = windows.join(where, "win").where("doc_id > owner").select(part, "pid").distinct()
     passages = needs.join(pieces.select("pid", "owner", "passage").dropDuplicates(["pid", "passage"]), "pid")
     none = F.lit(None)
     rows = passages.select("part", F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), none.cast("long").alias("tk"), F.col("passage").alias("text"))
