@@ -7,9 +7,9 @@ the data), and a broadcast of the resulting placements tells each piece, by its
 rank among the pieces of its length, where it goes.
 
 The histogram is first shrunk by Martello and Toth's reduction: for an item, the
-largest one first, a set of at most two further items that provably dominates
-all alternatives is fixed with it for good.  The remainder is packed best-fit,
-longest first.
+largest one first, nothing or one further item is fixed with it for good where that
+provably dominates all alternatives (their sets of three are left to what follows).
+The remainder is packed best-fit, longest first.
 """
 
 from __future__ import annotations

@@ -45,16 +45,17 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def shingles(text):
+def shingles(text, k=3):
     words = WORD.findall(lower(text or ""))
     if not words:
         return set()
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or {tuple(words)}
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
 
 
-def jaccard(texts: dict):
-    sets = {d: shingles(t) for d, t in texts.items()}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+def jaccard(texts: dict, k=3, least=90):
+    """As the query of operator 7 has it; the pipeline's stage takes 5 words and 80 percent."""
+    sets = {d: shingles(t, k) for d, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     part = components(sets, links)
     return {d: (len(sets[d]), part[d]) for d in sets}
 
