@@ -231,6 +231,7 @@ def cut_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     discard(recurring)
     # of each window one piece that holds it; a part asks once for each piece
     where = pieces.select("pid", "owner", F.explode("wins").alias("win")).groupBy("win").agg(F.min(F.struct("pid", "owner")).alias("p")).select("win", "p.pid", "p.owner")
+    where = materialize(where, "piece-of-window")  # a plain table, so that a frequent window's rows can be split in the join
     needs = windows.join(where, "win").where("doc_id > owner").select(part, "pid").distinct()
     passages = needs.join(pieces.select("pid", "owner", "passage").dropDuplicates(["pid", "passage"]), "pid")
     none = F.lit(None)
