@@ -21,9 +21,19 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that none has a name that an operator uses."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(True)).alias("_row"))
+
+
+def _back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.cascade(docs).where("kept").select(*docs.columns)
+    return _back(quality.cascade(_aside(docs)).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +54,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans become their kind in brackets."""
-    return _with_text(pii.find(docs).withColumn("text", F.col("masked")), docs.columns)
+    masked = pii.find(_aside(docs)).withColumn("text", F.col("masked"))
+    return _with_text(_back(masked, docs.columns), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
