@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -359,27 +360,28 @@ class Strings:
 
 
 class Known:
-    """What recent chunks are encoded to, found by their 64-bit digests in a table for many at once.
+    """What recent chunks are encoded to, found in a table for many at once by two independent 64-bit digests.
 
-    All is forgotten when there are too many chunks or ids."""
+    The digests have a key that each table draws for itself.  All is forgotten when there are too many chunks or ids."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
-        self.digests, self.places = np.zeros(1 << KNOWN_BITS, np.uint64), np.full(1 << KNOWN_BITS, -1, np.int32)
+        self.key = secrets.randbits(64)
+        self.digests, self.places = np.zeros((2, 1 << KNOWN_BITS), np.uint64), np.full(1 << KNOWN_BITS, -1, np.int32)
         self.shift, self.mask = np.uint64(64 - KNOWN_BITS), (1 << KNOWN_BITS) - 1
         self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0, 0
 
     def find(self, digests: np.ndarray) -> np.ndarray:
-        """Place of each chunk, or -1."""
-        at = (digests >> self.shift).astype(np.int64)
+        """Place of each chunk, or -1; ``digests`` has two rows."""
+        at = (digests[0] >> self.shift).astype(np.int64)
         out = self.places[at]
-        left = np.flatnonzero((out >= 0) & (self.digests[at] != digests))
+        left = np.flatnonzero((out >= 0) & (self.digests[:, at] != digests).any(0))
         while len(left):
             at[left] = here = (at[left] + 1) & self.mask
             out[left] = found = self.places[here]
-            left = left[(found >= 0) & (self.digests[here] != digests[left])]
+            left = left[(found >= 0) & (self.digests[:, here] != digests[:, left]).any(0)]
         return out
 
     def add(self, digests: np.ndarray, paths: list[bytes]) -> None:
@@ -394,13 +396,13 @@ class Known:
         self.flat[self.used : self.used + len(raw)] = raw
         self.ends[self.n + 1 : self.n + 1 + len(paths)] = ends
         self.n, self.used = self.n + len(paths), self.used + len(raw)
-        at, left = (digests >> self.shift).astype(np.int64), np.arange(len(paths))
+        at, left = (digests[0] >> self.shift).astype(np.int64), np.arange(len(paths))
         while len(left):  # of those that want one free place the last one gets it
             here = at[left]
             free = self.places[here] < 0
             self.places[here[free]] = new[left[free]]
             got = self.places[here] == new[left]
-            self.digests[here[got]] = digests[left[got]]
+            self.digests[:, here[got]] = digests[:, left[got]]
             left = left[~got]
             at[left] = (at[left] + 1) & self.mask
 
@@ -489,17 +491,19 @@ class Encoder:
     def _pieces(self, texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """(texts of some pieces, ids of these pieces in a row, where each piece's begin, and the end)."""
         for pieces in _together(texts):
-            w = Words(pa.array([x for _, x in pieces], pa.binary()).cast(pa.string()))
             if self.known.full():
                 self.known.forget()
-            digests = w.hashes
+            w = Words(pa.array([x for _, x in pieces], pa.binary()).cast(pa.string()), self.known.key)
+            digests = np.stack((w.hashes, w.ranges(w.starts, w.ends, more=1)))
             places = self.known.find(digests)
             missed = np.flatnonzero(places < 0)
             if len(missed):
-                new, first = np.unique(digests[missed], return_index=True)
-                data, some = w.data.tobytes(), missed[first]
-                self.known.add(new, self._encode([data[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist(), strict=True)]))
-                places[missed] = self.known.find(digests[missed])
+                order = missed[np.lexsort(digests[:, missed])]
+                new = np.ones(len(order), bool)
+                new[1:] = (digests[:, order[1:]] != digests[:, order[:-1]]).any(0)
+                data, some = w.data.tobytes(), order[new]
+                self.known.add(digests[:, some], self._encode([data[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist(), strict=True)]))
+                places[missed] = self.known.find(digests[:, missed])
             ids, ends = self.known.ids(places)
             yield [k for k, _ in pieces], ids, np.concatenate(([0], ends))[w.first]
 

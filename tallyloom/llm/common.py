@@ -102,10 +102,17 @@ def text_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_B = 0x9E3779B97F4A7C15 | 1
-_C = 0xD1B54A32D192ED03 | 1
+#: Bytes up to which a range is hashed with all others, eight at a time; a longer one is digested alone.
+LONG_RANGE = 256
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ORDER = np.uint64(0xD1B54A32D192ED03)
 _MASK = (1 << 64) - 1
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def job_key(spark: SparkSession) -> int:
+    """A key for the hashes of one application, the same in all its tasks, which nobody who writes a text can know."""
+    told = f"{spark.sparkContext.applicationId}-{spark.sparkContext.startTime}"
+    return int.from_bytes(hashlib.blake2b(told.encode(), digest_size=8).digest(), "little")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,27 +125,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** i (or base ** -i) modulo 2 ** 64 for i < n."""
-    key = (base, inverse)
-    if key not in _powers or len(_powers[key]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        start = np.full(size, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
-        start[0] = 1
-        powers = np.multiply.accumulate(start)
-        if n > SLICE_BYTES + 4096:  # for one long text alone
-            return powers
-        _powers[key] = powers
-    return _powers[key][:n]
-
-
-def rolling(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums for hashes of any range: hash(i, j) = (p[j] - p[i]) * q[i]."""
-    p = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(base, len(values)), out=p[1:])
-    return p, _power(base, len(values) + 1, inverse=True)
-
-
 def slices(column: pa.Array, limit: int = SLICE_BYTES):
     """(first row, array) of pieces of a string column with about ``limit`` bytes each."""
     column = column.cast(pa.string()).fill_null("")
@@ -152,10 +138,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
 
 
 class Words:
-    """All words of a slice of texts: ``starts``, ``ends`` (bytes), ``first`` (first word of each text)."""
+    """All words of a slice of texts: ``starts``, ``ends`` (bytes), ``first`` (first word of each text).
 
-    def __init__(self, column: pa.Array):
+    Hashes depend on ``key``; those that tasks compare with each other take one key."""
+
+    def __init__(self, column: pa.Array, key: int = 0):
         n = len(column)
+        self.key = key
         off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
         raw = column.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -174,22 +163,27 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.counts)
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges in ascending order, taken over ``SLICE_BYTES`` at a time; longer ones are digested alone."""
-        out = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            a = int(starts[at])
-            to = int(np.searchsorted(ends, a + SLICE_BYTES, side="right"))
-            if to <= at:
-                raw = self.data[a : ends[at]].tobytes()
-                out[at] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-                at += 1
-                continue
-            p, q = rolling(self.data[a : ends[to - 1]].astype(np.uint64) + np.uint64(1), _B)
-            i, j = starts[at:to] - a, ends[at:to] - a
-            out[at:to] = mix((p[j] - p[i]) * q[i] + (j - i).astype(np.uint64))
-            at = to
+    def ranges(self, starts: np.ndarray, ends: np.ndarray, more: int = 0) -> np.ndarray:
+        """Hashes of byte ranges; those with another ``more`` are independent of these.
+
+        Each eight bytes are mixed into what the bytes before them gave, for all ranges at
+        a time.  No sums of powers: those have texts that always collide."""
+        out, size = np.empty(len(starts), np.uint64), ends - starts
+        key = ((self.key + more * 0x9E3779B97F4A7C15) & _MASK).to_bytes(8, "little")
+        live = np.flatnonzero(size <= LONG_RANGE)
+        if len(live) < len(size):
+            for i in np.flatnonzero(size > LONG_RANGE).tolist():
+                raw = self.data[starts[i] : ends[i]].tobytes()
+                out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=key).digest(), "little")
+        eight = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate((self.data, np.zeros(8, np.uint8))).tobytes(), 0, (1,))
+        at, left = starts[live], size[live]
+        state = mix(left.astype(np.uint64) + np.frombuffer(key, "<u8"))
+        while len(live):
+            state = mix(state * _ORDER ^ (eight[at] & _TAIL[np.minimum(left, 8)]))
+            ended = left <= 8
+            out[live[ended]] = state[ended]
+            go = ~ended
+            live, at, left, state = live[go], at[go] + 8, left[go] - 8, state[go]
         return out
 
     @property
@@ -209,10 +203,37 @@ class Words:
         n = len(self.starts) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        if not hasattr(self, "_words"):
-            self._words = rolling(self.hashes, _C)
-        p, q = self._words
-        return mix((p[k : k + n] - p[:n]) * q[:n] + np.uint64(k))
+        if not hasattr(self, "_grams"):
+            self._grams = {}
+        if k not in self._grams:
+            # runs of 1, 2, 4 ... words, of which those of k's binary digits are joined
+            run, length, told, covered = self.hashes, 1, None, 0
+            while True:
+                if k & length:
+                    told = run if told is None else mix(told[: len(run) - covered] * _ORDER + run[covered:])
+                    covered += length
+                if covered == k:
+                    break
+                run, length = mix(run[:-length] * _ORDER + run[length:]), 2 * length
+            self._grams[k] = mix(told[:n] + np.uint64(k))
+        return self._grams[k]
+
+    def only(self, keep: np.ndarray) -> "Words":
+        """The words of those texts alone, without looking for words again."""
+        out = Words.__new__(Words)
+        out.key = self.key
+        sizes, words = np.diff(self.offsets), keep[self.doc]
+        out.data = self.data[np.repeat(keep, sizes)]
+        out.offsets = np.concatenate(([0], np.cumsum(sizes[keep])))
+        moved = np.zeros(len(keep), np.int64)
+        moved[keep] = self.offsets[:-1][keep] - out.offsets[:-1]
+        out.starts, out.ends = (x[words] - moved[self.doc[words]] for x in (self.starts, self.ends))
+        out.counts = self.counts[keep]
+        out.first = np.concatenate(([0], np.cumsum(out.counts)))
+        out.doc = np.repeat(np.arange(len(out.counts)), out.counts)
+        if hasattr(self, "_hashes"):
+            out._hashes = self._hashes[words]
+        return out
 
     def whole(self, k: int) -> np.ndarray:
         """True where the k words from that word on belong to one text."""
@@ -223,6 +244,17 @@ class Words:
         return self.data[self.offsets[doc] : self.offsets[doc + 1]].tobytes().split()
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that none has a name that an operator uses."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(True)).alias("_row"))
+
+
+def back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns again, of what :func:`aside` gave."""
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, i64, materialize, mix, slices, small_batches
+from .common import Words, discard, i64, job_key, materialize, mix, slices, small_batches
 from .components import components
 
 SHINGLE = 3
@@ -71,8 +71,8 @@ def _classes(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Sets:
     """Distinct shingle hashes of each text of a slice, ascending within the text."""
 
-    def __init__(self, column: pa.Array, k: int = SHINGLE):
-        w = Words(column).lower()
+    def __init__(self, column: pa.Array, k: int = SHINGLE, key: int = 0):
+        w = Words(column, key).lower()
         n = len(column)
         at = np.flatnonzero(w.whole(k))
         hashes, doc = w.grams(k)[at], w.doc[at]
@@ -206,10 +206,12 @@ class RTree:
 
 
 def _set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    key = job_key(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for first, part in slices(batch.column(1)):
-                s = Sets(part, shingle)
+                s = Sets(part, shingle, key)
                 a, b = s.names()
                 none = s.sizes == 0
                 ids = batch.column(0).slice(first, len(part))
@@ -221,10 +223,12 @@ def _set_rows(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _key_rows(docs: DataFrame, least: int, shingle: int) -> DataFrame:
+    key = job_key(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
-                s = Sets(part, shingle)
+                s = Sets(part, shingle, key)
                 keys, text = directory_keys(s, least)
                 yield pa.RecordBatch.from_arrays([i64(keys), i64(s.names()[0][text])], ["key", "name"])
 
@@ -233,11 +237,12 @@ def _key_rows(docs: DataFrame, least: int, shingle: int) -> DataFrame:
 
 def _points(docs: DataFrame, shingle: int) -> DataFrame:
     """``name, point, hashes`` of the documents given."""
+    key = job_key(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for _, part in slices(batch.column(1)):
-                s = Sets(part, shingle)
+                s = Sets(part, shingle, key)
                 hashes = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), i64(s.hashes))
                 yield pa.RecordBatch.from_arrays([i64(s.names()[0]), pa.array(pack_points(s.points()), pa.binary()), hashes], ["name", "point", "hashes"])
 

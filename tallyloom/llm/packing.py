@@ -198,11 +198,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     result.  Other columns, whatever their names, are left out.  Only the histogram (at most ``capacity`` rows) goes to
     the driver; hot lengths are ranked in cells of about ``RANKED_TOGETHER``."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    cut = materialize(pieces(docs, path, capacity, end_id).withColumn("dealt", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     plan = Packer(histogram, capacity).pack()
     cells = max(16, -(-max(histogram.values(), default=1) // RANKED_TOGETHER))
-    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
+    # a row's place in the written table tells repeated rows apart
+    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "dealt"), F.lit(cells)))
     per_cell = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(per_cell), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1

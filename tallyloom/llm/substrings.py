@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import as_bytes
-from .common import Words, discard, i64, materialize, mix, slices, small_batches, text_parts
+from .common import Words, aside, back, discard, i64, job_key, materialize, mix, slices, small_batches, text_parts
 
 WINDOW = 50
 ANCHOR = 10
@@ -66,11 +66,13 @@ def _first_of_runs(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
+    key = job_key(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, part in slices(batch.column(1)):
-                w = Words(part)
+                w = Words(part, key)
                 at, low = window_anchors(w)
                 new = _first_of_runs(w.doc[at], low)
                 yield pa.RecordBatch.from_arrays([i64(low[new]), pa.array(ids[first + w.doc[at[new]]], pa.int64())], ["anchor", "doc_id"])
@@ -106,13 +108,14 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 def _windows(candidates: DataFrame) -> DataFrame:
     """``win, doc_id``: the windows whose anchor is shared."""
+    key = job_key(candidates.sparkSession)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sets = _lists(batch.column(2))
             for first, part in slices(batch.column(1)):
-                w = Words(part)
+                w = Words(part, key)
                 at, low = window_anchors(w)
                 at = at[_member(low, w.doc[at], sets[first : first + len(part)])]
                 yield pa.RecordBatch.from_arrays([i64(w.grams(WINDOW)[at]), pa.array(ids[first + w.doc[at]], pa.int64())], ["win", "doc_id"])
@@ -125,6 +128,7 @@ def _passages(candidates: DataFrame, recurring: DataFrame) -> DataFrame:
 
     A run is cut into pieces of ``PIECE_WINDOWS`` windows, so that who shares one window
     is sent a piece, not a whole text; neighbours overlap, each window lies in one."""
+    key = job_key(candidates.sparkSession)
     owned = recurring.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("win").alias("wins"))
 
     def run(batches):
@@ -132,7 +136,7 @@ def _passages(candidates: DataFrame, recurring: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             sets = _lists(batch.column(2))
             for first, part in slices(batch.column(1)):
-                w = Words(part)
+                w = Words(part, key)
                 at = np.flatnonzero(w.whole(WINDOW))
                 at = at[_member(w.grams(WINDOW)[at], w.doc[at], sets[first : first + len(part)])]
                 if not len(at):
@@ -292,7 +296,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text``; the other columns stay, texts of which nothing is cut too."""
+    """``docs`` with repeated passages cut from ``text``; the other columns, whatever their names, stay, and so do texts of which nothing is cut.
+
+    Nulls, short and long texts, ties and repeated rows are as :func:`cut_repeats` says; an
+    empty table gives an empty one."""
+    rows = aside(docs)
     cut = cut_repeats(docs).dropDuplicates(["doc_id", "tk"]).select(F.col("doc_id").alias("_d"), F.col("tk").alias("_k"), F.col("kept_text").alias("_t"))
-    hit = (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
-    return docs.join(cut, hit, "left").withColumn("text", F.coalesce("_t", "text")).drop("_d", "_k", "_t")
+    hit = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    return back(rows.join(cut, hit, "left").withColumn("text", F.coalesce("_t", "text")), docs.columns)

@@ -87,3 +87,20 @@ def test_stages_on_odd_rows(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(packed) == len(masked) and all(r.offset + r.length <= 4096 for r in packed)
     assert sorted(r.length for r in packed) == sorted(r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs.repartition(5), "").collect())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves, dots and words of SQL: all come out as they went in."""
+    names = ["_words", "_had_words", "_d", "_k", "_t", "_row", "tk", "part", "kept", "masked", "component_id", "a.b", "select", "doc_id.x"]
+    words = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, words, *range(14)), (2, f"{' '.join(f'start{i}' for i in range(40))} {words} mail kim.01@example.com", *range(14)), (3, " ".join(f"more{i}" for i in range(30)), *[None] * 14)]
+    schema = ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)])
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted(r[0] for r in got) and all(tuple(r)[2:] == next(x for x in rows if x[0] == r[0])[2:] for r in got)
+        docs = spark.createDataFrame(got, schema)
+    assert {r[0] for r in got} == {1, 2, 3} and len(got[[r[0] for r in got].index(2)].text.split()) == 42
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 3
