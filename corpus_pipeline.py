@@ -11,55 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import jaccard, packing, pii, quality, substrings
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import aside, back, materialize, table
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """With n_chars, if there, made to fit the text again."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
-    return docs.select(*columns)
-
-
-def _aside(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all other columns in one, so that none has a name that an operator uses."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(True)).alias("_row"))
-
-
-def _back(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`").alias(c) for c in columns])
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return _back(quality.cascade(_aside(docs)).where("kept"), docs.columns)
+    return back(quality.cascade(aside(docs)).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays; those without a doc_id stay.
 
-    Near copies share at least 80 percent of their 5-word shingles; op7's 3 words and 90 percent bind only that query."""
-    classes = jaccard.jaccard_classes(docs, least=80, shingle=5)
+    Near copies share at least 80 percent of their 5-word shingles; op7's 3 words and 90 percent bind only that query.
+    Null and empty texts are like none.  Of rows that repeat a doc_id all stay, or none.  A long text is hashed by
+    pieces, an empty table stays empty, and other columns, whatever their names, stay what they are."""
+    classes = jaccard.jaccard_classes(docs.select("doc_id", "text"), least=80, shingle=5)
     others = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return back(aside(docs).join(others, "doc_id", "left_anti"), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that start in an earlier document go; documents of which nothing is left too."""
-    cut = substrings.remove_repeats(docs.withColumn("_words", F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _with_text(cut.where(left | ~F.coalesce("_words", F.lit(False))), docs.columns)
+    """Words of windows that start in an earlier document go; documents of which nothing is left too.
+
+    Texts that were null or blank before stay.  Repeated rows keep equal texts, long texts stream
+    through as one row, an empty table stays empty, and other columns but n_chars stay what they are."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    cut = substrings.remove_repeats(aside(docs).withColumn("_had_words", worded))
+    return _with_text(back(cut.where(worded | ~F.col("_had_words")), docs.columns), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans become their kind in brackets."""
-    masked = pii.find(_aside(docs)).withColumn("text", F.col("masked"))
-    return _with_text(_back(masked, docs.columns), docs.columns)
+    """Spans become their kind in brackets.
+
+    Null texts stay null, texts without spans what they are; repeated rows are masked alike, a long text
+    in one pass; an empty table stays empty, and other columns but n_chars stay what they are."""
+    masked = pii.find(aside(docs)).withColumn("text", F.col("masked"))
+    return _with_text(back(masked, docs.columns), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The pieces of all documents with their sequences; null and empty texts are an end id alone, repeated rows are packed as
+    often as they occur, texts of more than 4096 tokens are cut, an empty table gives no pieces, and other columns are left out."""
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [
