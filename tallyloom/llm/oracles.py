@@ -90,6 +90,19 @@ REPEATS = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM docume
   kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) o ANTI JOIN gone g ON o.doc_id = g.doc_id AND o.j = g.j GROUP BY doc_id)
   SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+DIVERGENCE = rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t, row_number() OVER () AS r FROM documents),
+  w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT g.lang, g.source, k.term, k.total, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) USING (lang, source, term)),
+  s AS MATERIALIZED (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER v + count(*) OVER v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (total + 1) // (sum(total) OVER v + count(*) OVER v) AS q
+    FROM c WINDOW v AS (PARTITION BY lang, source)),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS v FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  told AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(v, 0) AS BIGINT) AS value FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN pairs x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM told)
+  SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 ORACLES = {
     "op1_url_trust": url_trust(),
     "op4_embedding_near_dedup": EMBEDDINGS,
@@ -97,4 +110,5 @@ ORACLES = {
     "op6_chat_formatting": CHAT,
     "op7_ngram_jaccard": JACCARD,
     "op9_substring_dedup": REPEATS,
+    "op11_source_divergence": DIVERGENCE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, hosts, jaccard, lattice, packing, pii, quality, substrings
+from . import bpe, chat, divergence, embeddings, hosts, jaccard, lattice, packing, pii, quality, secret_scan, substrings, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -67,5 +67,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.find(docs).select("doc_id", *(f"n_{k}" for k in secret_scan.KINDS), "base_sha256", "spans")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_bpe_encode_decode, op3_lattice_scores, op4_embedding_near_dedup, op5_quality_cascade, op6_chat_formatting, op7_ngram_jaccard, op8_best_fit_packing, op9_substring_dedup, op10_pii, op11_source_divergence, op12_secret_scan, op13_embedding_whitening)}
 __all__ = ["ORACLES", "QUERIES"]
