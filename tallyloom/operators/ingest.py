@@ -106,7 +106,7 @@ def size_band(base: Column) -> Column:
     return F.when(base > 0, F.floor(F.log(base) / F.lit(-math.log(1 - SIZE_TOLERANCE) * (1 + 1e-9)))).otherwise(F.lit(-(1 << 40))).cast("long")
 
 
-def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+def attach(listings: DataFrame, products: DataFrame, first_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdicts: seq, product_id, confidence, method; created products).
 
     ``listings``: seq (unique), normalized_name, base_unit_qty and SIX;
@@ -130,7 +130,7 @@ def attach(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
     ordered = made.applyInPandas(lambda p, f: _creations(p, f)[[*columns, "seq"]], firsts.schema)
     rows = new.select(*columns, "seq").unionByName(ordered.select(*columns, "seq"))
     source = listings.select("seq", "normalized_name")
-    start = (products.agg(F.max("product_id")).first()[0] or 0) + 1
+    start = (products.agg(F.max("product_id")).first()[0] or 0) + 1 if first_id is None else first_id
     created = number_rows(rows.join(source, "seq"), ["seq"], "product_id", start).withColumn("name", canonical_name())
 
     # every listing finds the first product that was there when it came

@@ -35,16 +35,17 @@ def sized(products: DataFrame) -> DataFrame:
     return products.withColumns({c: F.nullif(c, F.lit(0.0)) for c in ("size_value", "base_unit_qty")})
 
 
-def run_store(records: DataFrame, products: DataFrame, listings: DataFrame, vocabulary: Vocabulary | None = None) -> Run:
+def run_store(records: DataFrame, products: DataFrame, listings: DataFrame, vocabulary: Vocabulary | None = None, first_id: int | None = None) -> Run:
     """A batch of ``records`` against the catalog (PRODUCT) and the stores' listings (SNAPSHOT).
 
     ``records`` has seq (unique, order of arrival), store, sku, name, price,
     original_price, in_stock, sponsored, url, image, observed_at and category_hint,
     which is the category where the name gives none.  Each record finds or creates its
     product; the last record of a listing is what the listing then shows; a change is
-    told for each record whose price (in cents) or stock differs from the one before."""
+    told for each record whose price (in cents) or stock differs from the one before.  Created
+    products are numbered from ``first_id``, or past the largest id of ``products``."""
     named = apply_hints(normalize(records, vocabulary))
-    verdicts, created = ingest.attach(named.select("seq", "normalized_name", "base_unit_qty", *ingest.SIX), sized(products))
+    verdicts, created = ingest.attach(named.select("seq", "normalized_name", "base_unit_qty", *ingest.SIX), sized(products), first_id)
     verdicts = checkpointed(verdicts)  # all that follows reads it
     after = products.select(*PRODUCT).unionByName(created.select(*PRODUCT))
 

@@ -11,7 +11,8 @@ from ..functions import measures as M
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import basket, catalog, history, ingest, match, normalize, pairs, reports
-from ..sources import records
+from ..sources import landing, records
+from ..sources.scratch import scratch_path
 from . import roles as R
 from .roles import NOW, with_roles
 
@@ -574,6 +575,41 @@ def source_catalog(spark, d):
     return records.catalog_records(pages.unionByName(late).unionByName(empty), "https://c", "c:")
 
 
+_ASKED = "'aisle ' || CAST(k // 400 % 3 AS VARCHAR) AS category, CAST(k // 400 AS VARCHAR) AS target"
+
+
+def _landing(spark, d):
+    """Parts as products of a REST store, landed by aisle and target: of every fourth target the first page is no JSON, and each aisle was asked for a target that never landed."""
+    k = F.col("k")
+    items = _part_items(spark, d, 400, id=k.cast("string"), name=F.col("p_name"), price=F.col("p_retailprice").cast("double"))
+    pages = _raw_pages(items, "products", 100)
+    broken = (F.col("target") % 4 == 0) & (F.col("page") == 0)
+    pages = pages.withColumns({"category": F.concat(F.lit("aisle "), F.col("target") % 3), "value": F.when(broken, F.lit("<html>busy</html>")).otherwise(F.col("value"))})
+    path = scratch_path(spark, "landing")
+    landing.land(pages, path)
+    asked = {}
+    for c, t in pages.select("category", "target").distinct().orderBy("category", "target").collect():  # what a store is asked for: a setting
+        asked.setdefault(c, []).append(t)
+    return landing.landed(spark, path, {c: [*ts, "never"] for c, ts in asked.items()})
+
+
+# the products of a page are those of 100 places; the second copies of every tenth come last
+_PLACES = "o AS (SELECT k, name, price, k // 400 AS t, row_number() OVER (PARTITION BY k // 400 ORDER BY again, k) - 1 AS pos FROM (SELECT k, name, price, 0 AS again FROM p UNION ALL SELECT k, name, price, 1 FROM p WHERE k % 10 = 0)), kept AS (SELECT *, row_number() OVER (PARTITION BY t, k ORDER BY pos) AS nth FROM o WHERE NOT (t % 4 = 0 AND pos < 100)), capped AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pos) AS place FROM kept WHERE nth = 1)"
+
+
+@query(f"WITH {_FIRST.format(400)}, {_PLACES} SELECT 'l:' || k AS sku, name, round(price, 2) AS price, {_ASKED.split(' AS category')[0]} AS category_hint FROM capped WHERE place <= 300")
+def source_landed(spark, d):
+    """Listings of landed pages, each with the aisle that was asked for; broken pages and missing targets leave the others."""
+    listings, _ = landing.gather_landed(_landing(spark, d), "rest", "https://l", "l:")
+    return listings.select("sku", "name", "price", "category_hint")
+
+
+@query(f"WITH {_FIRST.format(400)} SELECT DISTINCT {_ASKED}, 0 AS page, 'not JSON' AS reason FROM p WHERE k // 400 % 4 = 0 UNION ALL SELECT DISTINCT 'aisle ' || CAST(k // 400 % 3 AS VARCHAR), 'never', 0, 'FileNotFoundError' FROM p")
+def source_rejected(spark, d):
+    """What the landed pages gave no listings for."""
+    return landing.gather_landed(_landing(spark, d), "rest", "https://l", "l:")[1]
+
+
 @query(f"WITH {_FIRST.format(100)}, q AS (SELECT * FROM p WHERE k % 11 <> 0), m AS (SELECT *, row_number() OVER (PARTITION BY k // 100 ORDER BY k) AS place FROM q)" + """ SELECT 'm:' || k AS sku, name, price, CASE WHEN k % 3 = 0 THEN price + 1 END AS original_price, k % 6 <> 0 AS in_stock,
     CASE k % 3 WHEN 0 THEN 'https://x/' || k WHEN 1 THEN 'https://m/y' || k ELSE 'https://m' END AS url, CAST(NULL AS VARCHAR) AS image FROM m WHERE place <= 80""")
 def source_market(spark, d):

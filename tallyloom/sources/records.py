@@ -20,8 +20,20 @@ DOM = "array<struct<href:string,nameText:string,priceText:string,inner:string,im
 BADGES = "array<struct<href:string,sku:string,name:string,price:string,old_price:string,sold_out:boolean>>"
 
 
+HINT = "category_hint"
+
+
+def with_hint(raw: DataFrame, category: str | Column) -> DataFrame:
+    """Raw pages whose records are to tell the category that was asked for, beside the columns of a listing."""
+    return raw.withColumn(HINT, F.col(category) if isinstance(category, str) else category)
+
+
+def _told(rows: DataFrame, *more: str) -> list[str]:
+    return [*([HINT] if HINT in rows.columns else []), *more]
+
+
 def _listing(rows: DataFrame, **columns: Column) -> DataFrame:
-    return rows.select(*[columns[c].alias(c) for c in LISTING]).where("sku IS NOT NULL AND name <> '' AND price > 0")
+    return rows.select(*[columns[c].alias(c) for c in LISTING], *_told(rows)).where("sku IS NOT NULL AND name <> '' AND price > 0")
 
 
 def full_url(url: Column, base: str) -> Column:
@@ -47,7 +59,9 @@ def catalog_records(raw: DataFrame, base: str, prefix: str, pages: int = 3, page
     stock if any warehouse has it; the image is the first picture."""
     found = _paged(raw).withColumn("hits", F.from_json("value", CATALOG)["hits"])
     short = F.min(F.when(F.coalesce(F.size("hits"), F.lit(0)) < page_size, F.col("page"))).over(Window.partitionBy("target"))
-    rows = found.withColumn("_short", short).where((F.col("page") < pages) & F.coalesce(F.col("page") <= F.col("_short"), F.lit(True))).select(F.explode("hits").alias("h")).select("h.*")
+    rows = found.withColumn("_short", short).where((F.col("page") < pages) & F.coalesce(F.col("page") <= F.col("_short"), F.lit(True)))
+    rows = rows.select(*_told(rows), F.explode("hits").alias("h"))
+    rows = rows.select(*_told(rows), "h.*")
     return _listing(
         rows, sku=F.concat(F.lit(prefix), "slug"), name=F.trim("name"), price=F.col("price"), original_price=F.when(F.col("mrp") > F.col("price"), F.col("mrp")),
         in_stock=F.coalesce(F.size("availability") > 0, F.lit(False)), url=F.concat(F.lit(f"{base}/"), "slug"), image=F.get("pictures", F.lit(0)),
@@ -56,7 +70,8 @@ def catalog_records(raw: DataFrame, base: str, prefix: str, pages: int = 3, page
 
 def market_records(raw: DataFrame, base: str, prefix: str, most: int = 80) -> DataFrame:
     """A marketplace search: pages (query, page, value); at most ``most`` items of a query, each once; a struck price only if higher."""
-    rows = raw.select("query", "page", F.posexplode(F.from_json("value", MARKET)["mods"]["listItems"]).alias("at", "i")).select("query", "page", "at", "i.*")
+    raw = raw if "query" in raw.columns else raw.withColumnRenamed("target", "query")
+    rows = raw.select(*_told(raw, "query", "page"), F.posexplode(F.from_json("value", MARKET)["mods"]["listItems"]).alias("at", "i")).select(*_told(raw, "query", "page", "at", "i.*"))
     price, struck = F.col("price").try_cast("double"), F.col("originalPrice").try_cast("double")
     rows = rows.withColumn("ident", F.coalesce(F.nullif("itemId", F.lit("")), F.nullif("nid", F.lit("")))).where(F.col("ident").isNotNull() & (F.trim("name") != "") & (price > 0))
     rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("query", "ident").orderBy("page", "at"))).where("again = 1")
@@ -84,7 +99,7 @@ def rest_records(raw: DataFrame, base: str, prefix: str, most: int = 300) -> Dat
     An amount or a percentage off the base price, of which another type is ignored;
     unknown stock counts as in stock.  The code names a product, else its id, which it
     must have; products have no page of their own, so the url is the store's."""
-    rows = _paged(raw).select("target", "page", F.posexplode(F.from_json("value", REST)["products"]).alias("at", "p")).select("target", "page", "at", "p.*")
+    rows = _paged(raw).select(*_told(raw, "target", "page"), F.posexplode(F.from_json("value", REST)["products"]).alias("at", "p")).select(*_told(raw, "target", "page", "at", "p.*"))
     off = F.coalesce("discount", F.lit(0.0))
     kind = F.coalesce("discount_type", F.lit("amount"))
     price = F.when((off > 0) & (kind == "amount"), F.col("price") - off).when((off > 0) & (kind == "percent"), F.col("price") * (1 - off / 100)).otherwise(F.col("price"))
@@ -141,7 +156,7 @@ def badge_records(raw: DataFrame, base: str, prefix: str, most: int = 200) -> Da
     """Snapshots of a page that grows while it is scrolled (value; target, page: the pass): of each pass the first ``most`` cards, each once.
 
     The SKU is the card's, else its path; the price is the first number, commas left out; a badge tells what is out of stock."""
-    rows = _paged(raw).select("target", "page", F.posexplode(F.from_json("value", BADGES)).alias("at", "d")).where(F.col("at") < most).select("target", "page", "at", "d.*")
+    rows = _paged(raw).select(*_told(raw, "target", "page"), F.posexplode(F.from_json("value", BADGES)).alias("at", "d")).where(F.col("at") < most).select(*_told(raw, "target", "page", "at", "d.*"))
     number = lambda c: F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"([\d.]+)", 1), F.lit("")).try_cast("double")
     slug = F.regexp_replace(F.regexp_replace(F.split("href", r"\?")[0], r"^/+", ""), r"/+$", "")
     name = F.trim(F.regexp_replace("name", r"\s+", " "))
@@ -154,7 +169,7 @@ def badge_records(raw: DataFrame, base: str, prefix: str, most: int = 200) -> Da
 
 def dom_records(raw: DataFrame, base: str, prefix: str, most: int = 200) -> DataFrame:
     """A page snapshot, of which the first ``most`` cards count: the name element, else the card's text less ribbon, delivery note and price; out of stock by text."""
-    rows = raw.select(F.posexplode(F.from_json("value", DOM)).alias("at", "d")).where(F.col("at") < most).select("d.*")
+    rows = raw.select(*_told(raw), F.posexplode(F.from_json("value", DOM)).alias("at", "d")).where(F.col("at") < most).select(*_told(raw, "d.*"))
     bare = F.regexp_replace("inner", r"(?is)^\s*(?:\d+%?\s*off\s*)?(?:delivery\s+\d+[^\n]*?hours?\s*)?", "")
     bare = F.regexp_replace(bare, r"(?is)\s*৳.*$", "")
     name = F.trim(F.coalesce(F.nullif(F.trim("nameText"), F.lit("")), bare))
@@ -162,7 +177,7 @@ def dom_records(raw: DataFrame, base: str, prefix: str, most: int = 200) -> Data
     slug = F.regexp_extract("href", r"([^/?#]+)/?(?:[?#].*)?$", 1)
     out = F.lower(F.coalesce("inner", F.lit(""))).rlike("out of stock|stock out|sold out")
     rows = rows.where(F.char_length(name) >= 3)
-    return _listing(rows, sku=F.concat(F.lit(prefix), F.nullif(slug, F.lit(""))), name=name, price=price, original_price=F.lit(None).cast("double"), in_stock=~out, url=full_url(F.col("href"), base), image=F.col("img_src")).dropDuplicates(["sku"])
+    return _listing(rows, sku=F.concat(F.lit(prefix), F.nullif(slug, F.lit(""))), name=name, price=price, original_price=F.lit(None).cast("double"), in_stock=~out, url=full_url(F.col("href"), base), image=F.col("img_src")).dropDuplicates(["sku", *_told(raw)])
 
 
 #: Source kinds by name; each takes raw records, the store's base url and a prefix for its skus.

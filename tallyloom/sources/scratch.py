@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,21 +23,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where, system = _file_system(spark, path)
+    where, system = file_system(spark, path)
     return system.exists(where)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    where, system = _file_system(spark, path)
+    where, system = file_system(spark, path)
     system.delete(where, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is there is deleted when Python ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    while _written:
+        try:
+            remove(*_written.pop())
+        except Exception:  # the session may be gone already
+            return
+
+
+_written: list[tuple[SparkSession, str]] = []
+atexit.register(drop_scratch)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once: later reads find them in the same partitions and order, whatever is lost meanwhile."""
     checkpoint_dir(df.sparkSession)

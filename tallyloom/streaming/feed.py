@@ -12,7 +12,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.vocabulary import Vocabulary
 from ..operators.history import changes, latest, merge
+from ..operators.ingest import ATTACH
 from ..operators.run import run_store
+from ..sources.buckets import BucketTable
 from ..sources.scratch import exists, remove
 
 PRODUCTS = "product_id long, name string, normalized_name string, brand string, category string, subcategory string, size_value double, size_unit string, base_unit_qty double, is_loose boolean"
@@ -85,5 +87,70 @@ def run_stream(records: DataFrame, state: str, checkpoint: str, vocabulary: Voca
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Columns of a listing that a record tells.
+_SHOWN = ["store", "sku", "product_id", "name", "price", "original_price", "in_stock", "sponsored", "url", "image", "first_seen", "last_seen"]
+
+
+def listing_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """Listings by store and sku."""
+    return BucketTable(spark, path, LISTINGS, ("store", "sku"), buckets)
+
+
+def product_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """Products by the key of which each listing's candidates have the same."""
+    return BucketTable(spark, path, PRODUCTS, ATTACH, buckets)
+
+
+def keep_listings(arrivals: DataFrame, listings: BucketTable, history: str, checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch into a table of listings, of which it rewrites the buckets that it touches, and append its changes.
+
+    History lies under the batch's number, so that a replayed batch overwrites what it wrote
+    before; what it compares with is the version of the batch before it, whatever was made since."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        began = batch.groupBy("store", "sku").agg(F.min("observed_at").alias("first_seen"))
+        newest = latest(batch).withColumn("last_seen", F.col("observed_at")).join(began, ["store", "sku"]).select(*_SHOWN)
+        before = _before(listings, number)
+        shown = listings.read(before, listings.touched(batch)) if before else listings.read(before).limit(0)
+        old = shown.join(batch.select("store", "sku").distinct(), ["store", "sku"], "left_semi").select("store", "sku", "price", "in_stock", F.col("last_seen").alias("observed_at"), F.lit(-1).cast("long").alias("seq"))
+        new = batch.select("store", "sku", "price", "in_stock", "observed_at", "seq")
+        changes(old.unionByName(new)).where("seq >= 0").write.mode("overwrite").parquet(f"{history}/{number}")
+        listings.upsert(newest, merge, number)
+        listings.vacuum()
+
+    return arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _before(table: BucketTable, number: int) -> int:
+    """The newest version made by a batch before this one, 0 if there is none."""
+    return max((v for v in table.versions() if table.manifest(v).batch < number), default=0)
+
+
+def run_kept(records: DataFrame, products: BucketTable, listings: BucketTable, log: str, checkpoint: str, vocabulary: Vocabulary | None = None) -> StreamingQuery:
+    """Each micro-batch of records as one run over kept tables: products are found or made, listings merged, changes and summary logged under ``{log}/{number}``.
+
+    Products are read, of listings only the buckets that the batch touches; both are written only there.
+    A replayed batch works from the versions of the batch before it, makes the same products with the same
+    ids, and leaves tables alone that have it already."""
+    largest = "largest product_id"
+
+    def run(batch: DataFrame, number: int) -> None:
+        at = _before(products, number)
+        old = listings.read(_before(listings, number), listings.touched(batch))
+        start = products.manifest(at).facts.get(largest, 0) + 1
+        done = run_store(batch, products.read(at), old, vocabulary, start)
+        done.changes.write.mode("overwrite").parquet(f"{log}/{number}/changes")
+        done.summary.write.mode("overwrite").parquet(f"{log}/{number}/summary")
+        newest = done.listings.join(batch.select("store", "sku").distinct(), ["store", "sku"], "left_semi")
+        listings.upsert(newest, lambda kept, new: kept.join(new, ["store", "sku"], "left_anti").unionByName(new), number)
+        made = done.created.select(*products.columns)
+        last = made.agg(F.max("product_id")).first()[0] or start - 1
+        products.upsert(made, lambda kept, new: kept.unionByName(new), number, {largest: last})
+        for table in (products, listings):
+            table.vacuum()
+
+    return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_clicks(clicks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return clicks.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
