@@ -6,12 +6,13 @@ product_id, store, name, price, original_price, in_stock, and more."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.measures import base_quantity
 from ..functions.vocabulary import Lookup, Vocabulary, exact_category, load
+from .trigram_index import TrigramIndex
 
 #: Least trigram similarity of a text search.
 SIMILAR = 0.15
@@ -53,18 +54,8 @@ def search_by_text(products: DataFrame, query: str, limit: int = 30, least: floa
 def search_many(products: DataFrame, queries: DataFrame, limit: int = 30, least: float = SIMILAR) -> DataFrame:
     """``query_id, product_id, similarity, place``: for each of ``queries`` (query_id, query) the products whose normalized or full name resembles it most.
 
-    Queries meet the products with which they share a trigram; shared ones are counted,
-    not compared again, and a frequent trigram's rows are dealt by AQE's skew join."""
-    asked = queries.select("query_id", T.trigrams(F.col("query")).alias("t"))
-    asked = asked.select("query_id", F.size("t").alias("asked"), F.explode("t").alias("gram"))
-    names = products.select("product_id", F.explode(F.array_distinct(F.array("normalized_name", "name"))).alias("name"))
-    have = names.select("product_id", "name", T.trigrams(F.col("name")).alias("t"))
-    have = have.select("product_id", "name", F.size("t").alias("have"), F.explode("t").alias("gram"))
-    both = have.join(asked, "gram").groupBy("query_id", "product_id", "name", "asked", "have").agg(F.count("*").alias("both"))
-    alike = both.select("query_id", "product_id", (F.col("both").cast("double") / (F.col("asked") + F.col("have") - F.col("both"))).alias("similarity"))
-    found = alike.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _checked(limit))
+    Both meet in an index of trigrams (``trigram_index``), which may be kept for further queries."""
+    return TrigramIndex(products, _checked(limit)).search(queries, least)
 
 
 def search(products: DataFrame, query: str, vocabulary: Vocabulary | None = None, category: str | None = None, subcategory: str | None = None, limit: int = 30) -> DataFrame:

@@ -5,20 +5,22 @@ later one finds.  Only the exact and the brand tier reach the threshold, and
 both need the same attach key (category, loose flag, brand, subcategory), so
 keys are independent.  In a key a product can only be created where a size is
 seen for the first time, so the sequential step sees each distinct size once, not
-each listing; all listings then find their product by joins.
+each listing; all listings then find their product by joins.  A key with one open size and no
+product creates it without that step; the others stream through sorted partitions, many keys
+to a batch.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.measures import SIZE_TOLERANCE, size_equiv
+from ..functions.measures import SIZE_TOLERANCE, size_band, size_equiv
 from ..sources.scratch import checkpointed
 
 ATTACH = ("category", "is_loose", "brand", "subcategory")
@@ -88,22 +90,22 @@ class Sizes:
         return False
 
 
-def _creations(products: pd.DataFrame, firsts: pd.DataFrame) -> pd.DataFrame:
-    """Of one attach key: which first-seen sizes no product covers when they arrive."""
-    known, keep = Sizes(), []
-    for size in zip(products["known_base"], products["known_value"], products["known_unit"], strict=True):
-        known.add(*size)
-    firsts = firsts.sort_values("seq")
-    for i, size in enumerate(zip(firsts["base_unit_qty"], firsts["size_value"], firsts["size_unit"], strict=True)):
-        if not known.cover(*size):
-            known.add(*size)
-            keep.append(i)
-    return firsts.iloc[keep]
+def _creations(batches):
+    """Rows (key, seq, value, unit, base, ...), sorted by key and seq, less those whose size a product of the key covers when it comes.
 
-
-def size_band(base: Column) -> Column:
-    """Sizes within the tolerance of each other lie in one band or in neighbours; zero and less has a band of its own."""
-    return F.when(base > 0, F.floor(F.log(base) / F.lit(-math.log(1 - SIZE_TOLERANCE) * (1 + 1e-9)))).otherwise(F.lit(-(1 << 40))).cast("long")
+    Rows without a seq are the key's products.  A key may go on in the next batch."""
+    key, known = None, Sizes()
+    for batch in batches:
+        keep = []
+        for at, seq, *size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if at != key:
+                key, known = at, Sizes()
+            value, unit, base = size
+            new = seq is None or not known.cover(base, value, unit)
+            if new:
+                known.add(base, value, unit)
+            keep.append(new and seq is not None)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def attach(listings: DataFrame, products: DataFrame, first_id: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,10 +126,14 @@ def attach(listings: DataFrame, products: DataFrame, first_id: int | None = None
 
     # by order: distinct sizes of each branded key
     firsts = known.where(sized).groupBy(*columns).agg(F.min("seq").alias("seq"))
-    key = F.to_json(F.struct(*ATTACH)).alias("g")
-    mine = products.where(F.coalesce(F.col("brand"), F.lit("")) != "").select(key, F.col("base_unit_qty").alias("known_base"), F.col("size_value").alias("known_value"), F.col("size_unit").alias("known_unit"))
-    made = mine.groupBy("g").cogroup(firsts.withColumn("g", F.to_json(F.struct(*ATTACH))).groupBy("g"))
-    ordered = made.applyInPandas(lambda p, f: _creations(p, f)[[*columns, "seq"]], firsts.schema)
+    none = F.lit(None)
+    mine = products.where(sized).withColumn("seq", none.cast(firsts.schema["seq"].dataType))
+    step = [F.to_json(F.struct(*ATTACH)).alias("g"), "seq", F.col("size_value").cast("double").alias("v"), F.col("size_unit").alias("u"), F.col("base_unit_qty").cast("double").alias("b"), *columns]
+    each = mine.select(*step).unionByName(firsts.select(*step)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    # alone in its key: created as it is
+    single = each.where("n = 1 AND seq IS NOT NULL").drop("n")
+    several = each.where("n > 1").drop("n").repartition("g").sortWithinPartitions("g", F.asc_nulls_first("seq"))
+    ordered = checkpointed(single.unionByName(several.mapInArrow(_creations, several.schema)).select(*columns, "seq"))
     rows = new.select(*columns, "seq").unionByName(ordered.select(*columns, "seq"))
     source = listings.select("seq", "normalized_name")
     start = (products.agg(F.max("product_id")).first()[0] or 0) + 1 if first_id is None else first_id

@@ -8,10 +8,10 @@ and of the same size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import size_equiv
+from ..functions.measures import size_band, size_equiv
 from ..functions.text import sequence_ratio
 
 #: (tier, method, confidence)
@@ -20,6 +20,10 @@ FUZZY = ("category", 0.5, 0.75)
 ATTRIBUTES = ("normalized_name", "brand", "category", "subcategory", "size_unit", "base_unit_qty", "is_loose")
 
 
+#: What a tier looks at; listings, and candidates, that share all of it are one.
+KIND = ("category", "is_loose", "subcategory", "brand", "size_unit", "base_unit_qty")
+
+
 def _no_conflict() -> Column:
     """The brands are equal, or one is missing."""
     l, c = F.col("l.brand"), F.col("c.brand")
@@ -64,15 +68,11 @@ def name_ratios(listings: DataFrame, candidates: DataFrame, least: float) -> Dat
 def match(listings: DataFrame, candidates: DataFrame, key: str = "listing_id", fuzzy: bool = True) -> DataFrame:
     """``key, product_id, confidence, method`` for every listing; unmatched ones have null, 0.0, ``unmatched``.
 
-    ``listings`` has the key and ATTRIBUTES, ``candidates`` product_id and
-    ATTRIBUTES.  An equi-join on category and loose flag with the tiers as its
-    condition; the winner is a minimum, so no listing's candidates are gathered."""
-    l = listings.select(key, *ATTRIBUTES).alias("l")
+    ``listings`` has the key and ATTRIBUTES, ``candidates`` product_id and ATTRIBUTES.  The
+    tiers are decided by :func:`match_kinds`; only what is left is compared by name."""
     c = candidates.select("product_id", *ATTRIBUTES).alias("c")
     same = (F.col("l.category") == F.col("c.category")) & (F.col("l.is_loose") == F.col("c.is_loose"))
-    met = l.join(c, same & _tier().isNotNull()).withColumn("tier", _tier())
-    firm = met.groupBy(key).agg(F.min(F.struct("tier", "product_id")).alias("best"))
-    firm = firm.select(key, "best.tier", "best.product_id")
+    firm = _of_kind(listings, key, match_kinds(listings, candidates))
     if fuzzy:
         left = listings.join(firm.select(key), key, "left_anti").select(key, *ATTRIBUTES)
         alike = name_ratios(left, candidates, FUZZY[2])
@@ -89,17 +89,31 @@ def match(listings: DataFrame, candidates: DataFrame, key: str = "listing_id", f
     return listings.select(key).join(firm, key, "left").select(key, "product_id", confidence.alias("confidence"), method.alias("method"))
 
 
-def match_tier(listings: DataFrame, candidates: DataFrame, tier: int, key: str = "listing_id") -> DataFrame:
-    """``key, product_id``: the least candidate that meets just this tier's condition."""
-    met = match_pairs(listings, candidates, key).where(F.col("tier") == tier)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("product_id"))
-    return met.withColumn("n", first).where("n = 1").select(key, "product_id")
+def match_kinds(listings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """KIND, tier and the least product_id of each tier that a kind of listing reaches.
 
+    All tiers share category, loose flag and subcategory, and a size within the tolerance, so a listing looks
+    into three bands of sizes of its key, and meets no product of another one.  Rows that share a KIND are one on
+    either side, products by their least id: a crowded key has as many rows as it has brands, units and sizes."""
+    band = size_band(F.col("base_unit_qty"))
+    sized = F.col("category").isNotNull() & F.col("is_loose").isNotNull() & F.col("base_unit_qty").isNotNull()
+    l = listings.where(sized).select(*KIND).distinct().withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("l")
+    c = candidates.where(sized).groupBy(*KIND).agg(F.min("product_id").alias("product_id")).withColumn("band", band).alias("c")
+    same = [F.col(f"l.{x}") == F.col(f"c.{x}") for x in ("category", "is_loose", "band")] + [F.col("l.subcategory").eqNullSafe(F.col("c.subcategory"))]
+    met = l.join(c, same).select(*[F.col(f"l.{x}").alias(x) for x in KIND], _tier().alias("tier"), F.col("c.product_id").alias("product_id")).where("tier IS NOT NULL")
+    return met.groupBy(*KIND, "tier").agg(F.min("product_id").alias("product_id"))
 
-def match_pairs(listings: DataFrame, candidates: DataFrame, key: str = "listing_id") -> DataFrame:
-    l, c = listings.select(key, *ATTRIBUTES).alias("l"), candidates.select("product_id", *ATTRIBUTES).alias("c")
-    same = (F.col("l.category") == F.col("c.category")) & (F.col("l.is_loose") == F.col("c.is_loose"))
-    return l.join(c, same & _tier().isNotNull()).select(key, "product_id", _tier().alias("tier"))
+
+def _of_kind(listings: DataFrame, key: str, kinds: DataFrame) -> DataFrame:
+    """``key, tier, product_id`` of the first tier among ``kinds``, for listings that reach one."""
+    best = kinds.groupBy(*KIND).agg(F.min(F.struct("tier", "product_id")).alias("best")).alias("k")
+    l = listings.select(key, *KIND).alias("l")
+    return l.join(best, [F.col(f"l.{x}").eqNullSafe(F.col(f"k.{x}")) for x in KIND]).select(F.col(f"l.{key}").alias(key), "best.tier", "best.product_id")
+
+
+def match_tier(listings: DataFrame, candidates: DataFrame, tier: int, key: str = "listing_id") -> DataFrame:
+    """``key, product_id``: the least candidate that meets just this tier's condition."""
+    return _of_kind(listings, key, match_kinds(listings, candidates).where(F.col("tier") == tier)).select(key, "product_id")
 
 
 def predict(pairs: DataFrame, verdicts: DataFrame, key: str = "listing_id") -> DataFrame:

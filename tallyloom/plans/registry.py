@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..operators import basket, catalog, history, ingest, match, normalize, pairs, reports
+from ..operators import basket, catalog, constraints, history, ingest, match, normalize, pairs, reports
 from ..sources import landing, records
 from ..sources.scratch import scratch_path
 from . import roles as R
@@ -302,6 +302,35 @@ def pair_export(spark, d):
     return pairs.export(R.listings(spark, d), R.products(spark, d), per_stratum=25, seed=1)
 
 
+# the same draws: 60 bits of a digest modulo the number of pairs; then each number is taken apart by prefix sums
+def _drawn_pairs(letter: str, shared: str, meets: str, n: int = 25, seed: int = 7, tries: int = 200_000) -> str:
+    keys = ", ".join(f"x.{c}" for c in shared.split())
+    some = " AND ".join(f"{c} IS NOT NULL" for c in shared.split())
+    return f"""(WITH s AS (SELECT *, row_number() OVER (ORDER BY {keys}, listing_id) - 1 AS spot FROM x WHERE {some}),
+      g AS (SELECT *, spot - min(spot) OVER (PARTITION BY {keys.replace("x.", "")}) AS later FROM s),
+      p AS MATERIALIZED (SELECT *, coalesce(sum(later) OVER (ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pairs FROM g),
+      d AS (SELECT nth, CAST('0x' || substr(md5('{seed}-' || nth), 1, 15) AS BIGINT) % (SELECT sum(later) FROM p) AS k FROM range({tries}) t(nth)),
+      u AS (SELECT min(nth) AS nth, k FROM d GROUP BY k),
+      m AS (SELECT u.nth, two.listing_id AS two, one.listing_id AS one FROM u ASOF JOIN (SELECT * FROM p WHERE later > 0) two ON u.k >= two.pairs JOIN p one ON one.spot = two.spot - two.later + (u.k - two.pairs)),
+      o AS (SELECT nth, a.listing_id AS listing_a, b.listing_id AS listing_b FROM m JOIN x a ON a.listing_id IN (one, two) JOIN x b ON b.listing_id IN (one, two) AND a.listing_id <> b.listing_id WHERE {meets})
+      SELECT '{letter}' AS stratum, listing_a, listing_b FROM o ORDER BY nth LIMIT {n})"""
+
+
+_NEAR_Q = "abs(a.q - b.q) <= 0.02 * greatest(a.q, b.q)"
+
+
+@query(with_roles("listings") + f", {_SIDES} " + " UNION ALL ".join([
+    _drawn_pairs("A", "product_id", "a.store < b.store"), _drawn_pairs("B", "category sub is_loose", f"a.product_id < b.product_id AND {_NEAR_Q} AND a.store <> b.store"),
+    _drawn_pairs("C", "category", "a.product_id < b.product_id AND a.store <> b.store AND (a.sub <> b.sub OR abs(a.q - b.q) > 0.25 * greatest(a.q, b.q))"),
+    _drawn_pairs("D", "category sub is_loose", f"a.product_id < b.product_id AND {_NEAR_Q} AND a.store = b.store AND {_sql_similarity('a.listing_name', 'b.listing_name')} > 0.45"),
+]))
+def pair_draw(spark, d):
+    """25 pairs of each stratum, drawn by number from the pairs of a group, none of which are built."""
+    listings, products = R.listings(spark, d), R.products(spark, d)
+    each = [pairs.draw(listings, products, s, 25, seed=7).select(F.lit(s).alias("stratum"), "listing_a", "listing_b") for s in "ABCD"]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 # --- matching: parts as listings against the catalog
 
 
@@ -511,6 +540,73 @@ def ingest_attach(spark, d):
 
 QUERIES |= {"normalize_listings": normalize_listings, "ingest_attach": ingest_attach}
 
+# --- keys and references: the tables of the engine, read off the test tables
+
+
+def _constrained(spark, d):
+    """The engine's tables: parts as products, newest observations as listings, all of them as history, events as clicks."""
+    obs = R.observations(spark, d)
+    clicks = R.table(spark, d, "events").select(F.col("event_id").alias("click_id"), (F.col("user_id") * R.STORES + F.col("event_id") % R.STORES).alias("listing_id"))
+    return {
+        "stores": R.stores(spark).select(F.col("store").alias("name")), "products": R.products(spark, d), "listings": R.listings(spark, d).select("listing_id", "store", "sku", "product_id"),
+        "price_history": obs.select("store", "sku", "seq"), "clicks": clicks, "runs": R.runs(spark, d),
+    }
+
+
+_CLICKS = "clicks AS (SELECT event_id AS click_id, user_id * 6 + event_id % 6 AS listing_id FROM events)"
+_SIX = "category, coalesce(subcategory, ''), coalesce(brand, ''), coalesce(size_unit, ''), coalesce(size_value, 0), is_loose"
+
+
+def _taken(rule: str, table: str, columns: str) -> str:
+    return f"SELECT '{rule}' AS rule, 'key' AS kind, (SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {columns} HAVING count(*) > 1)) AS broken"
+
+
+def _lost(rule: str, table: str, columns: str, parent: str, theirs: str | None = None) -> str:
+    on = " AND ".join(f"c.{a} = p.{b}" for a, b in zip(columns.split(), (theirs or columns).split(), strict=True))
+    return f"SELECT '{rule}', 'reference', (SELECT count(*) FROM {table} c ANTI JOIN {parent} p ON {on} WHERE c.{columns.split()[0]} IS NOT NULL)"
+
+
+@query(with_roles("listings", "stores", "runs") + f", {_CLICKS} " + " UNION ALL ".join([
+    _taken("stores(name)", "stores", "store"), _taken("products(product_id)", "products", "product_id"), _taken("products(category, subcategory, brand, size_unit, size_value, is_loose)", "products", _SIX),
+    _taken("listings(listing_id)", "listings", "listing_id"), _taken("listings(store, sku)", "listings", "store, sku"), _taken("clicks(click_id)", "clicks", "click_id"), _taken("runs(run_id)", "runs", "run_id"),
+    _lost("listings(product_id) -> products", "listings", "product_id", "products"), _lost("price_history(store, sku) -> listings", "observations", "store sku", "listings"), _lost("clicks(listing_id) -> listings", "clicks", "listing_id", "listings"),
+]))
+def key_violations(spark, d):
+    """Keys that several rows have, and rows whose parent is missing, for each rule."""
+    return constraints.violations(_constrained(spark, d))
+
+
+@query(with_roles("listings") + f""", {_CLICKS}, gone AS (SELECT listing_id, store, sku FROM listings WHERE listing_id % 5 = 0)
+    SELECT 'listings' AS name, count(*) AS n, CAST(sum(listing_id) AS BIGINT) AS digest FROM listings WHERE listing_id % 5 <> 0 UNION ALL SELECT 'price_history', count(*), CAST(sum(seq % 1000003) AS BIGINT) FROM observations o ANTI JOIN gone g ON o.store = g.store AND o.sku = g.sku
+    UNION ALL SELECT 'clicks', count(*), CAST(sum(CASE WHEN g.listing_id IS NULL THEN c.listing_id END) AS BIGINT) FROM clicks c LEFT JOIN gone g USING (listing_id)""")
+def delete_listings(spark, d):
+    """Every fifth listing deleted: its history goes with it, its clicks lose their link."""
+    t = _constrained(spark, d)
+    after = constraints.delete(t, "listings", t["listings"].where("listing_id % 5 = 0").select("listing_id"))
+    told = lambda name, digest: after[name].agg(F.count("*").alias("n"), F.sum(digest).alias("digest")).select(F.lit(name).alias("name"), "n", "digest")
+    return told("listings", F.col("listing_id")).unionByName(told("price_history", F.col("seq") % 1000003)).unionByName(told("clicks", F.col("listing_id")))
+
+
+@query(with_roles("listings") + """, gone AS (SELECT product_id FROM products WHERE product_id % 7 = 0) SELECT listing_id, CASE WHEN g.product_id IS NULL THEN l.product_id END AS product_id FROM listings l LEFT JOIN gone g USING (product_id)""")
+def delete_products(spark, d):
+    """Every seventh product deleted: its listings stay, without a product."""
+    t = _constrained(spark, d)
+    return constraints.delete(t, "products", t["products"].where("product_id % 7 = 0").select("product_id"))["listings"].select("listing_id", "product_id")
+
+
+@query(with_roles("listings", "stores", "runs") + f""", {_CLICKS} SELECT * FROM (SELECT 0 AS place, 'stores' AS name, count(*) AS n, CAST(NULL AS BIGINT) AS last FROM stores UNION ALL SELECT 1, 'products', count(*), max(product_id) FROM products UNION ALL SELECT 2, 'listings', count(*), max(listing_id) FROM listings
+    UNION ALL SELECT 3, 'price_history', count(*), NULL FROM observations UNION ALL SELECT 4, 'clicks', count(*), max(click_id) FROM clicks UNION ALL SELECT 5, 'runs', count(*), max(run_id) FROM runs)""")
+def table_copy(spark, d):
+    """The tables copied, each after those that it refers to; their rows, read back, and the id from which a copy goes on."""
+    folder = scratch_path(spark, "copy")
+    told = constraints.copy(_constrained(spark, d), lambda name, rows: rows.write.parquet(f"{folder}/{name}"))
+    out = None
+    for place, (name, _, last) in enumerate(told):
+        one = spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(F.lit(place).alias("place"), F.lit(name).alias("name"), "n", F.lit(last).cast("long").alias("last"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- sources
 
 
