@@ -3,7 +3,7 @@
 A vocabulary is data: a JSON file with ``categories`` (key, display, group, units,
 keywords, brands, subcategories: a list of [name, triggers]) in order, and
 ``aliases`` (alias to brand).  The one beside this module is a small one for the
-staples of the tests; :func:`load` takes any other.
+staples of the tests, whose terms are fixed values; :func:`load` takes any other.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT = Path(__file__).with_name("vocabulary.json")
+# --- fixed values: the letters of two scripts that no word has beside it ---
 _NOT_LETTER_BEFORE, _NOT_LETTER_AFTER = r"(?<![a-zA-Zঀ-৿])", r"(?![a-zA-Zঀ-৿])"
+# --- end of fixed values ---
 CLASSES = "category string, subcategory string, brand string"
 
 
@@ -48,7 +51,7 @@ def _word(term: str) -> re.Pattern:
 
 
 class Lookup:
-    """The compiled vocabulary; one per Python worker and vocabulary."""
+    """The vocabulary by its definition, a pattern for each term; :class:`Scan` gives the same in one pass."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -74,14 +77,83 @@ class Lookup:
         return next((b for pattern, b in self.patterns.get(category, self.patterns[None]) if pattern.search(text)), None)
 
 
-_compiled: dict[str, Lookup] = {}
+class Scan:
+    """The vocabulary as one automaton over keywords, aliases and triggers; one per Python worker and vocabulary.
 
+    A text is read once, however many terms there are; what is found is then weighed by category.  A
+    keyword or alias counts where no letter of either script stands beside it, a trigger anywhere."""
 
-def compiled(vocabulary: Vocabulary, name: str) -> Lookup:
-    """The lookup of the vocabulary with this name, compiled once in a worker; the last one is kept."""
+    def __init__(self, vocabulary: Vocabulary):
+        self.keys = [c["key"] for c in vocabulary.categories]
+        self.units = [set(c["units"]) for c in vocabulary.categories]
+        #: of each keyword its categories with what it is worth, and of each trigger its categories and places
+        self.worth: dict[str, list[tuple[int, int]]] = {}
+        self.places: dict[str, list[tuple[str, int]]] = {}
+        self.names = {c["key"]: [name for name, _ in c["subcategories"]] for c in vocabulary.categories}
+        for i, c in enumerate(vocabulary.categories):
+            for k in c["keywords"]:
+                self.worth.setdefault(k.lower(), []).append((i, 10 + len(k)))
+            for place, (_, triggers) in enumerate(c["subcategories"]):
+                for t in triggers:
+                    self.places.setdefault(t, []).append((c["key"], place))
+        self.brands = {c: [(a.lower(), b) for a, b in vocabulary.brands(c)] for c in [None, *self.keys]}
+        self.rank = {c: {a: i for i, (a, _) in reversed(list(enumerate(pairs)))} for c, pairs in self.brands.items()}
+        self.whole, self.parts = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for term in {*self.worth, *self.rank[None], *(a for r in self.rank.values() for a in r)} - {""}:
+            self.whole.add_word(term, term)
+        for term in set(self.places) - {""}:
+            self.parts.add_word(term, term)
+        for automaton in (self.whole, self.parts):
+            if len(automaton):
+                automaton.make_automaton()
+
+    def _words(self, text: str) -> set[str]:
+        if not len(self.whole):
+            return set()
+        found, text = set(), text.lower()
+        for end, term in self.whole.iter(text):
+            start = end + 1 - len(term)
+            if term not in found and not (start and _SCRIPT.match(text[start - 1])) and not (end + 1 < len(text) and _SCRIPT.match(text[end + 1])):
+                found.add(term)
+        return found
+
+    def classify(self, text: str, unit: str | None) -> tuple[str | None, str | None, str | None]:
+        """(category, subcategory, brand)."""
+        words = self._words(text)
+        scores: dict[int, int] = {}
+        for w in words:
+            for i, n in self.worth.get(w, ()):
+                if not unit or not self.units[i] or unit in self.units[i]:
+                    scores[i] = scores.get(i, 0) + n
+        best = min(scores, key=lambda i: (-scores[i], i), default=None)
+        category = None if best is None else self.keys[best]
+        return category, self._subcategory(category, text), self._brand(words, category)
+
+    def _subcategory(self, category: str | None, text: str) -> str | None:
+        if category is None or not self.names[category]:
+            return None
+        hits = {t for _, t in self.parts.iter(text)} if len(self.parts) else set()
+        places = [p for t in [*hits, ""] for c, p in self.places.get(t, ()) if c == category]
+        return self.names[category][min(places)] if places else None
+
+    def _brand(self, words: set[str], category: str | None) -> str | None:
+        known = category if category in self.rank else None
+        ranks = [self.rank[known][w] for w in words if w in self.rank[known]]
+        return self.brands[known][min(ranks)][1] if ranks else None
+
+    def brand(self, text: str, category: str | None) -> str | None:
+        return self._brand(self._words(text), category)
+
+
+_SCRIPT = re.compile("[a-zA-Z\u0980-\u09ff]")
+_compiled: dict[str, Scan] = {}
+
+
+def compiled(vocabulary: Vocabulary, name: str) -> Scan:
+    """The automaton of the vocabulary with this name, built once in a worker; the last one is kept."""
     if name not in _compiled:
         _compiled.clear()
-        _compiled[name] = Lookup(vocabulary)
+        _compiled[name] = Scan(vocabulary)
     return _compiled[name]
 
 
@@ -99,8 +171,7 @@ def classifier(vocabulary: Vocabulary):
         rows, known = [], {}
         for x, u in zip(text, unit, strict=True):
             if (x, u) not in known:
-                category = lookup.category(x or "", u)
-                known[x, u] = (category, lookup.subcategory(category, x or ""), lookup.brand(x or "", category))
+                known[x, u] = lookup.classify(x or "", u)
             rows.append(known[x, u])
         return pd.DataFrame(rows, columns=["category", "subcategory", "brand"], dtype="object")
 
