@@ -5,21 +5,25 @@ basket_id, item_key, store, unit_price, in_stock, seq (arrival order); ``stores`
 store, ord, fees (see :func:`tallyloom.functions.measures.parse_fees`).
 
 Items and offers meet in one shuffle by basket.  A basket is then one row, with a line
-for each of its items (a hundred or so at most) and in it the price of each store (a
-dozen at most); single stores and all sets of stores are tried inside that row.
+for each of its items (a hundred or so at most) and in it the price of each store (``MOST_STORES``
+at most); single stores are weighed inside that row, sets of stores by branch and bound over
+a batch of rows (see :mod:`.store_sets`).
 """
 
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store_sets import cheapest_sets
+
 #: Least saving for which a split is worth two deliveries.
 LEAST_SAVING = 30.0
-#: All subsets of the stores are tried; more stores than this are refused.
-MOST_STORES = 12
+#: More stores than this are refused: sets of them are tried as far as bounds allow.
+MOST_STORES = 20
 MONEY = "decimal(18,4)"
 #: Sums are kept in ten-thousandths.
 _UNIT = 10_000
@@ -85,29 +89,19 @@ def _single(known: list[tuple[str, object]]) -> Column:
     return F.transform(F.array(*plans), lambda p: F.struct(p["missing"].alias("missing"), (p["subtotal"] + fee(p)).alias("total"), p["ord"].alias("ord"), p["store"].alias("store"), p["subtotal"].alias("subtotal"), fee(p).alias("fee")))
 
 
-def _sets(n: int) -> list[int]:
-    """All sets of stores as bits, the smaller ones first, then those with the earlier stores: the order in which ties are decided."""
-    return sorted(range(1, 1 << n), key=lambda m: (m.bit_count(), [k for k in range(n) if m >> k & 1]))
-
-
 def _split(known: list[tuple[str, object]]) -> Column:
-    """The cheapest set of stores that fill the basket together: total, place among the sets, mask, used (bits); null if none does."""
-    n = len(known)
-    fills = F.filter(F.array(*map(F.lit, _sets(n))), lambda m: F.forall("lines", lambda l: l["stores"].bitwiseAND(m) != 0))
-
-    def picks(m: Column) -> Column:
-        return F.transform("lines", lambda l: F.get(F.filter(l["offers"], lambda o: F.getbit(m, o["ord"]) == 1), F.lit(0)))
-
-    def add(acc: Column, o: Column) -> Column:
-        sums = [(acc[f"s{k}"] + F.when(o["ord"] == k, o["cost"]).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(n)]
-        return F.struct(*sums, acc["used"].bitwiseOR(F.coalesce(*[F.when(o["ord"] == k, 1 << k) for k in range(n)])).alias("used"))
+    """The cheapest set of stores that fill the basket together: total, mask, used (bits); null if none does."""
+    fees = []
+    for _, f in known:
+        tiers = [t for t in (f["tiers"] or []) if t["min"] is not None] if f is not None else []
+        flat = None if f is None or f["flat"] is None else _units(f["flat"])
+        fees.append((flat, tuple((t["min"], _units(t["fee"])) for t in sorted(tiers, key=lambda t: t["min"]))))
 
-    def told(acc: Column, m: Column, i: Column) -> Column:
-        total = sum((F.when(F.getbit(acc["used"], F.lit(k)) == 1, acc[f"s{k}"] + _fee(fees, acc[f"s{k}"])).otherwise(F.lit(0).cast("long")) for k, (_, fees) in enumerate(known)), F.lit(0).cast("long"))
-        return F.struct(total.alias("total"), i.alias("place"), m.alias("mask"), acc["used"].alias("used"))
+    def search(stores: pa.Array, costs: pa.Array) -> pa.Array:
+        return cheapest_sets(stores, costs, fees, _UNIT)
 
-    start = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(n)], F.lit(0).alias("used"))
-    return F.array_min(F.transform(fills, lambda m, i: F.aggregate(picks(m), start, add, lambda acc: told(acc, m, i))))
+    best = F.arrow_udf(search, "total long, mask int, used int").asNondeterministic()  # so that it is not run once for each field
+    return best(F.transform("lines", lambda l: F.transform(l["offers"], lambda o: o["ord"])), F.transform("lines", lambda l: F.transform(l["offers"], lambda o: o["cost"])))
 
 
 def single_store_plans(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> DataFrame:
@@ -145,7 +139,7 @@ def split_plans(items: DataFrame, offerings: DataFrame, stores: DataFrame) -> Da
     known = _store_list(stores)
     if not known:
         return items.limit(0).select("basket_id", "item_key", F.lit("").alias("store"), F.lit(0).cast(MONEY).alias("unit_price"), F.lit(0).alias("mask"), F.lit(0).cast(MONEY).alias("split_total"), F.lit(0).alias("n_stores"))
-    best = _baskets(items, offerings, known).withColumn("s", _split(known)).where("s IS NOT NULL")
+    best = _baskets(items, offerings, known).withColumn("s", _split(known)).where("s.total IS NOT NULL")
     names = F.array(*[F.lit(s) for s, _ in known])
     each = best.select("basket_id", "s", F.explode("lines").alias("l")).withColumn("o", F.get(F.filter("l.offers", lambda o: F.getbit(F.col("s.mask"), o["ord"]) == 1), F.lit(0)))
     return each.select("basket_id", "l.item_key", F.get(names, F.col("o.ord")).alias("store"), "o.unit_price", "s.mask", _money(F.col("s.total")).alias("split_total"), F.bit_count("s.used").alias("n_stores"))

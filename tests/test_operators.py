@@ -38,7 +38,7 @@ def test_baskets(spark):
 
 def test_too_many_stores(spark):
     with pytest.raises(ValueError):
-        plan(spark, {"x": tuple([1] * 13)}, [(f"s{i}", i, None) for i in range(13)])
+        plan(spark, {"x": tuple([1] * 21)}, [(f"s{i}", i, None) for i in range(21)])
 
 
 def verdicts(spark, names, products=None):
