@@ -6,7 +6,9 @@ product_id, store, name, price, original_price, in_stock, and more."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -44,6 +46,34 @@ def search_by_category(products: DataFrame, category: str, subcategory: str | No
     return hit.orderBy("name", "product_id").limit(_checked(limit))
 
 
+#: Sizes within a tenth of a target lie in its band of this width (of the logarithm) or in a neighbour.
+_TENTH = -math.log(0.9) * (1 + 1e-9)
+
+
+def search_sizes(products: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
+    """``query_id, product_id, place``: as :func:`search_by_size` for each of ``queries`` (query_id, category, subcategory, target).
+
+    A query looks into three bands of sizes of its category; a null subcategory is none."""
+    band = lambda c: F.when(c > 0, F.floor(F.log(c) / _TENTH)).otherwise(F.lit(-(1 << 40))).cast("long")
+    asked = queries.select("query_id", "category", F.col("subcategory").alias("_sub"), "target").withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("target")) + i)))
+    have = products.select("product_id", "name", "category", "subcategory", "base_unit_qty").withColumn("_band", band(F.col("base_unit_qty")))
+    within = F.col("base_unit_qty").between(F.col("target") * 0.9, F.col("target") * 1.1)
+    sub = F.col("_sub").isNull() | F.col("subcategory").isNull() | (F.col("subcategory") == F.col("_sub"))
+    order = Window.partitionBy("query_id").orderBy(F.abs(F.col("base_unit_qty") - F.col("target")), "name", "product_id")
+    met = asked.join(have, ["category", "_band"]).where(within & sub).withColumn("place", F.row_number().over(order))
+    return met.where(F.col("place") <= _checked(limit)).select("query_id", "product_id", "place")
+
+
+def search_categories(products: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
+    """``query_id, product_id, place``: as :func:`search_by_category` for each of ``queries`` (query_id, category, subcategory); each distinct question is answered once."""
+    order = lambda *by: Window.partitionBy(*by).orderBy("name", "product_id")
+    asked = queries.select("query_id", "category", F.col("subcategory").alias("_sub"))
+    whole = products.withColumn("place", F.row_number().over(order("category"))).where(F.col("place") <= _checked(limit)).select("category", "product_id", "place")
+    part = products.where("subcategory IS NOT NULL").withColumn("place", F.row_number().over(order("category", "subcategory"))).where(F.col("place") <= limit)
+    part = part.select("category", F.col("subcategory").alias("_sub"), "product_id", "place")
+    return asked.where("_sub IS NULL").join(whole, "category").select("query_id", "product_id", "place").unionByName(asked.join(part, ["category", "_sub"]).select("query_id", "product_id", "place"))
+
+
 def search_by_text(products: DataFrame, query: str, limit: int = 30, least: float = SIMILAR) -> DataFrame:
     """Products whose normalized or full name resembles the query, the most alike first."""
     q = F.lit(query)

@@ -69,6 +69,15 @@ def price_history(history: DataFrame, listings: DataFrame, product_id: int, now,
     return daily_min_price(recent.join(mine, list(KEY), "left_semi"), by=()).orderBy("day")
 
 
+def price_histories(history: DataFrame, listings: DataFrame, asked: DataFrame, now, days: int = 365) -> DataFrame:
+    """``product_id, day, price``: as :func:`price_history`, of all products of ``asked`` in one plan."""
+    if not 7 <= days <= 730:
+        raise ValueError("days: 7 to 730")
+    mine = listings.select(*KEY, "product_id").join(asked.select("product_id").distinct(), "product_id")
+    recent = history.where(F.col("observed_at") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")).drop("product_id")
+    return daily_min_price(recent.join(mine, list(KEY)))
+
+
 def healthy_stores(runs: DataFrame, now, hours: int = 48) -> DataFrame:
     """Stores that scraped something in a run of the last hours; ``runs``: store, started_at, items_scraped."""
     recent = runs.where(F.col("started_at") >= F.lit(now) - F.expr(f"INTERVAL {hours} HOURS"))

@@ -234,10 +234,11 @@ def product_list(spark, d):
     return catalog.product_list(R.products(spark, d)).select("product_id", "name", "category")
 
 
-@query(with_roles("stores") + " SELECT store, row_number() OVER (ORDER BY coalesce(display_name, store), store) AS place FROM stores")
+@query("""SELECT s_name AS store, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 7 = 0 THEN s_name ELSE 'Shop ' || s_nationkey END, s_name) AS place FROM supplier WHERE s_acctbal >= 0""")
 def store_list(spark, d):
-    """The stores of the tests, with their places in the list."""
-    listed = catalog.store_list(R.stores(spark)).select("store", "display_name")
+    """Suppliers as stores, those with an overdrawn account not active: their places in the list."""
+    shown = F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("Shop "), "s_nationkey"))
+    listed = catalog.store_list(R.table(spark, d, "supplier").select(F.col("s_name").alias("store"), shown.alias("display_name"), (F.col("s_acctbal") >= 0).alias("active")))
     return listed.select("store", F.row_number().over(Window.orderBy(F.coalesce("display_name", "store"), "store")).cast("long").alias("place"))
 
 
@@ -738,3 +739,6 @@ def click_target(spark, d):
     base = F.concat(F.lit("https://"), F.regexp_extract("url", r"://([^/?#]*)", 1))
     odd = F.when(F.col("page_id") % 3 == 0, F.lit("https://go.example.com/?to={url}"))
     return pages.select("page_id", T.click_target(F.col("url"), base, odd).alias("target"))
+
+
+from . import requests  # noqa: E402, F401  (registers its queries)
