@@ -25,12 +25,18 @@ _SLACK = 1e-9
 
 
 def entries(products: DataFrame) -> DataFrame:
-    """``entry, grams, product_id, first``: the sets of trigrams of each product's normalized and full name; ``first`` in one row of each product."""
+    """``entry, product_id, first, grams``: the sets of trigrams of each product's normalized and full name; ``first`` in one row of each product."""
     normal = F.coalesce("normalized_name", "name")
     names = F.array_distinct(F.array(F.struct(normal.alias("name")), F.struct("name")))
-    rows = products.select("product_id", F.posexplode(names).alias("nth", "n")).where("n.name IS NOT NULL")
-    rows = rows.select("product_id", F.sort_array(T.trigrams(F.col("n.name"))).alias("grams"), (F.col("nth") == 0).alias("first")).where(F.size("grams") > 0)
-    return rows.groupBy("grams", "product_id").agg(F.max("first").alias("first")).withColumn("entry", F.md5(F.array_join("grams", "\0")))
+    rows = products.select("product_id", F.posexplode(names).alias("nth", "n")).where("n.name IS NOT NULL").select("product_id", "n.name", (F.col("nth") == 0).alias("first"))
+    rows = rows.join(_sets(rows, "name"), "name")
+    return rows.groupBy("entry", "product_id").agg(F.max("first").alias("first"), F.first("grams").alias("grams"))
+
+
+def _sets(rows: DataFrame, text: str) -> DataFrame:
+    """``text, grams, entry`` of each distinct text that has trigrams."""
+    sets = rows.select(text).distinct().withColumn("grams", F.sort_array(T.trigrams(F.col(text)))).where(F.size("grams") > 0)
+    return sets.withColumn("entry", F.md5(F.array_join("grams", "\0")))
 
 
 def similarity(both: Column, asked: Column, have: Column) -> Column:
@@ -50,7 +56,7 @@ class TrigramIndex:
         #: of each entry the products that may be told: those of equal similarity go by id
         self.products = ranked.where(F.col("nth") <= limit).select("entry", "product_id")
         self.sets = checkpointed(ranked.groupBy("entry").agg(F.first("grams").alias("grams"), F.count_if("first").alias("products")))
-        self.postings = checkpointed(self.sets.select(F.explode("grams").alias("gram"), "entry", F.size("grams").alias("have")))
+        self.postings = self.sets.select(F.explode("grams").alias("gram"), "entry", F.size("grams").alias("have"))
         self.rarity = self.postings.groupBy("gram").agg(F.count("*").alias("n"))
         self.candidates: DataFrame | None = None
 
@@ -65,8 +71,7 @@ class TrigramIndex:
         """``query_id, product_id, similarity, place`` of each query's most alike products, ``limit`` at most.
 
         Equal ones go by product id.  A query without trigrams finds nothing."""
-        sets = queries.select("query_id", F.sort_array(T.trigrams(F.col("query"))).alias("grams")).where(F.size("grams") > 0)
-        named = checkpointed(sets.withColumn("query", F.md5(F.array_join("grams", "\0"))))
+        named = checkpointed(queries.select("query_id", F.col("query").alias("_asked")).join(_sets(queries.select(F.col("query").alias("_asked")), "_asked"), "_asked").select("query_id", "grams", F.col("entry").alias("query")))
         asked = named.groupBy("query").agg(F.first("grams").alias("grams"))
         rare = asked.select("query", F.size("grams").alias("asked"), F.explode("grams").alias("gram")).join(self.rarity, "gram", "left")
         nth = F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "gram"))

@@ -327,9 +327,7 @@ _NEAR_Q = "abs(a.q - b.q) <= 0.02 * greatest(a.q, b.q)"
 ]))
 def pair_draw(spark, d):
     """25 pairs of each stratum, drawn by number from the pairs of a group, none of which are built."""
-    listings, products = R.listings(spark, d), R.products(spark, d)
-    each = [pairs.draw(listings, products, s, 25, seed=7).select(F.lit(s).alias("stratum"), "listing_a", "listing_b") for s in "ABCD"]
-    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return pairs.draw_strata(R.listings(spark, d), R.products(spark, d), "ABCD", 25, seed=7).select("stratum", "listing_a", "listing_b")
 
 
 # --- matching: parts as listings against the catalog
