@@ -185,6 +185,28 @@ def buckets(products: DataFrame, offers: DataFrame, brand: Column | None = None)
     )
 
 
+def bucket_summary(products: DataFrame, offers: DataFrame, top: int = 3) -> DataFrame:
+    """One row per shopping bucket without its list: number of offers and stores, the ``top`` cheapest in stock, savings.
+
+    Counts and minima are taken before the shuffle; of the offers only ``top`` of each bucket and partition move."""
+    rows = products.select("product_id", "brand", *BUCKET).join(offers.select("product_id", "listing_id", "store", "store_display", "price", "in_stock"), "product_id")
+    live = F.when(F.col("in_stock"), F.col("price"))
+    # stores of a bucket are few: first by bucket and store, then by bucket
+    per_store = rows.groupBy(*BUCKET, "store").agg(F.count("*").alias("n"), F.min(live).alias("low"), F.max(live).alias("high"))
+    told = per_store.groupBy(*BUCKET).agg(F.sum("n").alias("n_offers"), F.count("*").alias("n_stores"), F.coalesce(F.max("high") - F.min("low"), F.lit(0)).alias("savings"))
+    place = F.row_number().over(Window.partitionBy(*BUCKET).orderBy("price", "listing_id"))
+    best = rows.where("in_stock").withColumn("place", place).where(F.col("place") <= top)
+    lists = best.groupBy(*BUCKET).agg(F.array_sort(F.collect_list(F.struct("place", "listing_id", "price", "store_display", "brand"))).alias("cheapest"))
+    t, l = told.alias("t"), lists.alias("l")
+    out = t.join(l, [F.col(f"t.{c}").eqNullSafe(F.col(f"l.{c}")) for c in BUCKET], "left")
+    return out.select("t.*", F.coalesce("cheapest", F.array().cast(lists.schema["cheapest"].dataType)).alias("cheapest"))
+
+
+def with_offers(found: DataFrame, listings: DataFrame) -> DataFrame:
+    """What a search found, less products without any listing; asked after the search's limit, so that there may be fewer rows than it allows."""
+    return found.join(listings.select("product_id").where("product_id IS NOT NULL").distinct(), "product_id", "left_semi")
+
+
 def sort_buckets(found: DataFrame, title: Column, target: float | None = None) -> DataFrame:
     """By nearness to the target quantity, unknown sizes last; without a target by the plain number, whatever its unit."""
     size = F.coalesce("size_value", F.lit(0.0))

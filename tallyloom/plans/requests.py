@@ -140,8 +140,47 @@ def name_scorecard(spark, d):
     return match.scorecard(match.predict_names(_named_pairs(spark, d).withColumn("label", label)))
 
 
+@query(with_roles("listings", "stores") + """, o AS (SELECT p.category, p.subcategory, p.size_value, p.size_unit, p.is_loose, p.brand, l.listing_id, l.store, l.price, l.in_stock FROM listings l JOIN (SELECT * EXCLUDE (name) FROM products) p USING (product_id)),
+    r AS (SELECT *, CASE WHEN in_stock THEN row_number() OVER (PARTITION BY category, subcategory, size_value, size_unit, is_loose, in_stock ORDER BY price, listing_id) END AS place FROM o)
+    SELECT category, subcategory, size_value, size_unit, is_loose, count(*) AS n_offers, count(DISTINCT store) AS n_stores, CAST(coalesce(max(price) FILTER (in_stock) - min(price) FILTER (in_stock), 0) AS DOUBLE) AS savings,
+      coalesce(string_agg(listing_id || ':' || brand, ',' ORDER BY place) FILTER (place <= 3), '') AS cheapest FROM r GROUP BY category, subcategory, size_value, size_unit, is_loose""")
+def bucket_summary(spark, d):
+    """Each shopping bucket's counts, savings and three cheapest offers, without its list."""
+    out = catalog.bucket_summary(R.products(spark, d), catalog.offerings(R.listings(spark, d), R.stores(spark)))
+    told = F.array_join(F.transform("cheapest", lambda o: F.concat(o["listing_id"], F.lit(":"), o["brand"])), ",")
+    return _double(out.withColumn("cheapest", told), "savings")
+
+
+@query(with_roles("listings") + """, asked AS (SELECT product_id AS query_id, category FROM products WHERE product_id % 50 = 0), met AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY name, product_id) AS place FROM asked JOIN products p USING (category))
+    SELECT query_id, product_id, CAST(place AS INT) AS place FROM met WHERE place <= 30 AND product_id IN (SELECT product_id FROM listings WHERE in_stock AND store = 's1')""")
+def offered_search(spark, d):
+    """A search whose products without an offer in one store are left out after the limit."""
+    p = R.products(spark, d)
+    asked = p.where(F.col("product_id") % 50 == 0).select(F.col("product_id").alias("query_id"), "category", F.lit(None).cast("string").alias("subcategory"))
+    return catalog.with_offers(catalog.search_categories(p, asked), R.listings(spark, d).where("in_stock AND store = 's1'"))
+
+
 # --- sources
 
+
+@query("""WITH c AS (SELECT page_id, generate_subscripts(s, 1) - 1 AS nth, unnest(s) AS card FROM (SELECT page_id, string_split(html, '<li>') AS s FROM pages WHERE page_id % 10 <> 3 AND html <> '')),
+    f AS (SELECT page_id, nth, regexp_extract(card, '<a href="([^"]*)"', 1) AS url, regexp_extract(card, '<a [^>]*>([^<]*)</a>', 1) AS title FROM c WHERE nth > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY nth) AS again FROM f WHERE url <> '' AND title <> ''), asked AS (SELECT 0 AS part UNION ALL SELECT 1)
+    SELECT part, 'p:' || url AS sku, title AS name, count(*) AS n FROM k JOIN asked ON page_id % 2 = part WHERE again = 1 GROUP BY ALL""")
+def card_pages(spark, d):
+    """Pages cut into cards once and asked twice, each time for the pages of one part; pages that failed are not kept."""
+    pages = R.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("target"), F.lit(0).alias("page"), "html", F.when(F.col("page_id") % 10 == 3, F.lit("timeout")).alias("error"))
+    fields = {"id": r'<a href="([^"]*)"', "title": r"<a [^>]*>([^<]*)</a>", "url": r'<a href="([^"]*)"', "image": r'src="([^"]*)"', "price": r"(^)"}
+    kept = records.CardPages(pages, "<li>", fields)
+    kept.cards = kept.cards.withColumns({"price": F.lit("1"), "subtexts": F.array().cast("array<string>")})
+    out = None
+    for part in (0, 1):
+        some = pages.select("target").where(F.col("target").cast("long") % 2 == part)
+        one = kept.records("https://p", "p:", "any", {}, some).groupBy("sku", "name").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "sku", "name", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _CARD = "c AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_name || ' ' || p_size || ' L' AS name, CAST(p_retailprice AS DOUBLE) AS price FROM part)"
 
 

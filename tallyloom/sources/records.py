@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import price_of
+from .scratch import checkpointed
 
 LISTING = ("sku", "name", "price", "original_price", "in_stock", "url", "image")
 CATALOG = "struct<hits:array<struct<slug:string,name:string,price:double,mrp:double,availability:array<string>,pictures:array<string>>>>"
@@ -140,11 +141,12 @@ def card_records(cards: DataFrame, base: str, prefix: str, category: str | None
     """Cards (id, title, price, url, image, subtexts; target, at, if given): the name is title and first subtext; a later "N TK OFF" tells the original price.
 
     Cards of the category asked for, each once, at most ``most`` of a target.  One page
-    serves all categories that share it: the frame of its cards may be kept and asked again."""
+    serves all categories that share it (see :class:`CardPages`)."""
     price = price_of(F.col("price"))
     off = F.get(F.filter(F.transform(F.slice("subtexts", F.lit(2), F.size("subtexts")), lambda s: F.regexp_extract(s, r"(?i)(\d+(?:\.\d+)?)\s*TK\s*OFF", 1)), lambda s: s != ""), F.lit(0)).try_cast("double")
     name = F.trim(F.concat_ws(" ", "title", F.get("subtexts", F.lit(0))))
-    rows = _paged(cards if "at" in cards.columns else cards.withColumn("at", F.monotonically_increasing_id())).where((F.col("id") != "") & (F.col("title") != "") & (price > 0))
+    # without a place on the page cards go by what they tell, however they are dealt
+    rows = _paged(cards if "at" in cards.columns else cards.withColumn("at", F.struct("id", "title", "price"))).where((F.col("id") != "") & (F.col("title") != "") & (price > 0))
     rows = rows.where(of_category(name, category, words or {})) if category else rows
     return _listing(
         _first_of(rows, "id", most), sku=F.concat(F.lit(prefix), "id"), name=name, price=price, original_price=price + off,
@@ -152,6 +154,27 @@ def card_records(cards: DataFrame, base: str, prefix: str, category: str | None
     )
 
 
+class CardPages:
+    """Pages that several categories share, cut into cards once and asked by each.
+
+    ``pages`` has target, page and html; one with an error, or without html, is not kept, and its target can be fetched again."""
+
+    def __init__(self, pages: DataFrame, marker: str, fields: dict[str, str], lists: dict[str, str] | None = None):
+        whole = pages.where("error IS NULL") if "error" in pages.columns else pages
+        whole = whole.where(F.coalesce("html", F.lit("")) != "")
+        self.fetched = whole.select("target").distinct()
+        self.cards = checkpointed(html_cards(whole.select("target", "page", "html"), "html", marker, fields, lists))
+
+    def missing(self, targets: DataFrame) -> DataFrame:
+        """Of ``targets`` (target) those of which no page is kept."""
+        return targets.join(self.fetched, "target", "left_anti")
+
+    def records(self, base: str, prefix: str, category: str, words: dict[str, list[str]], targets: DataFrame | None = None, most: int = 500) -> DataFrame:
+        """The listings of one category, from all pages or those of some targets."""
+        cards = self.cards if targets is None else self.cards.join(targets.select("target").distinct(), "target", "left_semi")
+        return card_records(cards, base, prefix, category, words, most)
+
+
 def badge_records(raw: DataFrame, base: str, prefix: str, most: int = 200) -> DataFrame:
     """Snapshots of a page that grows while it is scrolled (value; target, page: the pass): of each pass the first ``most`` cards, each once.
 
