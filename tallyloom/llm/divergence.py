@@ -15,9 +15,9 @@ times one value, plus corrections:
   carry how many terms pass.  Each node with each of its ancestors corrects one pair of
   sources, once, by its number of terms, however many terms share the path.
 
-Rows are dealt by ranges of their order, so that a part of the tree is one subtree with its
-stem, and in a part they come sorted, so that a node is complete when the next row leaves
-it; only a slice of rows is held at a time.
+Rows are dealt by a hash of the whole row, so that no frequent beginning gathers in one task.  Each
+task sorts its rows and builds a tree of them, in which a node is complete when the next row leaves
+it; only a slice of rows is held at a time, and the corrections of all trees add up.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ ONE = 1_000_000_000
 #: Ranks of terms that are told.
 TERM_RANKS = 200
 #: Distinct terms of all groups that a task counts before it sends them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Entries of rows that are made into a tree at a time.
 TREE_ENTRIES = 1 << 20
 _LONG = (1 << 63) - 1
@@ -204,8 +204,7 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     entry = F.struct("place", "share", "none")
     rows = shares.groupBy("lang", "term").agg(F.sort_array(F.collect_list(entry)).alias("path"))
     paths = rows.groupBy("lang", "path").agg(F.count("*").alias("times"))
-    paths = materialize(paths, "term-paths")  # dealing by ranges reads it twice
-    both = _corrections(paths.orderBy("lang", "path"))
+    both = _corrections(paths.sortWithinPartitions("lang", "path"))
     # terms of one alone: how many have which share in a group
     spread = shares.groupBy("lang", "place", "share", "none").agg(F.count("*").alias("times"))
     others = groups.select("lang", F.col("place").alias("other"), F.col("none").alias("lacking"))

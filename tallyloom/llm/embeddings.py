@@ -34,8 +34,8 @@ COSINE = 0.93
 #: Leading coordinates in the boxes, and in the order; vectors on which the axes are fitted, at most.
 LEADING, ORDERED = 16, 8
 SAMPLE_ROWS = 2_000
-#: Vectors of a block, blocks of a stripe; parts to which the stripes of one label are dealt when they are paired.
-BLOCK, STRIPE, SALTS = 512, 16, 16
+#: Vectors of a block, blocks of a stripe; stripes of one label in each of the parts to which they are dealt when they are paired.
+BLOCK, STRIPE, PART_STRIPES = 512, 16, 64
 _LEAF = 64
 _SLACK = 1e-6
 
@@ -195,9 +195,11 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     stripes = blocks.groupBy("label", "dim", "stripe").agg(F.max(size).alias("n"), ends[0].alias("low"), ends[1].alias("high"))
     stripes = stripes.select("label", "dim", "stripe", F.slice("low", F.lit(1), F.col("n")).alias("low"), F.slice("high", F.lit(1), F.col("n")).alias("high"))
     stripes = materialize(stripes, "stripes")
-    # one label may hold all: its stripes are dealt to SALTS parts on one side and go to each of them on the other
-    dealt = stripes.withColumn("salt", F.pmod(F.xxhash64("stripe"), F.lit(SALTS))).alias("a")
-    everywhere = stripes.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))).alias("b")
+    # one label may hold all: its stripes are dealt to parts of PART_STRIPES on one side and go to each of them on the other
+    parts = stripes.groupBy("label", "dim").agg(F.ceil(F.count("*") / PART_STRIPES).alias("parts"))
+    counted = stripes.join(parts, ["label", "dim"])
+    dealt = counted.withColumn("salt", F.pmod(F.xxhash64("stripe"), F.col("parts"))).alias("a")
+    everywhere = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "salt")]
     met = dealt.join(everywhere, [*same, F.col("a.stripe") <= F.col("b.stripe")]).where(_near("a", "b", epsilon))
     met = materialize(met.select(F.col("a.stripe").alias("sa"), F.col("b.stripe").alias("sb")), "stripe-pairs")
