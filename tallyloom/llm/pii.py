@@ -4,7 +4,8 @@ Patterns with checks (addresses at most 255, Luhn, digit counts) find the base
 spans.  Words with a digit or an ``@`` are the nodes of a random field whose labels are the
 kinds and ``other``.  Words of base spans are observed, and so are, as other,
 words whose match failed its check.  Each further word has local potentials
-from its shape, the words beside it and the marks at its ends; neighbouring words, and
+from its shape, the words beside it, the marks at its ends and the number that it forms with the
+digits beside it (how long it is, and whether it passes the check of cards); neighbouring words, and
 distant ones that repeat or resemble each other (same letters and digits, same last
 seven digits, same local part), share potentials that favour one label: each word with
 every observed word that it resembles, at any distance, and with the last earlier one
@@ -66,6 +67,7 @@ _NODE = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(r"[0-9@]")
 _PLAIN = re.compile(r"[^a-z0-9]+")
 _LETTERLESS = re.compile(r"[\W\d_]+")
+_DIGITS = re.compile(r"[0-9](?:-?[0-9])*")
 _EDGE = "()[]{}<>,;:.!?\"'"
 
 
@@ -131,8 +133,34 @@ def keys(word: str) -> set[str]:
 
 
 def _plain_word(word: str, is_node: bool) -> str:
-    """The letters of a word beside a node; another node is only told as one."""
-    return "#" if is_node else _LETTERLESS.sub("", word[:64]).lower()[:16]
+    """The letters of a word beside a node, a digest of them if they are many; another node is only told as one."""
+    letters = "#" if is_node else _LETTERLESS.sub("", word).lower()
+    return letters if len(letters) <= 16 else f"~{zlib.crc32(letters.encode()):08x}"
+
+
+def numbers(words: list[tuple[int, int, str, int]]) -> list[str]:
+    """Of each word what number it is part of: words of digits and hyphens that follow each other, their digits together."""
+    out, run = [""] * len(words), []
+
+    def close() -> None:
+        digits = "".join(d for _, d in run)
+        if digits:
+            told = f"{len(run)}" if len(run) < 8 else "8"
+            size = "short" if len(digits) < 12 else "long" if len(digits) > 19 else "card" if luhn(digits) else "other"
+            for i, _ in run:
+                out[i] = f"={told}{size}"
+        run.clear()
+
+    for i, (_, _, word, at) in enumerate(words):
+        bare = word.strip(_EDGE)
+        if not _DIGITS.fullmatch(bare):
+            close()
+            continue
+        if run and words[run[-1][0]][3] != at - 1:
+            close()
+        run.append((i, bare.replace("-", "")))
+    close()
+    return out
 
 
 class Graph:
@@ -152,6 +180,9 @@ class Graph:
                 first, last = ("" if c.isalnum() else c for c in (word[0], word[-1]))
                 self.beside.append([f"<{_plain_word(before, open_)}", f"[{first}", f"]{last}"])
             open_, before = is_node, word
+        for features, number in zip(self.beside, numbers(self.words), strict=True):
+            if number:
+                features.append(number)
         self.label = np.full(len(self.words), -1)
         marked = [(a, b, kind) for a, kind, b in found] + [(a, b, OTHER) for a, b in failed]
         starts = np.array([w[0] for w in self.words])
@@ -226,7 +257,7 @@ class Potentials:
             start[place[s]] = self.local.get(s, self.default)
         if not nodes:
             return self
-        used = np.array([[place[x[0]], *(place.get(f, none) for f in x[1])][:5] + [none] * (4 - len(x[1])) for x in nodes])
+        used = np.array([[place[x[0]], *(place.get(f, none) for f in x[1])] + [none] * (5 - len(x[1])) for x in nodes])
         beside, alike = np.array([x[2] for x in nodes], float), np.array([x[3] for x in nodes], float)
         label, weight = np.array([x[4] for x in nodes]), np.array([x[5] for x in nodes], float)
         truth = np.eye(OTHER + 1)[label]

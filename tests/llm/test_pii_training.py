@@ -89,3 +89,41 @@ def test_long_text_and_empty():
     assert pii.training_nodes("") == [] and pii.training_nodes("no node") == []
     assert len(pii.training_nodes("1 2 3 " * 20_000)) < 4 * pii.SAMPLE_NODES
     assert sum(x[5] for x in pii.training_nodes("17 " * 1000)) > 100
+
+
+def test_numbers_of_neighbouring_words():
+    words = lambda text: [(m.start(), m.end(), m[0], i) for i, m in enumerate(pii._NODE.finditer(text))]
+    assert pii.numbers(words("4111  1111\n1111 1111, 4111-1111-1111-1112 12 x 7 8")) == ["=6long"] * 6 + [""] + ["=2short"] * 2
+    assert pii.numbers(words("(4111 1111 1111 1111) or 4111-1111-1111-1112")) == ["=4card"] * 4 + ["", "=1other"]
+    assert pii.numbers(words("a1 2b 1.5 kim@x")) == [""] * 4 and pii.numbers([]) == []
+    assert set(pii.numbers(words("1234567 " * 5000))) == {"=8long"}
+
+
+def test_a_long_neighbour_is_told_whole():
+    one, two = ("word" * 40 + end for end in ("a", "b"))
+    assert pii._plain_word(one, False) != pii._plain_word(two, False) and pii._plain_word("Room:", False) == "room" and pii._plain_word("x" * 16, False) == "x" * 16
+
+
+def test_hidden_cards_are_found_again():
+    """Numbers that pass the check of cards are told from those that don't."""
+    import random
+
+    rng = random.Random(6)
+
+    def number(good):
+        while True:
+            digits = "".join(rng.choice("0123456789") for _ in range(16))
+            if pii.luhn(digits) == good:
+                return digits
+
+    texts = [f"pay with {number(True)} by order {number(False)} of 20{i % 100:02d} at {i}" for i in range(300)]
+    m = pii.Potentials([]).train([x for t in texts[:200] for x in pii.training_nodes(t)])
+    right = missed = wrong = 0
+    for t in texts[200:]:
+        found, failed = pii.base_spans(t)
+        away = pii.hidden(t, found)
+        added = m.added(t, [s for s in found if s not in away], [])
+        right += sum(any(a < s[2] and s[0] < b for a, _, b in added) for s in away)
+        missed += sum(not any(a < s[2] and s[0] < b for a, _, b in added) for s in away)
+        wrong += sum(not any(a < s[2] and s[0] < b for s in away) for a, _, b in added)
+    assert right > 30 and missed <= 0.1 * right and wrong <= 0.05 * right
