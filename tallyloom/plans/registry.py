@@ -526,10 +526,52 @@ def slugify(spark, d):
     return R.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), slug.alias("slug")).withColumn("parsed", T.slug_id(F.col("slug")))
 
 
+# the first of both sizes is cut if it is not the lesser one; no word of these names is in the vocabulary
+@query(f"""WITH t AS (SELECT p_partkey AS listing_id, {_RAW} AS name, CAST(p_size / 10.0 AS DOUBLE) AS v1, CAST(p_partkey % 13 AS DOUBLE) AS v2, p_partkey % 4 AS u FROM part),
+  b AS (SELECT *, v1 * CASE u WHEN 1 THEN 1 WHEN 3 THEN 12 ELSE 1000 END AS b1 FROM t),
+  c AS (SELECT *, b1 >= v2 AS first, CASE WHEN b1 >= v2 THEN regexp_replace(lower(name), '[0-9.]+ (ltr|ml|kg|dozen)', ' ') ELSE regexp_replace(lower(name), '[0-9]+pcs', ' ') END AS x FROM b),
+  w AS (SELECT *, {_CLEAN.replace(f"lower({_RAW})", "x")} AS cleaned FROM c)
+  SELECT listing_id, name, array_to_string(list_filter(string_split(cleaned, ' '), lambda t: length(t) > 1), ' ') AS normalized_name, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS subcategory, CAST(NULL AS VARCHAR) AS brand,
+    CASE WHEN first THEN v1 ELSE v2 END AS size_value, CASE WHEN NOT first THEN 'PCS' ELSE ['L', 'ML', 'KG', 'PCS'][CAST(u AS INT) + 1] END AS size_unit, greatest(b1, v2) AS base_unit_qty, false AS is_loose FROM w""")
 def normalize_listings(spark, d):
     return normalize.normalize(_raw(spark, d))
 
 
+_STAPLES = "p_partkey % 6"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS listing_id, {_STAPLES} AS i, p_size % 9 + 1 AS v FROM part)
+  SELECT listing_id, ['cooking_oil', 'cooking_oil', 'rice', 'lentils', 'flour', 'cooking_oil'][i + 1] AS category, ['soybean', 'sunflower', 'miniket', 'masoor', 'atta', 'soybean'][i + 1] AS subcategory, ['rupchanda', 'teer', 'rashid', NULL, 'pran', 'fresh'][i + 1] AS brand,
+    CAST(v AS DOUBLE) AS size_value, CASE WHEN i IN (0, 1, 5) THEN 'L' ELSE 'KG' END AS size_unit, v * 1000.0::DOUBLE AS base_unit_qty, i = 3 AS is_loose FROM t""")
+def normalize_staples(spark, d):
+    """Names of staples that the vocabulary knows: category, subcategory, brand, size and loose flag of each."""
+    i, size = F.col("p_partkey") % 6, (F.col("p_size") % 9 + 1).cast("string")
+    said = F.array(*[F.lit(x) for x in ("Rupchanda Soybean Oil", "Teer Sunflower Oil", "Rashid Miniket Rice", "Loose Masoor Dal", "PRAN Atta", "Soyabean Oil Fresh Premium")])
+    name = F.concat(F.get(said, i.cast("int")), F.lit(" "), size, F.when(i.isin(0, 1, 5), F.lit(" Ltr")).otherwise(F.lit("kg")))
+    named = R.table(spark, d, "part").select(F.col("p_partkey").alias("listing_id"), name.alias("name"))
+    return normalize.normalize(named).select("listing_id", "category", "subcategory", "brand", "size_value", "size_unit", "base_unit_qty", "is_loose")
+
+
+_KEY = "concat_ws('|', category, is_loose, brand, coalesce(subcategory, '~'))"
+
+
+# a key's distinct sizes in order of arrival, each with what was known before it; then the joins
+@query(with_roles("products").replace("WITH", "WITH RECURSIVE", 1) + f""", {_INCOMING.split(",\n  tiers AS")[0]},
+  i AS (SELECT listing_id AS seq, x.category, x.subcategory, x.is_loose, x.brand, x.size_unit, p.size_value, q FROM incoming x JOIN products p ON x.listing_id = p.product_id),
+  cat AS (SELECT product_id, category, subcategory, is_loose, brand, size_unit, size_value, base_unit_qty AS q FROM products WHERE NOT regexp_matches(brand, '#[0-9]{{2}}$')),
+  firsts AS (SELECT {_KEY} AS k, category, subcategory, is_loose, brand, size_unit, size_value, q, min(seq) AS seq FROM i WHERE brand IS NOT NULL GROUP BY ALL),
+  steps AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS n FROM firsts),
+  known AS (SELECT {_KEY} AS k, list(q) AS bases, list(concat_ws('|', size_value, coalesce(size_unit, '~'))) AS same FROM cat GROUP BY ALL),
+  r AS (SELECT k, CAST(0 AS BIGINT) AS n, coalesce(bases, []) AS bases, coalesce(same, []) AS same, CAST(NULL AS BIGINT) AS made FROM (SELECT DISTINCT k FROM firsts) LEFT JOIN known USING (k)
+    UNION ALL SELECT k, n, CASE WHEN fresh AND q IS NOT NULL THEN list_append(bases, q) ELSE bases END, CASE WHEN fresh THEN list_append(same, size) ELSE same END, CASE WHEN fresh THEN seq END
+    FROM (SELECT r.k, s.n, bases, same, q, seq, size, NOT (list_contains(same, size) OR (q IS NOT NULL AND len(list_filter(bases, lambda a: (a = 0) = (q = 0) AND abs(a - q) <= 0.02 * greatest(a, q))) > 0)) AS fresh FROM r JOIN (SELECT *, concat_ws('|', size_value, coalesce(size_unit, '~')) AS size FROM steps) s ON r.k = s.k AND s.n = r.n + 1)),
+  alone AS (SELECT category, subcategory, is_loose, size_unit, size_value, min(seq) AS seq FROM i WHERE brand IS NULL GROUP BY ALL),
+  made AS (SELECT made AS seq FROM r WHERE made IS NOT NULL UNION ALL SELECT seq FROM alone),
+  there AS (SELECT *, -1 AS since FROM cat UNION ALL SELECT (SELECT max(product_id) FROM cat) + row_number() OVER (ORDER BY seq), category, subcategory, is_loose, brand, size_unit, size_value, q, seq FROM made JOIN i USING (seq)),
+  met AS (SELECT i.seq, t.product_id, t.since, CASE WHEN i.brand IS NOT NULL AND coalesce(((i.q = 0) = (t.q = 0) AND abs(i.q - t.q) <= 0.02 * greatest(i.q, t.q)), false) THEN CASE WHEN i.size_unit = t.size_unit THEN 1 ELSE 2 END WHEN i.size_unit = t.size_unit AND i.size_value = t.size_value THEN 3 END AS rank
+    FROM i JOIN there t ON i.category = t.category AND i.is_loose = t.is_loose AND i.brand IS NOT DISTINCT FROM t.brand AND i.subcategory IS NOT DISTINCT FROM t.subcategory AND t.since <= i.seq),
+  best AS (SELECT seq, min((rank, product_id, since)) AS b FROM met WHERE rank IS NOT NULL GROUP BY seq)
+  SELECT seq, b[2] AS product_id, CASE WHEN b IS NULL THEN 0.0::DOUBLE WHEN b[1] = 2 THEN 0.85 ELSE 1.0 END AS confidence, CASE WHEN b IS NULL THEN 'unmatched' WHEN b[3] = seq THEN 'new' WHEN b[1] = 2 THEN 'brand' ELSE 'exact' END AS method FROM i LEFT JOIN best USING (seq)""")
 def ingest_attach(spark, d):
     """Parts as listings in order of arrival, attached to a catalog that lacks the brands of two digits."""
     incoming, products = _incoming(spark, d)
@@ -537,8 +579,6 @@ def ingest_attach(spark, d):
     return ingest.attach(incoming.withColumnRenamed("listing_id", "seq"), catalog_before)[0]
 
 
-QUERIES |= {"normalize_listings": normalize_listings, "ingest_attach": ingest_attach}
-
 # --- keys and references: the tables of the engine, read off the test tables
 
 
