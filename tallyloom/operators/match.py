@@ -8,6 +8,8 @@ and of the same size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +52,26 @@ def _letters(text: Column) -> Column:
     return F.array(*each, F.char_length(F.translate(text, kinds, "")))
 
 
+def length_band(length: Column, least: float) -> Column:
+    """Bands so wide that of two names with this ratio none is more than a band longer."""
+    # 2 * short >= least * (short + long)
+    return F.floor(F.log(length) / F.lit(max(math.log((2 - least) / least), 1e-6) * (1 + 1e-9))).cast("int")
+
+
 def name_ratios(listings: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
     """``category, is_loose, one, two, ratio`` of distinct normalized names that share category and loose flag, where the ratio is at least this.
 
     The matching blocks hold no more characters than the shorter name, nor than both
-    names have of each kind; only pairs that pass these bounds are compared."""
+    names have of each kind; only pairs that pass these bounds are compared.  Lengths whose
+    ratio allows it lie in one band of lengths or in neighbours, so a name meets those of three bands."""
     sides = []
     for frame, name, ours in ((listings, "one", "x"), (candidates, "two", "y")):
         names = frame.where("normalized_name <> ''").select("category", "is_loose", F.col("normalized_name").alias(name)).distinct()
-        sides.append(names.withColumns({f"{ours}n": F.char_length(name), ours: _letters(F.col(name))}))
+        sides.append(names.withColumns({f"{ours}n": F.char_length(name), ours: _letters(F.col(name)), "length": length_band(F.char_length(name), least)}))
+    sides[0] = sides[0].withColumn("length", F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)))
     long_enough = 2 * F.least("xn", "yn") >= least * (F.col("xn") + F.col("yn"))
     shared = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
-    pairs = sides[0].join(sides[1], ["category", "is_loose"]).where(long_enough).where(2 * shared >= least * (F.col("xn") + F.col("yn")))
+    pairs = sides[0].join(sides[1], ["category", "is_loose", "length"]).where(long_enough).where(2 * shared >= least * (F.col("xn") + F.col("yn")))
     return pairs.select("category", "is_loose", "one", "two", sequence_ratio("one", "two").alias("ratio")).where(F.col("ratio") >= least)
 
 
