@@ -1,14 +1,16 @@
 """Texts longer than a slice, words longer than a slice, and odd rows through the pipeline's stages."""
 
+import math
 import random
 
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import bpe, common, jaccard, pii, quality, substrings
+from tallyloom.llm import bpe, common, embeddings, jaccard, lattice, packing, pii, quality, substrings
 
 from . import brute
+from .test_simple_operators import check_packing
 
 LONG = common.SLICE_BYTES + 60_000
 
@@ -104,3 +106,38 @@ def test_stages_keep_columns_of_any_name(spark):
         docs = spark.createDataFrame(got, schema)
     assert {r[0] for r in got} == {1, 2, 3} and len(got[[r[0] for r in got].index(2)].text.split()) == 42
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 3
+
+
+def test_lattice_scores_of_a_long_text(spark):
+    """A text longer than a slice: the score is that of its words, each as often as it occurs, and of one end."""
+    n = 120_000
+    rows = [(1, "alpha"), (2, "alpha alpha"), (3, "alpha " * n), (4, "x" * 700_000), (5, "beta alpha " * 30)]
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    word = got[2].score - got[1].score
+    assert got[3].n_tokens == n + 1 and abs(got[3].score - (got[1].score + (n - 1) * word)) < 1e-6 * abs(got[3].score)
+    assert got[4].n_tokens == 2 and math.isfinite(got[4].score) and got[4].score < got[1].score
+
+
+def test_packing_of_a_long_text(spark):
+    """A text of many sequences, with runs that have no white space, is cut as the library's ids are."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    rows = [(1, "some words of a text, and more; " * 22_000), (2, "abc" * 3000 + " " + "é" * 5000), (3, "short")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_packing(out, rows, library)
+    assert sum(r.doc_id == 1 for r in out) > 30
+
+
+def test_near_dedup_of_long_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((6, 6000))
+    rows = [(i, (base[i % 6] + 0.2 * rng.standard_normal(6000) * (i >= 6)).tolist(), 0) for i in range(18)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93) & ~np.eye(18, dtype=bool)
+    part = brute.components(range(18), [(i, j) for i in range(18) for j in range(i + 1, 18) if links[i, j]])
+    assert links.any() and got == {i: (int(links[i].sum()), part[i]) for i in range(18)}
