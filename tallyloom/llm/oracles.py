@@ -16,35 +16,40 @@ def url_trust(rules=hosts.RULES, damping: float = hosts.DAMPING) -> str:
     host = _LOWER.format(r"regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1)")
     link = hosts.LINK.replace("'", "''")
     rounds = hosts.rounds_for(damping=damping)
+    sides = ", ".join(f"sum({x}) AS {x}" for x in hosts.SIDES)
     step = "".join(
         f""",
-      r{i + 1} AS MATERIALIZED (SELECT kind, node, sum(rank) AS rank FROM (SELECT r.kind, s.dst AS node, {damping} * r.rank * s.share AS rank FROM r{i} r JOIN shares s ON r.kind = s.kind AND r.node = s.src
-        UNION ALL SELECT kind, node, {1 - damping} * rank FROM r0) GROUP BY ALL)"""
+      r{i + 1} AS MATERIALIZED (SELECT kind, node, {sides} FROM (SELECT r.kind, s.dst AS node, {", ".join(f"{damping} * r.{x} * s.share AS {x}" for x in hosts.SIDES)} FROM r{i} r JOIN shares s ON r.kind = s.kind AND r.node = s.src
+        UNION ALL SELECT kind, node, {", ".join(f"{1 - damping} * {x}" for x in hosts.SIDES)} FROM r0) GROUP BY ALL)"""
         for i in range(rounds)
     )
+
+    def share(kind: str, *parts: str) -> str:
+        ruled, base = ("(" + " + ".join(f"sum({p}{x}) FILTER (kind = '{kind}')" for p in parts) + ")" for x in ("ruled", "base"))
+        return f"coalesce({ruled} / nullif({base}, 0), 0)"
+
     return f"""WITH p0 AS (SELECT page_id, html, coalesce({host.format("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-      p AS (SELECT *, {case("text")} AS rule, {case("verdict")} AS by_rule, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 1) < '{hosts.HELD_OUT}' AS held FROM p0),
+      p AS (SELECT *, {case("text")} AS rule, {case("verdict")} AS by_rule FROM p0),
       found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS u0 FROM p WHERE host <> ''),
       urls AS (SELECT src, CASE WHEN starts_with(u0, '//') THEN 'http:' || u0 ELSE u0 END AS u FROM found),
-      linked AS (SELECT src, dst, count(*) AS n FROM (SELECT src, CASE WHEN regexp_matches(u, '{hosts.SCHEME}') THEN {host.format("u")} WHEN starts_with(u, '/') THEN regexp_extract(u, '^(/[^/?#]*)', 1) ELSE '' END AS dst FROM urls) WHERE dst <> '' AND src <> dst GROUP BY ALL),
-      placed AS (SELECT * FROM linked WHERE starts_with(dst, '/') AND dst IN (SELECT dst FROM linked GROUP BY dst HAVING count(*) > 1)),
+      linked AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS n FROM (SELECT src, CASE WHEN regexp_matches(u, '{hosts.SCHEME}') THEN {host.format("u")} WHEN starts_with(u, '/') THEN regexp_extract(u, '^(/[^/?#]*)', 1) ELSE '' END AS dst FROM urls) WHERE dst <> '' AND src <> dst GROUP BY ALL),
+      rare AS (SELECT dst, ln((SELECT count(DISTINCT host) FROM p WHERE host <> '') / count(*)) AS rarity FROM linked WHERE starts_with(dst, '/') GROUP BY dst HAVING count(*) > 1),
+      placed AS (SELECT src, dst, n * rarity AS n FROM linked JOIN rare USING (dst) WHERE rarity > 0),
       parts AS (SELECT DISTINCT string_split(host, '.') AS l FROM p),
       up AS (SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM parts)),
       links AS (SELECT 'link' AS way, src, dst, n FROM (SELECT src, dst, n FROM linked WHERE NOT starts_with(dst, '/') UNION ALL SELECT src, dst, n FROM placed UNION ALL SELECT dst, src, n FROM placed)
         UNION ALL SELECT 'tree', src, dst, 1 FROM (FROM up UNION ALL SELECT dst, src FROM up) WHERE src <> '' AND dst <> '' AND src <> dst),
-      both_ways AS (SELECT kind, way, src, dst, n FROM links, (VALUES ('allow'), ('allow held out')) k(kind) UNION ALL SELECT kind, way, dst, src, n FROM links, (VALUES ('block'), ('block held out')) k(kind)),
+      both_ways AS (SELECT 'allow' AS kind, way, src, dst, n FROM links UNION ALL SELECT 'block', way, dst, src, n FROM links),
       parted AS (SELECT kind, src, dst, way, n / sum(n) OVER (PARTITION BY kind, src, way) AS part FROM both_ways),
       shares AS MATERIALIZED (SELECT kind, src, dst, sum(part / ways) AS share FROM parted JOIN (SELECT kind, src, count(DISTINCT way) AS ways FROM parted GROUP BY ALL) USING (kind, src) GROUP BY ALL),
-      hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b, count(*) FILTER (by_rule = 'allow' AND NOT held) AS ah, count(*) FILTER (by_rule = 'block' AND NOT held) AS bh FROM p WHERE host <> '' GROUP BY host),
-      seeds AS (SELECT 'allow' AS kind, host AS node, a / pages AS weight FROM hosts WHERE a > 0 UNION ALL SELECT 'block', host, b / pages FROM hosts WHERE b > 0
-        UNION ALL SELECT 'allow held out', host, ah / pages FROM hosts WHERE ah > 0 UNION ALL SELECT 'block held out', host, bh / pages FROM hosts WHERE bh > 0),
-      r0 AS MATERIALIZED (SELECT kind, node, weight / sum(weight) OVER (PARTITION BY kind) AS rank FROM seeds){step},
-      normed AS (SELECT kind, node, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM r{rounds}),
-      sides AS (SELECT node AS host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS d, coalesce(sum(rank) FILTER (kind = 'allow held out'), 0) AS th, coalesce(sum(rank) FILTER (kind = 'block held out'), 0) AS dh FROM normed GROUP BY node),
-      ranks AS MATERIALIZED (SELECT host, CAST(round(100 * d / nullif(t + d, 0)) AS INT) AS percent, CAST(round(100 * dh / nullif(th + dh, 0)) AS INT) AS held_percent FROM sides),
-      tested AS (SELECT coalesce(held_percent, 0) AS q, by_rule FROM p LEFT JOIN ranks USING (host) WHERE held AND by_rule IS NOT NULL),
-      worth AS (SELECT t, (SELECT count(*) FROM tested WHERE by_rule = 'block' AND q >= t) * (SELECT count(*) FROM tested WHERE by_rule = 'allow') + (SELECT count(*) FROM tested WHERE by_rule = 'allow' AND q < t) * (SELECT count(*) FROM tested WHERE by_rule = 'block') AS w FROM range(1, 102) x(t)),
-      chosen AS MATERIALIZED (SELECT CASE WHEN (SELECT count(DISTINCT by_rule) FROM tested) < 2 THEN {hosts.PERCENT} ELSE (SELECT t FROM worth ORDER BY w DESC, t DESC LIMIT 1) END AS least)
+      hosts AS MATERIALIZED (SELECT host, count(*) AS pages, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b, substr(md5(host), 1, 1) < '{hosts.HELD_OUT}' AS held FROM p WHERE host <> '' GROUP BY host),
+      seeds AS (SELECT 'allow' AS kind, host AS node, held, a / pages AS w FROM hosts UNION ALL SELECT 'block', host, held, b / pages FROM hosts),
+      r0 AS MATERIALIZED (SELECT kind, node, CASE WHEN held THEN 0 ELSE w END AS ruled, CASE WHEN held THEN 0.0 ELSE 1.0 END::DOUBLE AS base, CASE WHEN held THEN w ELSE 0 END AS held_ruled, CASE WHEN held THEN 1.0 ELSE 0.0 END::DOUBLE AS held_base FROM seeds){step},
+      sides AS (SELECT node AS host, {share("allow", "", "held_")} AS t, {share("block", "", "held_")} AS d, {share("allow", "")} AS th, {share("block", "")} AS dh FROM r{rounds} GROUP BY node),
+      ranks AS MATERIALIZED (SELECT host, CAST(round(100 * (d - t)) AS INT) AS percent, CAST(round(100 * (dh - th)) AS INT) AS held_percent FROM sides),
+      tested AS (SELECT coalesce(held_percent, 0) AS q, pages - b AS o, b FROM hosts LEFT JOIN ranks USING (host) WHERE held),
+      worth AS (SELECT t, coalesce((SELECT sum(b) FROM tested WHERE q >= t), 0) * (SELECT sum(o) FROM tested) + coalesce((SELECT sum(o) FROM tested WHERE q < t), 0) * (SELECT sum(b) FROM tested) AS w FROM range(1, 102) x(t)),
+      chosen AS MATERIALIZED (SELECT CASE WHEN (SELECT coalesce(sum(o), 0) * coalesce(sum(b), 0) FROM tested) = 0 THEN {hosts.PERCENT} ELSE (SELECT t FROM worth ORDER BY w DESC, t DESC LIMIT 1) END AS least)
     SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN percent >= (SELECT least FROM chosen) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN ranks USING (host)"""
 
 
