@@ -65,11 +65,11 @@ def test_odd_rows(spark, seed):
     def row(i):
         name = " ".join(rng.choices(words, k=rng.randint(1, 4)))
         name = "".join(c for c in name if rng.random() > 0.08) if rng.random() > 0.1 else ""
-        size = rng.choice([None, 0.0, 98.0, 100.0, 102.0, 102.05, 1000.0])
-        return (i, name, rng.choice([None, "", "a", "b", "a", "b"]), rng.choice([None, "k", "k", "l"]), rng.choice([None, "s", "s"]), rng.choice(["G", "KG"]), size, rng.choice([None, True, True, False, False]))
+        size = rng.choice([None, 0.0, 98.0, 100.0, 100.0, 100.0, 102.0, 102.05, 1000.0])
+        return (i, name, rng.choice([None, "", "a", "b", "a", "b"]), rng.choice([None, "k", "k", "l"]), rng.choice([None, "s", "s", "t", "u", "v"]), rng.choice(["G", "KG"]), size, rng.choice([None, True, True, False, False]))
 
-    products = spark.createDataFrame([row(i) for i in range(60)], "product_id long, " + SCHEMA)
-    listings = spark.createDataFrame([row(i) for i in range(120)], "listing_id long, " + SCHEMA)
+    products = spark.createDataFrame([row(i) for i in range(80)], "product_id long, " + SCHEMA)
+    listings = spark.createDataFrame([row(i) for i in range(300)], "listing_id long, " + SCHEMA)
     got = match.match(listings, products).select("listing_id", "product_id", "confidence", "method").collect()
     methods, fuzzy = compare(got, listings.collect(), products.collect())
     assert methods == {"exact", "brand", "category", "loose", "unmatched"} and fuzzy > 0
