@@ -294,7 +294,8 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Dat
     own; a word too long to be batched is worked on by itself, position by position.  An
     empty table gives no rows.  Other columns, whatever their names, are left out.
 
-    Texts are dealt to parts of about ``PART_BYTES``; each part asks once for
+    Texts are dealt to parts of about ``PART_BYTES``, by one shuffle that both uses of them read, repeated rows
+    by the partition that they are read in; each part asks once for
     each of its words, whose counts and scores then come to the part."""
     path = path or default_path()
     small_batches(docs.sparkSession)
@@ -313,7 +314,8 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Dat
             logs = log_marginals(mine, weights, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], ["word", "c", "logp"])
 
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    # a row that is repeated all over the table would fall into one part without the partition that it is read in
+    part = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int")
     dealt = docs.withColumn("part", part).repartition(parts, "part")
 
     def ask(key, texts):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import lattice, queries
 from tallyloom.llm.common import table
@@ -110,3 +111,18 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 3, 3]
     assert all(math.isfinite(r.score) for r in got)
     assert lattice.score(frame.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """A row that all partitions repeat is dealt to several parts, by one shuffle that is read twice, and scored alike in each."""
+    monkeypatch.setattr(lattice, "PART_BYTES", 4_000)
+    docs = spark.range(0, 4_000, 1, 8).selectExpr("IF(id % 3 = 0, id, -1L) AS doc_id", "IF(id % 3 = 0, concat('one more ', id), 'the same old text') AS text")
+    out = lattice.score(docs)
+    plan = out._jdf.queryExecution().executedPlan()
+    rows = out.collect()
+    assert len(rows) == 4_000
+    same = {(r.n_tokens, r.n_known, r.base_score, r.score) for r in rows if r.doc_id == -1}
+    assert len(same) == 1
+    assert "ReusedExchange" in plan.toString()
+    by_task = Counter(out.where("doc_id = -1").select(F.spark_partition_id().alias("p")).toPandas()["p"])
+    assert len(by_task) > 3 and max(by_task.values()) < 2_000
