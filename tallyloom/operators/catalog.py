@@ -53,15 +53,25 @@ _TENTH = -math.log(0.9) * (1 + 1e-9)
 def search_sizes(products: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
     """``query_id, product_id, place``: as :func:`search_by_size` for each of ``queries`` (query_id, category, subcategory, target).
 
-    A query looks into three bands of sizes of its category; a null subcategory is none."""
+    A query looks into three bands of sizes of its category; a null subcategory is none.  Equal questions are
+    answered once, and of the products that share category, subcategory and size, which come and go together, only the first
+    ``limit`` are looked at.  A query_id is that of one query."""
+    limit = _checked(limit)
     band = lambda c: F.when(c > 0, F.floor(F.log(c) / _TENTH)).otherwise(F.lit(-(1 << 40))).cast("long")
-    asked = queries.select("query_id", "category", F.col("subcategory").alias("_sub"), "target").withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("target")) + i)))
-    have = products.select("product_id", "name", "category", "subcategory", "base_unit_qty").withColumn("_band", band(F.col("base_unit_qty")))
+    asked = queries.select("query_id", "category", F.col("subcategory").alias("_sub"), "target")
+    question = ["category", "_sub", "target"]
+    # by number, as what a question meets is not in the size of its row
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism * 4, 32)
+    looking = asked.select(*question).distinct().repartition(tasks, *question).withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("target")) + i)))
+    alike = Window.partitionBy("category", "subcategory", "base_unit_qty").orderBy("name", "product_id")
+    have = products.select("product_id", "name", "category", "subcategory", "base_unit_qty").withColumn("_nth", F.row_number().over(alike)).where(F.col("_nth") <= limit).drop("_nth")
+    have = have.withColumn("_band", band(F.col("base_unit_qty")))
     within = F.col("base_unit_qty").between(F.col("target") * 0.9, F.col("target") * 1.1)
     sub = F.col("_sub").isNull() | F.col("subcategory").isNull() | (F.col("subcategory") == F.col("_sub"))
-    order = Window.partitionBy("query_id").orderBy(F.abs(F.col("base_unit_qty") - F.col("target")), "name", "product_id")
-    met = asked.join(have, ["category", "_band"]).where(within & sub).withColumn("place", F.row_number().over(order))
-    return met.where(F.col("place") <= _checked(limit)).select("query_id", "product_id", "place")
+    order = Window.partitionBy(*question).orderBy(F.abs(F.col("base_unit_qty") - F.col("target")), "name", "product_id")
+    met = looking.join(have, ["category", "_band"]).where(within & sub).withColumn("place", F.row_number().over(order))
+    a, m = asked.alias("a"), met.where(F.col("place") <= limit).select(*question, "product_id", "place").alias("m")
+    return a.join(m, [F.col(f"a.{q}").eqNullSafe(F.col(f"m.{q}")) for q in question]).select("a.query_id", "m.product_id", "m.place")
 
 
 def search_categories(products: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
