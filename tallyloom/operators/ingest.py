@@ -127,7 +127,7 @@ def attach(listings: DataFrame, products: DataFrame, first_id: int | None = None
     # by order: distinct sizes of each branded key
     firsts = known.where(sized).groupBy(*columns).agg(F.min("seq").alias("seq"))
     none = F.lit(None)
-    mine = products.where(sized).withColumn("seq", none.cast(firsts.schema["seq"].dataType))
+    mine = products.where(sized).select(*columns).distinct().withColumn("seq", none.cast(firsts.schema["seq"].dataType))
     step = [F.to_json(F.struct(*ATTACH)).alias("g"), "seq", F.col("size_value").cast("double").alias("v"), F.col("size_unit").alias("u"), F.col("base_unit_qty").cast("double").alias("b"), *columns]
     each = mine.select(*step).unionByName(firsts.select(*step)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
     # alone in its key: created as it is
@@ -140,7 +140,8 @@ def attach(listings: DataFrame, products: DataFrame, first_id: int | None = None
     created = number_rows(rows.join(source, "seq"), ["seq"], "product_id", start).withColumn("name", canonical_name())
 
     # every listing finds the first product that was there when it came
-    there = products.select("product_id", *columns, F.lit(-1).cast("long").alias("since")).unionByName(created.select("product_id", *columns, F.col("seq").cast("long").alias("since")))
+    # of the catalog's products that share all columns only the least id can be found
+    there = products.groupBy(*columns).agg(F.min("product_id").alias("product_id")).select("product_id", *columns, F.lit(-1).cast("long").alias("since")).unionByName(created.select("product_id", *columns, F.col("seq").cast("long").alias("since")))
     l, c = known.select("seq", *columns).alias("l"), there.alias("c")
     same = lambda names: [F.col(f"l.{x}").eqNullSafe(F.col(f"c.{x}")) for x in names]
     in_time = F.col("c.since") <= F.col("l.seq")
