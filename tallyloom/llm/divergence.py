@@ -56,30 +56,30 @@ def _counts(docs: DataFrame) -> DataFrame:
     names = ["lang", "source", "term", "n", "docs"]
 
     def told(held):
-        rows = [(lang, source, term, n, held[1][lang, source][term]) for (lang, source), words in held[0].items() for term, n in words.items()]
-        texts = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
-        terms = pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([*texts, terms, *(pa.array([r[i] for r in rows], pa.int64()) for i in (3, 4))], names)
+        parts = []
+        for (lang, source), (n, docs_of) in held.items():
+            n.pop(b"", None)
+            group = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
+            numbers = [pa.array(np.fromiter(x, np.int64, len(n))) for x in (n.values(), map(docs_of.__getitem__, n))]
+            parts.append(pa.RecordBatch.from_arrays([*group, pa.array(list(n), pa.binary()).cast(pa.string()), *numbers], names))
+        return parts
 
     def run(batches):
-        held: tuple[dict, dict] = {}, {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                words = Counter(terms_of(text))
-                words.pop(b"", None)
-                if words:
-                    n = held[0].setdefault((lang, source), Counter())
-                    if len(words) * 4 > len(n):
-                        n.update(words)
-                    else:
-                        for word, k in words.items():
-                            n[word] += k
-                    held[1].setdefault((lang, source), Counter()).update(words.keys())
-            if sum(map(len, held[0].values())) > HELD_TERMS:
-                yield told(held)
-                held = {}, {}
-        yield told(held)
+                words = terms_of(text)
+                if (lang, source) not in held:
+                    held[lang, source] = Counter(), Counter()
+                n, docs_of = held[lang, source]
+                # both are counted without a step of Python for each word
+                n.update(words)
+                docs_of.update(set(words))
+            if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+                yield from told(held)
+                held = {}
+        yield from told(held)
 
     found = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
