@@ -65,11 +65,11 @@ def collapse(text: Column) -> Column:
 
 
 def translate_bengali(text: Column) -> Column:
-    """Digits, then unit words that stand alone, the longest first."""
+    """Digits, then unit words that stand alone, the longest first; only where the text has a letter or digit of the script."""
     out = F.translate(text, BENGALI_DIGITS, "0123456789")
     for word in sorted(BENGALI_UNITS, key=len, reverse=True):
         out = F.regexp_replace(out, f"(?<![{LETTER}]){word}(?![{LETTER}])", f" {BENGALI_UNITS[word]} ")
-    return out
+    return F.when(text.rlike(r"[\x{0980}-\x{09FF}]"), out).otherwise(text)
 
 
 def pre_clean(text: Column, unicode: bool = True) -> Column:
