@@ -2,16 +2,17 @@
 
 A minimum can't be kept alone: when its row is retracted, the next one has to be known.  So a
 table counts, for each key, how many rows have each value; a batch of changes (a row more: 1, a row less: -1) is added
-up by key and value and merged into the buckets of its keys, and only these keys' results are
-taken anew.  After any sequence of batches the results are those of the full query over the rows that are left."""
+up by key and value and merged into the buckets of its keys, and only these buckets' results are
+taken anew, in the tasks that have merged their counts.  After any sequence of batches the results are those of the full query over the rows that are left."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.buckets import BucketTable
-from ..sources.scratch import checkpointed
+from ..sources.scratch import remove, scratch_path
 
 
 class KeptCounts:
@@ -28,27 +29,38 @@ class KeptCounts:
 
     def _told(self, counts: DataFrame) -> DataFrame:
         value = F.struct(*self.value)
-        return counts.where("n > 0").groupBy(*self.key).agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        low, high = F.min(value), F.max(value)
+        if len(self.value) == 1:  # a plain column is kept in a hash table, a struct has to be sorted; null is the least struct
+            (only,) = self.value
+            named = lambda c: F.struct(c.alias(only))
+            low, high = named(F.when(F.count(only) == F.count("*"), F.min(only))), named(F.max(only))
+        return counts.where("n > 0").groupBy(*self.key).agg(F.sum("n").alias("n"), low.alias("low"), high.alias("high"))
 
     def apply(self, deltas: DataFrame, batch: int) -> None:
         """Take up ``deltas`` (key, value, ``change``); a batch that was taken up already changes nothing.
 
         Changes may come in any order: a row that is retracted before it came counts -1 until then."""
-        added = checkpointed(deltas.groupBy(*self.key, *self.value).agg(F.sum("change").cast("long").alias("n")).where("n <> 0"))
+        spark, arrived = deltas.sparkSession, scratch_path(deltas.sparkSession, "deltas")
+        deltas.select(*self.key, *self.value, F.col("change").cast("long").alias("n")).write.parquet(arrived)
+        added = spark.read.parquet(arrived)
+        some = self.counts.touched(added)
+        held = []
 
         def add(kept: DataFrame, new: DataFrame) -> DataFrame:
-            return kept.unionByName(new).groupBy(*self.key, *self.value).agg(F.sum("n").alias("n")).where("n <> 0")
+            rows = self.counts.dealt(kept.unionByName(new)).groupBy(*self.key, *self.value).agg(F.sum("n").alias("n")).where("n <> 0")
+            held.append(rows.persist(StorageLevel.DISK_ONLY))
+            return held[0]
 
-        made = self.counts.upsert(added, add, batch)
-        keys = added.select(*self.key).distinct()
+        made = self.counts.upsert(added, add, batch, some=some, dealt=True)
 
         def renew(kept: DataFrame, touched: DataFrame) -> DataFrame:
-            rows = self.counts.read(made.version, self.counts.touched(touched))
-            same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in self.key]
-            mine = self._told(rows.join(touched, same(rows, touched), "left_semi"))
-            return kept.join(touched, same(kept, touched), "left_anti").unionByName(mine)
+            # of a batch whose counts were merged before, but not its results, the counts are read again
+            return self._told(held[0] if held else self.counts.dealt(self.counts.read(made.version, some)))
 
-        self.results.upsert(keys, renew, batch)
+        self.results.upsert(added, renew, batch, some=some, dealt=True)
+        for rows in held:
+            rows.unpersist()
+        remove(spark, arrived)
         for table in (self.counts, self.results):
             table.vacuum()
 

@@ -6,6 +6,9 @@ all others stay as they are.  A manifest per version names each bucket's folder;
 written beside and then renamed, which fails if the version exists, so that a version is there whole or
 not at all, and of two writers one loses.  Readers keep the version that they began with.
 
+Rows are dealt to tasks by the same hash of the key that numbers the buckets, so that all rows of a key meet, are merged
+and are written in one task, which writes to one bucket: a batch costs one shuffle of what it touches.
+
 What is written follows the batch: at most one bucket for each arriving key.  A manifest also tells the
 number of the batch that made it, so a batch that is run again changes nothing, and holds facts
 about the whole table (such as its largest id) that no batch should read all rows for."""
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .scratch import file_system
 
 BUCKET = "bucket_number"
+#: How a key's bucket is found; tables of another way are refused.
+DEALT = "hash"
 
 
 @dataclass(frozen=True)
@@ -59,12 +64,14 @@ class BucketTable:
         if not version:
             return Manifest()
         told = json.loads(self.spark.read.text(self._at(version), wholetext=True).first()[0])
+        if told.get("dealt") != DEALT:
+            raise ValueError(f"the buckets of {self.path} are numbered by another hash")
         return Manifest(version, told["batch"], {int(b): p for b, p in told["folders"].items()}, told["facts"])
 
     def _publish(self, new: Manifest) -> None:
         """Write and rename; an error if another writer made this version."""
         beside = f"{self.path}/manifests/.{uuid.uuid4().hex}"
-        text = json.dumps({"batch": new.batch, "folders": {str(b): p for b, p in sorted(new.folders.items())}, "facts": new.facts})
+        text = json.dumps({"dealt": DEALT, "batch": new.batch, "folders": {str(b): p for b, p in sorted(new.folders.items())}, "facts": new.facts})
         where, system = file_system(self.spark, beside)
         system.mkdirs(where.getParent())
         out = system.create(where, False)
@@ -78,7 +85,12 @@ class BucketTable:
     # --- rows
 
     def bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(*self.key), F.lit(self.buckets)).cast("int")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt by key to a multiple of ``buckets`` tasks, so that a task has rows of one bucket only."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(self.buckets * -(-tasks // self.buckets), *self.key)
 
     def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
         """The rows of a version (the newest one), or of some of its buckets."""
@@ -92,20 +104,21 @@ class BucketTable:
         """The buckets of the keys that arrive: numbers, ``buckets`` at most."""
         return sorted(r[0] for r in arrived.select(self.bucket()).distinct().collect())
 
-    def upsert(self, arrived: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int, facts: dict[str, int] | None = None) -> Manifest:
+    def upsert(self, arrived: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int, facts: dict[str, int] | None = None, some: list[int] | None = None, dealt: bool = False) -> Manifest:
         """The table after ``merge(rows of the touched buckets, arrived)``, as a new version; a batch that is there already changes nothing.
 
-        ``merge`` may change, add and drop rows of the keys that arrive, and has to keep the others."""
+        ``merge`` may change, add and drop rows of the keys that arrive, and has to keep the others.  ``some``: the touched
+        buckets, where they are known already; ``dealt``: what ``merge`` returns is dealt as by :meth:`dealt`."""
         now = self.manifest()
         if batch <= now.batch:
             return now
-        some = self.touched(arrived)
+        some = self.touched(arrived) if some is None else some
         folders = dict(now.folders)
         if some:
-            merged = merge(self._read(now, some), arrived).select(*self.columns, self.bucket().alias(BUCKET))
+            merged = merge(self._read(now, some), arrived)
+            merged = (merged if dealt else self.dealt(merged)).select(*self.columns, self.bucket().alias(BUCKET))
             at = f"data/{now.version + 1:012d}-{uuid.uuid4().hex}"
-            # a task for each touched bucket, so that a bucket is one file
-            merged.repartition(len(some), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{at}")
+            merged.write.partitionBy(BUCKET).parquet(f"{self.path}/{at}")
             where, system = file_system(self.spark, f"{self.path}/{at}")
             made = {x.getPath().getName() for x in system.listStatus(where)}
             for b in some:

@@ -53,3 +53,17 @@ def test_retracted_before_it_came(spark, tmp_path):
     assert kept.results.read().count() == 0 and kept.counts.read().count() == 0
     apply(1, 2)
     assert [(r.n, tuple(r.low)) for r in kept.results.read().collect()] == [(1, (2.0, "x"))]
+
+
+def test_one_shuffle_of_counts(spark, tmp_path):
+    """A batch is shuffled once with the counts of its buckets; results are taken in the same tasks.  A null is the least value."""
+    kept = deltas.KeptCounts(spark, str(tmp_path), "k string", "price double", buckets=4)
+    rows = [("a", 1.0, 1), ("a", None, 1), ("b", None, 1), ("c", 2.0, 1), ("c", 5.0, 1), (None, 3.0, 1)]
+    next_shuffle = spark.sparkContext._jsc.sc().newShuffleId
+    kept.apply(spark.createDataFrame(rows, "k string, price double, change int"), 0)
+    before = next_shuffle()
+    kept.apply(spark.createDataFrame([("c", 5.0, -1), ("d", 7.0, 1)], "k string, price double, change int"), 1)
+    # numbers of the touched buckets, and the counts
+    assert next_shuffle() - before - 1 <= 2
+    got = {r.k: (r.n, r.low.price, r.high.price) for r in kept.results.read().collect()}
+    assert got == {"a": (2, None, 1.0), "b": (1, None, None), "c": (1, 2.0, 2.0), None: (1, 3.0, 3.0), "d": (1, 7.0, 7.0)}
