@@ -237,13 +237,15 @@ def daily_min_kept(spark, d):
     FROM listings JOIN (SELECT * EXCLUDE (name) FROM products) USING (product_id) WHERE in_stock GROUP BY category, subcategory, size_value, size_unit, is_loose""")
 def bucket_offers_kept(spark, d):
     """Shopping buckets kept while listings change: first as they were in 2000, then those that changed since, taken back and put in anew."""
-    p, obs = R.products(spark, d), R.observations(spark, d)
-    old = history.latest(obs.where(F.col("observed_at") < F.expr("TIMESTAMP_NTZ '2000-01-01'")))
-    new = history.latest(obs)
-    changed = new.join(old.select("listing_id", F.col("seq").alias("was")), "listing_id", "left").where("was IS NULL OR was <> seq")
-    kept = deltas.bucket_offers(spark, scratch_path(spark, "offers"), buckets=16)
-    kept.apply(deltas.offered(p, old), 0)
-    kept.apply(deltas.offered(p, old.join(changed.select("listing_id"), "listing_id", "left_semi"), -1).unionByName(deltas.offered(p, changed)), 1)
+    p, folder = R.products(spark, d), scratch_path(spark, "offers")
+    # each listing's last observation before 2000 and its last one, in one pass and written once
+    history.latest_at(R.observations(spark, d), old=F.col("observed_at") < F.expr("TIMESTAMP_NTZ '2000-01-01'"), new=F.lit(True)).write.parquet(f"{folder}/listings")
+    seen = spark.read.parquet(f"{folder}/listings")
+    old, changed = seen.where("old IS NOT NULL"), seen.where("old IS NULL OR old.seq <> new.seq")
+    kept = deltas.bucket_offers(spark, folder, buckets=16)
+    kept.apply(deltas.offered(p, old.select("store", "sku", "old.*")), 0)
+    gone = changed.where("old IS NOT NULL").select("store", "sku", "old.*")
+    kept.apply(deltas.offered(p, gone, -1).unionByName(deltas.offered(p, changed.select("store", "sku", "new.*"))), 1)
     out = kept.results.read()
     told = out.select("category", "subcategory", "size_value", "size_unit", "is_loose", F.col("n").alias("n_offers"), F.col("low.price").alias("cheapest_price"), F.col("low.listing_id").alias("cheapest"), F.col("low.brand").alias("cheapest_brand"), (F.col("high.price") - F.col("low.price")).alias("savings"))
     return _double(told, "cheapest_price", "savings")
