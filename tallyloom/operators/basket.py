@@ -2,9 +2,11 @@
 
 ``items`` has basket_id, item_key (unique in a basket), quantity; ``offerings``
 basket_id, item_key, store, unit_price, in_stock, seq (arrival order); ``stores``
-store, ord, fees (see :func:`tallyloom.functions.measures.parse_fees`).
+store, ord, fees (see :func:`tallyloom.functions.measures.parse_fees`).  Where an item is one product, ``items`` has
+product_id too, and ``offerings`` may have it instead of basket_id and item_key.
 
-Items and offers meet in one shuffle by basket.  A basket is then one row, with a line
+Items and offers meet in one shuffle by basket; offers of products are put into one row of each product
+first, which its items find by a join, so that no row is made for each item and offer.  A basket is then one row, with a line
 for each of its items (a hundred or so at most) and in it the price of each store (``MOST_STORES``
 at most); single stores are weighed inside that row, sets of stores by branch and bound over
 a batch of rows (see :mod:`.store_sets`).
@@ -62,13 +64,23 @@ def _baskets(items: DataFrame, offerings: DataFrame, known: list[tuple[str, obje
     A line has item_key, ``stores`` (a bit for each that offers it), ``costs`` by store, and
     ``offers`` (unit_price, ord, cost), the cheapest first."""
     where = F.coalesce(*[F.when(F.col("store") == s, F.lit(k)) for k, (s, _) in enumerate(known)], F.lit(None).cast("int"))
-    wanted = items.select("basket_id", "item_key", F.col("quantity").cast(MONEY).alias("quantity"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast(MONEY).alias("unit_price"), F.lit(None).cast("long").alias("seq"))
-    offers = offerings.where("in_stock").select("basket_id", "item_key", F.lit(None).cast(MONEY).alias("quantity"), where.alias("ord"), F.col("unit_price").cast(MONEY).alias("unit_price"), F.col("seq").cast("long").alias("seq"))
-    # dealt by basket, both groupings find their rows together
-    rows = wanted.unionByName(offers.where("ord IS NOT NULL")).repartition("basket_id")
     best = [F.min(F.when(F.col("ord") == k, F.struct("unit_price", "seq"))).alias(f"b{k}") for k in range(len(known))]
-    each = rows.groupBy("basket_id", "item_key").agg(F.sum("quantity").cast(MONEY).alias("quantity"), *best).where("quantity IS NOT NULL")
-    price = [F.col(f"b{k}.unit_price") for k in range(len(known))]
+    cheapest = [F.col(f"b{k}.unit_price").alias(f"u{k}") for k in range(len(known))]
+    wanted = items.withColumn("quantity", F.col("quantity").cast(MONEY))
+    offers = offerings.where("in_stock").withColumns({"ord": where, "unit_price": F.col("unit_price").cast(MONEY), "seq": F.col("seq").cast("long")}).where("ord IS NOT NULL")
+    if "basket_id" in offerings.columns:
+        no = lambda kind: F.lit(None).cast(kind)
+        wanted = wanted.select("basket_id", "item_key", "quantity", no("int").alias("ord"), no(MONEY).alias("unit_price"), no("long").alias("seq"))
+        offers = offers.select("basket_id", "item_key", no(MONEY).alias("quantity"), "ord", "unit_price", "seq")
+        # dealt by basket, both groupings find their rows together
+        rows = wanted.unionByName(offers).repartition("basket_id")
+        each = rows.groupBy("basket_id", "item_key").agg(F.sum("quantity").cast(MONEY).alias("quantity"), *best).where("quantity IS NOT NULL").select("basket_id", "item_key", "quantity", *cheapest)
+    else:
+        shelf = offers.groupBy("product_id").agg(*best).select("product_id", *cheapest)
+        found = wanted.where("quantity IS NOT NULL").join(shelf, "product_id", "left")
+        # dealt while they are narrow, before lines are made of them
+        each = found.select("basket_id", "item_key", "quantity", *[f"u{k}" for k in range(len(known))]).repartition("basket_id")
+    price = [F.col(f"u{k}") for k in range(len(known))]
     cost = [((p * F.col("quantity")).cast(MONEY) * _UNIT).cast("long") for p in price]
     offer = [F.when(p.isNotNull(), F.struct(p.alias("unit_price"), F.lit(k).alias("ord"), c.alias("cost"))) for k, (p, c) in enumerate(zip(price, cost, strict=True))]
     bits = sum((F.when(p.isNotNull(), 1 << k).otherwise(0) for k, p in enumerate(price)), F.lit(0))
