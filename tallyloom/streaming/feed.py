@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,14 +109,18 @@ def keep_listings(arrivals: DataFrame, listings: BucketTable, history: str, chec
     before; what it compares with is the version of the batch before it, whatever was made since."""
 
     def run(batch: DataFrame, number: int) -> None:
-        began = batch.groupBy("store", "sku").agg(F.min("observed_at").alias("first_seen"))
-        newest = latest(batch).withColumn("last_seen", F.col("observed_at")).join(began, ["store", "sku"]).select(*_SHOWN)
-        before = _before(listings, number)
-        shown = listings.read(before, listings.touched(batch)) if before else listings.read(before).limit(0)
-        old = shown.join(batch.select("store", "sku").distinct(), ["store", "sku"], "left_semi").select("store", "sku", "price", "in_stock", F.col("last_seen").alias("observed_at"), F.lit(-1).cast("long").alias("seq"))
-        new = batch.select("store", "sku", "price", "in_stock", "observed_at", "seq")
+        # dealt once, and cached as such: newest listings, changes and the merge find their rows in the same tasks
+        dealt = listings.dealt(batch).persist(StorageLevel.DISK_ONLY)
+        some, before = listings.touched(dealt), _before(listings, number)
+        seen = F.struct(*[c for c in batch.columns if c not in ("store", "sku")])
+        newest = dealt.groupBy("store", "sku").agg(F.max_by(seen, F.struct("observed_at", "seq")).alias("o"), F.min("observed_at").alias("first_seen"))
+        newest = newest.select("store", "sku", "o.*", "first_seen", F.col("o.observed_at").alias("last_seen")).select(*_SHOWN)
+        shown = listings.read(before, some) if before else listings.read(before).limit(0)
+        old = shown.join(dealt.select("store", "sku").distinct(), ["store", "sku"], "left_semi").select("store", "sku", "price", "in_stock", F.col("last_seen").alias("observed_at"), F.lit(-1).cast("long").alias("seq"))
+        new = dealt.select("store", "sku", "price", "in_stock", "observed_at", "seq")
         changes(old.unionByName(new)).where("seq >= 0").write.mode("overwrite").parquet(f"{history}/{number}")
-        listings.upsert(newest, merge, number)
+        listings.upsert(newest, lambda kept, arrived: merge(listings.dealt(kept), arrived), number, some=some)
+        dealt.unpersist()
         listings.vacuum()
 
     return arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

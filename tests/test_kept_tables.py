@@ -140,3 +140,14 @@ def test_state_equals_batch(spark, tmp_path):
     read = lambda name: sorted(r.seq for r in spark.read.parquet(str(tmp_path / name)).collect())
     assert read("with") == want and read("without") == alone
     assert Path(tmp_path / "cp-with" / "state").exists()
+
+
+def test_batch_is_dealt_once(spark, tmp_path):
+    """The batch, the numbers of its buckets, and the merge; its newest listings and its changes are found in the same tasks."""
+    table = feed.listing_table(spark, str(tmp_path / "listings"), buckets=4)
+    seen(spark, 40, 3).coalesce(1).write.parquet(str(tmp_path / "in"))
+    arrivals = spark.readStream.schema(SEEN).parquet(str(tmp_path / "in"))
+    next_shuffle = spark.sparkContext._jsc.sc().newShuffleId
+    before = next_shuffle()
+    feed.keep_listings(arrivals, table, str(tmp_path / "hist"), str(tmp_path / "cp")).awaitTermination()
+    assert next_shuffle() - before - 1 <= 4
